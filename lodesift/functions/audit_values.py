@@ -60,19 +60,12 @@ def unix_time(c: Column) -> Column:
     clock times give null.
     """
     t = F.upper(stripped(c))
-    compact = t.rlike(r"^\d{8}T\d{4,6}([.,]\d+)?(Z|[+-]\d\d(:?\d\d)?)?$")
-    sub = lambda at, n: F.substring(t, at, n)
-    day = F.when(compact, F.concat_ws("-", sub(1, 4), sub(5, 2), sub(7, 2))).otherwise(sub(1, 10))
-    days = F.unix_date(day.try_cast("date")).cast("bigint")
-    number = lambda text: F.coalesce(text.try_cast("int"), F.lit(0))
-    clock = F.when(compact, F.regexp_extract(t, r"T(\d{4,6})", 1)).otherwise(F.concat(sub(12, 2), sub(15, 2), F.when(sub(17, 1) == ":", sub(18, 2)).otherwise("")))
-    h, mi, s = (number(F.substring(clock, at, 2)) for at in (1, 3, 5))
-    # The offset's digits, hours first; minutes are 00 where it has none.
-    zone = F.when(F.length(t) > 10, F.regexp_extract(F.substring(t, 11, 99), r"([+-]\d\d:?(\d\d)?)$", 1)).otherwise("")
-    digits = F.rpad(F.regexp_replace(zone, "[^0-9]", ""), 4, "0")
-    zone_s = number(F.substring(digits, 1, 2)) * 3600 + number(F.substring(digits, 3, 2)) * 60
-    offset = F.when(zone == "", F.lit(0)).when(zone.startswith("-"), -zone_s).otherwise(zone_s)
-    full = t.rlike(r"^\d{4}-\d\d-\d\d([T ] *\d\d:\d\d(:\d\d([.,]\d+)?)? ?(Z|UTC|GMT|[+-]\d\d(:?\d\d)?)?)?$")
-    good = (h <= 23) & (mi <= 59) & (s <= 60)
-    dated = F.when((full | compact) & good, days * 86400 + h * 3600 + mi * 60 + s - offset)
-    return F.when(t.rlike(r"^[+-]?\d{1,15}([.]\d*)?$"), F.floor(t.try_cast("decimal(30,6)")).cast("bigint")).otherwise(dated)
+    compact = F.substring(t, 9, 1) == "T"
+    iso = F.when(compact, F.regexp_replace(t, r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)?", "$1-$2-$3T$4:$5:$6")).otherwise(F.translate(t, ",", "."))
+    behind = F.substring(iso, 11, 99)
+    zoned = behind.contains("Z") | behind.contains("+") | behind.contains("-")
+    whole = F.when(behind == "", F.concat(iso, F.lit("T00:00:00Z"))).when(zoned, iso).otherwise(F.concat(iso, F.lit("Z")))
+    good = iso.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d([.]\d+)?)?(Z|[+-]\d\d(:?\d\d)?)?)?$")
+    dated = F.when(good, F.unix_seconds(whole.try_cast("timestamp")))
+    bare = F.substring(t, 5, 1).between("0", "9") & ~compact
+    return F.when(bare | (F.length(t) < 8), F.when(t.rlike(r"^[+-]?\d{1,15}([.]\d*)?$"), F.floor(t.try_cast("decimal(30,6)")).cast("bigint"))).otherwise(dated)

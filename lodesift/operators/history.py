@@ -31,11 +31,11 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def version_history(df: DataFrame, entity: str, at: str, rank: str, states: list[str], heavy_rows: int = 20_000, most_broadcast: int = 10_000) -> DataFrame:
+def version_history(df: DataFrame, entity: str, at: str, rank: str, states: list[str], needed: list[str] = (), heavy_rows: int = 20_000, most_broadcast: int = 10_000) -> DataFrame:
     """One row for each version: ``entity``, ``states``, ``valid_from``, ``valid_to`` (-1 for the last).
 
-    ``at`` holds seconds (BIGINT). Rows with a null entity or time are left out; null states are states
-    like any other (a caller to whom a missing state is no state filters before). At one instant the row
+    ``at`` holds seconds (BIGINT). Rows with a null entity, a null time or a null in one of the ``needed``
+    states are left out; other null states are states like any other. At one instant the row
     with the highest ``rank`` holds, null being the lowest; rows equal in that too are told apart by their
     states, so the result doesn't depend on the order of rows. Repeated rows change nothing, an empty
     table gives no row, other columns are ignored.
@@ -44,10 +44,11 @@ def version_history(df: DataFrame, entity: str, at: str, rank: str, states: list
     instant a day holds at most 86,400 rows, and the fold over days has one element for each day.
     """
     rows = df.select(F.col(entity).alias("_k"), F.col(at).cast("bigint").alias("at"), F.col(rank).alias("_r"), *[F.col(s).alias(f"_s{i}") for i, s in enumerate(states)])
-    rows = rows.filter(F.col("_k").isNotNull() & F.col("at").isNotNull())
     names = [f"_s{i}" for i in range(len(states))]
-    heavy = stored(rows.groupBy("_k").agg(F.count("*").alias("_n")).filter(F.col("_n") > heavy_rows).select("_k"))
+    heavy = stored(df.groupBy(F.col(entity).alias("_k")).agg(F.count("*").alias("_n")).filter((F.col("_n") > heavy_rows) & F.col("_k").isNotNull()).select("_k"))
     n_heavy = heavy.count()
+    kept = _all([F.col(c).isNotNull() for c in ("at", *[n for n, s in zip(names, states) if s in needed])])
+    rows = rows.withColumn("_o", F.when(kept, F.struct("at", "_r", *names))).select("_k", "_o")
     light = rows if not n_heavy else join_small(rows, heavy, ["_k"], "left_anti", n_heavy, most_broadcast)
     out = _ends(_light(light, names), names)
     if n_heavy:
@@ -55,20 +56,20 @@ def version_history(df: DataFrame, entity: str, at: str, rank: str, states: list
     return out.select(F.col("_k").alias(entity), *[F.col(n).alias(s) for n, s in zip(names, states)], F.col("at").alias("valid_from"), "valid_to")
 
 
-def _observed(names: list[str]) -> Column:
-    return F.struct("at", "_r", *names)
-
-
 def _versions(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Folds the rows of each key: adds ``vs``, the versions."""
-    kind = "STRUCT<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in ("at", "_r", *names)) + ">"
-    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(_observed(names))).alias("_a"))
+    """Folds the observations ``_o`` of each key, null ones aside: adds ``vs``, the versions.
+
+    Unusable rows come as null observations, which collect_list passes over: a filter would compute
+    the normalised values twice.
+    """
+    kind = rows.schema["_o"].dataType.simpleString()
+    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_o")).alias("_a")).filter(F.size("_a") > 0)
     last_at = F.filter("_a", lambda x, i: F.coalesce(F.get("_a", i + 1)["at"] != x["at"], F.lit(True)))
     return grouped.select(*keys, last_at.alias("_a")).select(*keys, _fold(F.col("_a"), names, kind).alias("vs"), F.element_at("_a", -1).alias("_last"))
 
 
 def _light(rows: DataFrame, names: list[str]) -> DataFrame:
-    return _versions(rows, ["_k"], names).select("_k", "vs", F.lit(-1).cast("bigint").alias("_after"))
+    return _versions(rows.filter(F.col("_k").isNotNull()), ["_k"], names).select("_k", "vs", F.lit(-1).cast("bigint").alias("_after"))
 
 
 def _ends(versions: DataFrame, names: list[str]) -> DataFrame:
@@ -78,8 +79,9 @@ def _ends(versions: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _heavy(rows: DataFrame, names: list[str]) -> DataFrame:
+    rows = rows.filter(F.col("_o").isNotNull()).select("_k", "_o.*")
     one = rows.groupBy("_k", "at").agg(F.max(F.struct("_r", *names)).alias("_m")).select("_k", "at", "_m.*", F.floor(F.col("at") / DAY).alias("_d"))
-    days = stored(_versions(one, ["_k", "_d"], names))
+    days = stored(_versions(one.select("_k", "_d", F.struct("at", "_r", *names).alias("_o")), ["_k", "_d"], names))
     first = F.element_at("vs", 1)
     # Of a day: its first and last state, the first instant, and the second version's start.
     summary = days.select("_k", F.struct("_d", first["at"].alias("from"), F.get("vs", F.lit(1))["at"].alias("second"), F.struct(*[first[n].alias(n) for n in names]).alias("first"), F.struct(*[F.col("_last")[n].alias(n) for n in names]).alias("last")).alias("_x"))

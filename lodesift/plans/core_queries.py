@@ -32,8 +32,8 @@ def status_versions(df: DataFrame) -> DataFrame:
         blank_to_null(F.col("note")).alias("note"),
         unix_time(F.col("history_timestamp")).alias("at"),
         "update_id",
-    ).filter(F.col("status").isNotNull())
-    return version_history(rows, "finding_id", "at", "update_id", ["status", "note"])
+    )
+    return version_history(rows, "finding_id", "at", "update_id", ["status", "note"], needed=["status"])
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
