@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodesift.functions.audit_values import STAND_INS, status, stripped, without_value
-from lodesift.llm import consensus, forms, near
+from lodesift.llm import consensus, forms, near, secrets
 from lodesift.sources.tables import join_small, stored, table
 
 FIELDS = ["recommended_fix", "impact", "severity_rationale", "status"]
@@ -41,6 +41,18 @@ def p1_consensus(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.best_values(_candidates(spark, folder), FIELDS, additive=True).select(F.col("key").alias("dedupe_key"), "field_name", F.col("id").alias("record_id"), "value")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each literal credential of the scan's excerpts starts."""
+    found = secrets.find_credentials(table(spark, folder, "scan_hits"), "hit_id", "path", "excerpt")
+    return found.select(F.col("id").alias("hit_id"), "start_at")
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every excerpt with its credentials masked, and their number."""
+    masked = secrets.mask_credentials(table(spark, folder, "scan_hits"), "hit_id", "path", "excerpt")
+    return masked.select(F.col("id").alias("hit_id"), "credentials", F.col("masked").alias("excerpt"))
+
+
 def _impacts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, folder, "findings").select("record_id", "title", "impact").filter(~without_value(F.col("impact")))
     return near.classes(rows, "record_id", near.words_of(F.col("title"), F.col("impact")))
@@ -111,5 +123,5 @@ r AS (SELECT raw_id, coalesce(max(v) FILTER (k = 'title'), '') AS a, coalesce(ma
 P4_FOUND_SQL = _P4 + "SELECT min(raw_id) OVER (PARTITION BY a, b, d) AS first_raw_id, raw_id FROM r QUALIFY raw_id <> first_raw_id"
 P4_COUNTS_SQL = _P4 + "SELECT min(raw_id) AS raw_id, count(*) AS copies FROM r GROUP BY a, b, d"
 
-QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts}
+QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts}
 SQL = {"p1_found": P1_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_counts": P4_COUNTS_SQL}
