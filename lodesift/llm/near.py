@@ -150,7 +150,8 @@ def classes(df: DataFrame, id_column: str, words: Column) -> tuple[DataFrame, Da
 
     Rows with a null id or no words are out. A class is told by two 64-bit hashes of its words.
     """
-    rows = df.select(F.col(id_column).cast("bigint").alias("id"), words.alias("words")).filter(F.col("id").isNotNull() & (F.col("words") != ""))
+    # Written once: the words are read again for bands and for the exact check.
+    rows = stored(df.select(F.col(id_column).cast("bigint").alias("id"), words.alias("words"))).filter(F.col("id").isNotNull() & (F.col("words") != ""))
     keyed = rows.select("id", "words", F.xxhash64("words").alias("c0"), F.xxhash64(F.lit(1), "words").alias("c1"))
     several = stored(keyed.groupBy("c0", "c1").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
     n = several.count()
