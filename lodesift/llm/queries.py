@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodesift.functions.audit_values import STAND_INS, status, stripped, without_value
-from lodesift.llm import consensus, forms, near, secrets
+from lodesift.llm import consensus, forms, mixing, near, packing, reading, secrets
+from lodesift.llm.tokens import with_tokens
 from lodesift.sources.tables import join_small, stored, table
 
 FIELDS = ["recommended_fix", "impact", "severity_rationale", "status"]
@@ -94,6 +95,50 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return forms.form_counts(_forms(spark, folder)).select(F.col("first").alias("raw_id"), "copies")
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents' texts in containers of each kind: one row for each text, or part of a long one."""
+    filled = packing.packed_texts(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "pack_targets"))
+    return filled.withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    targets = table(spark, folder, "pack_targets")
+    return packing.fill_report(packing.packed_texts(table(spark, folder, "documents"), "doc_id", "text", targets), targets)
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sizes = stored(with_tokens(table(spark, folder, "documents"), ["doc_id", "source"], "text")).withColumnRenamed("doc_id", "id")
+    return mixing.mix(sizes, table(spark, folder, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture, with how often each is used."""
+    return _mixed(spark, folder)[0].select(F.col("id").alias("doc_id"), "source", "tokens", F.col("copies").cast("bigint").alias("copies"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source with a target: its share of the mixture."""
+    return mixing.shares(*_mixed(spark, folder))
+
+
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(spark, table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
+P9_WORDS = 60
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The reading level of every document with enough English prose."""
+    return _levels(spark, folder).filter((F.col("words") >= P9_WORDS) & F.col("level").isNotNull()).select(F.col("id").alias("doc_id"), F.col("level").alias("reading_level"))
+
+
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its words of English prose, years of school, and the shares of its sentences' levels."""
+    return _levels(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 _STAND_INS = ", ".join(f"'{x}'" for x in STAND_INS)
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
 _NO_VALUE = "({0} IS NULL OR (length({0}) <= 40 AND trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) IN ('', " + _STAND_INS + ")))"
@@ -123,5 +168,5 @@ r AS (SELECT raw_id, coalesce(max(v) FILTER (k = 'title'), '') AS a, coalesce(ma
 P4_FOUND_SQL = _P4 + "SELECT min(raw_id) OVER (PARTITION BY a, b, d) AS first_raw_id, raw_id FROM r QUALIFY raw_id <> first_raw_id"
 P4_COUNTS_SQL = _P4 + "SELECT min(raw_id) AS raw_id, count(*) AS copies FROM r GROUP BY a, b, d"
 
-QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts}
+QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p7_containers": p7_containers, "p7_report": p7_report, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 SQL = {"p1_found": P1_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_counts": P4_COUNTS_SQL}
