@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import dims
 from lodesift.operators.decode import contained
-from lodesift.sources.har import har_table
+from lodesift.sources.har import har_lists, har_table
 
 SHORTEST_SENTINEL = 16
 AROUND = 80
@@ -66,23 +66,21 @@ def har_candidates(parsed: DataFrame, keys: list[str], column: str = "log") -> D
 
     Names of pairs are searched too, as values can leak into them.
     """
-    entries = har_table(parsed, keys, "entries", column)
-    about = ["request_method", "request_url", "response_status"]
-    same = [*keys, "entry_index"]
+    same = [*keys, "entry_index", "ord", "item_index", "part", "direction", "surface", "location", "value", "method", "url", "status"]
     at = F.concat(F.lit("entries["), F.col("entry_index"), F.lit("]."))
     single = [(0, "request", "request_url", "request.url", "request_url"), (4, "request", "request_body", "request.postData.text", "request_postData_text"), (8, "response", "response_body", "response.content.text", "response_content_text")]
-    parts = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(0).alias("item_index"), F.lit(0).alias("part"), F.lit(d).alias("direction"), F.lit(s).alias("surface"), F.concat(at, F.lit(p)).alias("location"), F.col(c).alias("value")) for o, d, s, p, c in single])
-    out = entries.select(*same, *about, F.explode(parts).alias("_p")).select(*same, *about, "_p.*")
-    meta = entries.select(*same, *about)
-    names = ["name", "value", "fileName"]
-    for o, d, surface, name, shown in LISTS:
-        items = har_table(parsed, keys, f"{d}.{name}", column)
-        kind = F.when(F.lower("name").isin(dims.MASKED_HEADERS), surface + "_sensitive").otherwise(surface) if surface.endswith("_header") else F.lit(surface)
-        where = F.concat(at, F.lit(f"{d}.{shown}["), F.col("item_index"), F.lit("]."))
-        fields = F.array(*[F.struct(F.lit(k).alias("part"), F.concat(where, F.lit(n)).alias("location"), F.col(n).alias("value")) for k, n in enumerate(names)])
-        long = items.select(*same, F.lit(o).alias("ord"), "item_index", F.lit(d).alias("direction"), kind.alias("surface"), F.explode(fields).alias("_f")).select(*same, "ord", "item_index", "direction", "surface", "_f.*")
-        out = out.unionByName(long.join(meta, same).select(*out.columns))
-    return out.filter(F.col("value").isNotNull()).withColumnsRenamed({"request_method": "method", "request_url": "url", "response_status": "status"})
+    fields = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(0).alias("item_index"), F.lit(0).alias("part"), F.lit(d).alias("direction"), F.lit(s).alias("surface"), F.concat(at, F.lit(p)).alias("location"), F.col(c).alias("value")) for o, d, s, p, c in single])
+    entries = har_table(parsed, keys, "entries", column)
+    out = entries.select(*keys, "entry_index", F.col("request_method").alias("method"), F.col("request_url").alias("url"), F.col("response_status").alias("status"), F.explode(fields).alias("_f")).select(*keys, "entry_index", "method", "url", "status", "_f.*").select(*same)
+    above = {"method": "entries[].request.method", "url": "entries[].request.url", "status": "entries[].response.status"}
+    items = har_lists(parsed, keys, [f"{d}.{n}" for _, d, _, n, _ in LISTS], column, above)
+    kinds = F.create_map(*[x for o, d, s, n, shown in LISTS for x in (F.lit(f"{d}.{n}"), F.struct(F.lit(o).alias("ord"), F.lit(d).alias("direction"), F.lit(s).alias("surface"), F.lit(f"{d}.{shown}[").alias("shown")))])
+    items = items.withColumn("_k", kinds[F.col("list")])
+    masked = F.col("_k.surface").endswith("_header") & F.coalesce(F.lower("name").isin(dims.MASKED_HEADERS), F.lit(False))
+    where = F.concat(at, F.col("_k.shown"), F.col("item_index"), F.lit("]."))
+    fields = F.array(*[F.struct(F.lit(k).alias("part"), F.concat(where, F.lit(n)).alias("location"), F.col(n).alias("value")) for k, n in enumerate(("name", "value", "fileName"))])
+    rows = items.select(*keys, "entry_index", "method", "url", "status", "item_index", "_k.ord", "_k.direction", F.when(masked, F.concat("_k.surface", F.lit("_sensitive"))).otherwise(F.col("_k.surface")).alias("surface"), F.explode(fields).alias("_f"))
+    return out.unionByName(rows.select(*keys, "entry_index", "method", "url", "status", "item_index", "ord", "direction", "surface", "_f.*").select(*same)).filter(F.col("value").isNotNull())
 
 
 def exceeds(c: Column, most_bytes: int) -> Column:

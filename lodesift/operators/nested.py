@@ -9,6 +9,7 @@ by vectorised repetition, and keys reach the children by ``take``. No row is loo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -65,70 +66,102 @@ def _member(column: pa.Array, name: str) -> pa.Array:
     return pc.struct_field(column, name)
 
 
-def child_rows(batch: pa.RecordBatch, keys: list[str], column: str, steps: list[str], names: list[str]) -> tuple[list[pa.Array], pa.Array]:
-    """The elements reached from ``column`` by ``steps`` and, for each, its keys and indexes.
+class Level(NamedTuple):
+    """The rows reached after a list: their elements, and for each the row of every level above."""
 
-    A step is a member's name or ``[]``, which goes down to the elements of a list; ``names`` has a
-    name for each ``[]``. Returns the arrays of keys and indexes in that order, then the elements.
-    """
-    at, here, found = np.arange(batch.num_rows), batch.column(column), []
+    elements: pa.Array
+    above: list[np.ndarray]
+    place: list[np.ndarray]
+
+
+def descend(batch: pa.RecordBatch, column: str, steps: list[str]) -> list[Level]:
+    """The levels on the way from ``column`` along ``steps``; a step is a member's name or ``[]``."""
+    here = batch.column(column)
+    levels = [Level(here, [np.arange(batch.num_rows)], [])]
     for step in steps:
         if step == "[]":
             rows, place, here = _list_parts(here)
-            at = at[rows]
-            found = [x[rows] for x in found] + [place]
+            last = levels[-1]
+            levels.append(Level(here, [x[rows] for x in last.above] + [np.arange(len(place))], [x[rows] for x in last.place] + [place]))
         else:
             here = _member(here, step)
-    take = pa.array(at)
-    return [batch.column(k).take(take) for k in keys] + [pa.array(x.astype(np.int32)) for x in found], here
+    return levels
+
 
+def _steps(path: str) -> list[str]:
+    return [p for part in path.split(".") for p in ([part[:-2], "[]"] if part.endswith("[]") else [part])]
 
-def flatten(df: DataFrame, keys: list[str], column: str, path: str, indexes: list[str], keep_null: bool = False) -> DataFrame:
-    """The child table at ``path`` below the nested ``column``.
 
-    ``path`` such as ``log.entries[].request.headers[]`` ends with a list; each row is one element of
-    it, with the parents' ``keys``, an index column (from 0, over all elements, null ones included) for
-    each list on the way, named by ``indexes``, and the element's scalar members (or ``value`` where
-    the elements are scalars). Members that are lists or structs are tables of their own or read by a
-    longer path; a struct's scalar members come with the struct's name in front (``request_url``).
-    Members that clash with a key or an index get ``_2`` behind their name.
+def flatten_lists(df: DataFrame, keys: list[str], column: str, paths: dict[str, str], indexes: list[str], tag: str, carry: dict[str, str] | None = None, keep_null: bool = False) -> DataFrame:
+    """Child tables of the same shape below the nested ``column``, one under the other, in one pass.
+
+    ``paths`` has for each value of the column ``tag`` a path such as ``entries[].request.headers[]``
+    that ends with a list; each row is one element, with the parents' ``keys``, an index column (from 0,
+    over all elements, null ones included) for each list on the way, named by ``indexes``, and the
+    element's scalar members (or ``value`` where the elements are scalars). ``carry`` takes members of
+    the records above along: a name and a path such as ``entries[].request.url``. Members that are lists
+    are tables of their own; a struct's scalar members come with the struct's name in front
+    (``request_url``). Names that clash get ``_2`` behind them.
 
     Null, missing and empty lists give no rows; null elements give none either unless ``keep_null``.
     Rows with equal keys are kept apart only by their order, so keys should be unique. A null key is
     carried down like any other.
     """
-    steps = [p for part in path.split(".") for p in ([part[:-2], "[]"] if part.endswith("[]") else [part])]
-    if steps[-1] != "[]" or steps.count("[]") != len(indexes):
-        raise ValueError(f"{path}: it must end with a list and have an index name for each list")
-    kind = df.schema[column].dataType
-    for step in steps:
-        kind = kind.elementType if step == "[]" else kind[step].dataType
-    leaves = _leaves(kind)
-    taken, out_names = {*keys, *indexes}, []
+    carry = carry or {}
+    steps, kinds = {t: _steps(p) for t, p in paths.items()}, []
+    for t, way in steps.items():
+        if way[-1] != "[]" or way.count("[]") != len(indexes):
+            raise ValueError(f"{paths[t]}: it must end with a list and have an index name for each list")
+        kinds.append(_below(df.schema[column].dataType, way))
+    leaves = [x for x in _leaves(kinds[0]) if all(x in _leaves(k) for k in kinds)]
+    carried = {n: _steps(p) for n, p in carry.items()}
+    taken, names = {*keys, *indexes, *carry, tag}, []
     for _, name in leaves:
         while name in taken:
             name += "_2"
         taken.add(name)
-        out_names.append(name)
-    leaf_types = [_at(kind, p) for p, _ in leaves]
-    schema = T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keys], *[T.StructField(i, T.IntegerType()) for i in indexes], *[T.StructField(n, t) for n, t in zip(out_names, leaf_types)]])
+        names.append(name)
+    schema = T.StructType([
+        *[T.StructField(k, df.schema[k].dataType) for k in keys], *[T.StructField(i, T.IntegerType()) for i in indexes], T.StructField(tag, T.StringType()),
+        *[T.StructField(n, _below(df.schema[column].dataType, w)) for n, w in carried.items()], *[T.StructField(n, _at(kinds[0], p)) for n, (p, _) in zip(names, leaves)],
+    ])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, here = child_rows(batch, keys, column, steps, indexes)
-            values = []
-            for p, _ in leaves:
-                x = here
-                for name in p:
-                    x = _member(x, name)
-                values.append(x)
-            out = pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip([*linked, *values], arrow)], schema=arrow)
-            yield out if keep_null else out.filter(pc.is_valid(here))
+            for name, way in steps.items():
+                levels = descend(batch, column, way)
+                last = levels[-1]
+                out = [batch.column(k).take(pa.array(last.above[0])) for k in keys] + [pa.array(x.astype(np.int32)) for x in last.place]
+                out.append(pa.array([name]).take(pa.array(np.zeros(len(last.elements), np.int64))))
+                for w in carried.values():
+                    depth = w.count("[]")
+                    x = levels[depth].elements
+                    for member in w[len(w) - w[::-1].index("[]") if depth else 0 :]:
+                        x = _member(x, member)
+                    out.append(x.take(pa.array(last.above[depth])))
+                for p, _ in leaves:
+                    x = last.elements
+                    for member in p:
+                        x = _member(x, member)
+                    out.append(x)
+                rows = pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(out, arrow)], schema=arrow)
+                yield rows if keep_null else rows.filter(pc.is_valid(last.elements))
 
     return df.select(*dict.fromkeys([*keys, column])).mapInArrow(run, schema)
 
 
+def flatten(df: DataFrame, keys: list[str], column: str, path: str, indexes: list[str], carry: dict[str, str] | None = None, keep_null: bool = False) -> DataFrame:
+    """The child table at ``path`` below the nested ``column``; see flatten_lists."""
+    return flatten_lists(df, keys, column, {"": path}, indexes, "_list", carry, keep_null).drop("_list")
+
+
+def _below(kind: T.DataType, steps: list[str]) -> T.DataType:
+    for step in steps:
+        kind = kind.elementType if step == "[]" else kind[step].dataType
+    return kind
+
+
 def _at(kind: T.DataType, path: tuple[str, ...]) -> T.DataType:
     for name in path:
         kind = kind[name].dataType

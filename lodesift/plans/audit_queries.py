@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodesift.functions import dims
 from lodesift.functions.audit_values import unix_time
 from lodesift.operators import coverage, decode, leakscan, patternscan, register
-from lodesift.sources.har import har_table, parse_har
+from lodesift.sources.har import har_lists, har_table, parse_har
 from lodesift.sources.tables import table
 
 SENTINELS = [
@@ -62,12 +62,8 @@ def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
 def har_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Cookies, query strings and body parameters of the captures."""
     parsed = _captures(spark, folder)
-    names = [("request", "cookies"), ("request", "queryString"), ("request", "params"), ("response", "cookies")]
-    out = None
-    for d, n in names:
-        one = har_table(parsed, ["capture_id"], f"{d}.{n}").select("capture_id", "entry_index", F.lit(f"{d}.{n}").alias("list"), "item_index", "name", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = har_lists(parsed, ["capture_id"], ["request.cookies", "request.queryString", "request.params", "response.cookies"])
+    return rows.select("capture_id", "entry_index", "list", "item_index", "name", "value")
 
 
 def classify_ladder(spark: SparkSession, folder: str) -> DataFrame:

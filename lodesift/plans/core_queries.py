@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from lodesift.functions.audit_values import blank_to_null, status, unix_time
 from lodesift.operators.history import version_history
-from lodesift.sources.har import har_table, parse_har
+from lodesift.sources.har import har_lists, har_table, parse_har
 from lodesift.sources.tables import table
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each header object of the captures' requests and responses."""
     parsed = parse_har(table(spark, folder, "har_captures").select("capture_id", "har"))
-    sides = [har_table(parsed, ["capture_id"], f"{d}.headers").select("capture_id", "entry_index", F.lit(d).alias("direction"), F.col("item_index").alias("header_index")) for d in ("request", "response")]
-    return sides[0].unionByName(sides[1])
+    rows = har_lists(parsed, ["capture_id"], ["request.headers", "response.headers"])
+    return rows.select("capture_id", "entry_index", F.substring_index("list", ".", 1).alias("direction"), F.col("item_index").alias("header_index"))
 
 
 def p5_entries(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.operators.nested import complete_json, flatten, json_list, json_object
+from lodesift.operators.nested import complete_json, flatten, flatten_lists, json_list, json_object
 
 PAIR = "name STRING, value STRING, fileName STRING, comment STRING"
 BODY = "mimeType STRING, text STRING, size STRING, params STRING"
@@ -68,3 +68,8 @@ def har_table(parsed: DataFrame, keys: list[str], name: str, column: str = "log"
     if name == "entries":
         return flatten(parsed, keys, column, "entries[]", ["entry_index"])
     return flatten(parsed, keys, column, f"entries[].{name}[]", ["entry_index", "item_index"])
+
+
+def har_lists(parsed: DataFrame, keys: list[str], names: list[str], column: str = "log", carry: dict[str, str] | None = None) -> DataFrame:
+    """Several lists of the messages, such as ``request.headers``, in one pass, told apart by ``list``."""
+    return flatten_lists(parsed, keys, column, {n: f"entries[].{n}[]" for n in names}, ["entry_index", "item_index"], "list", carry)
