@@ -62,6 +62,7 @@ def unix_time(c: Column) -> Column:
     t = F.upper(stripped(c))
     compact = F.substring(t, 9, 1) == "T"
     iso = F.when(compact, F.regexp_replace(t, r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)?", "$1-$2-$3T$4:$5:$6")).otherwise(F.translate(t, ",", "."))
+    iso = F.when((F.substring(iso, 14, 1) == ":") & (F.substring(iso, 17, 1) != ":"), F.concat(F.substring(iso, 1, 16), F.lit(":00"), F.substring(iso, 17, 99))).otherwise(iso)
     behind = F.substring(iso, 11, 99)
     zoned = behind.contains("Z") | behind.contains("+") | behind.contains("-")
     whole = F.when(behind == "", F.concat(iso, F.lit("T00:00:00Z"))).when(zoned, iso).otherwise(F.concat(iso, F.lit("Z")))

@@ -25,7 +25,7 @@ BODY = {"id": "body-001", "value": LEAK, "category": "plaintext_content"}
 
 
 def test_third_party_and_masked_headers(spark):
-    got = scan(spark, [BODY], ["first.test"], postData={"text": json.dumps({"note": LEAK, "password": "hunter2hunter2"})}, headers=[{"name": "Authorization", "value": "Bearer " + LEAK}])
+    got = scan(spark, [BODY], ["first.test"], postData={"text": json.dumps({"note": LEAK, "more": "password=hunter2hunter2"})}, headers=[{"name": "Authorization", "value": "Bearer " + LEAK}])
     body = got["entries[0].request.postData.text"]
     assert body["classification"] == "third_party_unencrypted_transport" and body["classification_tags"] == ["third_party_network_payload", "unencrypted_transport"]
     assert body["confidence"] == "high" and body["decode_transforms"][:2] == ["raw", "raw -> json:$/note"] and "hunter2" not in body["excerpt"] and LEAK not in body["excerpt"]

@@ -62,7 +62,7 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     leaks = adapters.stream_leaks(adapters.stream_table(spark, df, src), ["k"], "text", ["Math.random();\nok"], 1).select("k", "pos")
     adapters.run_once(leaks, str(tmp_path / "out2"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out2")).count() == 5
-    state = adapters.stream_status(adapters.stream_table(spark, df.selectExpr("*", "k % 2 AS e"), src).selectExpr("*", "k % 2 AS e"), "e", "status", "at", "k")
+    state = adapters.stream_status(adapters.stream_table(spark, df, src).selectExpr("*", "k % 2 AS e"), "e", "status", "at", "k")
     q = state.writeStream.outputMode("complete").format("memory").queryName("state").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["status"] for r in spark.sql("SELECT * FROM state").collect()} == {"fixed"}
