@@ -46,9 +46,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     rows = rows.join(F.broadcast(named), "source")  # a row for each source with a target
     n = rows.count()
     ranges = max(1, -(-n // range_rows))
-    keyed = rows.withColumn("key", F.xxhash64("id", F.lit(seed)))
-    # Of the key's 63 upper bits the share below each bound is even.
-    keyed = keyed.withColumn("range", F.floor(F.shiftrightunsigned("key", 1) / F.lit(2.0**63) * ranges).cast("bigint"))
+    keyed = rows.withColumn("key", F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1))  # 63 bits, evenly spread
+    keyed = keyed.withColumn("range", F.least(F.floor(F.col("key") / F.lit(2.0**63) * ranges), F.lit(ranges - 1)).cast("bigint"))
     budgets = stored(_budgets(rows, targets, total))
     sums = keyed.groupBy("source", "range").agg(F.sum("tokens").alias("s"), F.count("*").alias("c"))
     before = F.sum("s").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))

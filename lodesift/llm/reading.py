@@ -4,9 +4,9 @@ Running prose is taken out of a document line by line (no headings, code, tables
 into sentences, and sentences of other languages are left aside. A regularised multinomial model over
 words, character n-grams within words, and a sentence's length gives each sentence's level; it is fitted
 on sentences of rated documents, then on its own sharpened view of them, since a document of one level
-has sentences of others. A document's mean sentence distribution is calibrated to the years of school
-that reliable raters give; how reliable a rater is shows in how far their ratings are from what text
-and other raters say.
+has sentences of others. A document's sentence distribution is calibrated, by a second such
+model, to the level and the years of school that reliable raters give; how reliable a rater is shows in
+how far their ratings are from what text and other raters say.
 
 Fitting uses a bounded sample: at most ``most_docs`` rated documents, the first by hash of their id,
 and at most ``most_sentences`` sentences of each, by hash of the sentence. Everything is scored.
@@ -77,7 +77,8 @@ class Model(NamedTuple):
     weights: np.ndarray  # buckets x levels
     lengths: np.ndarray  # length classes x levels
     bias: np.ndarray
-    calibration: np.ndarray  # of the mean distribution: years
+    calibration: np.ndarray  # shares of words and of sentences in each level, and 1: scores of levels
+    years: np.ndarray  # mean years of the rated documents of each level
 
 
 BUCKETS = 1 << 15
@@ -167,6 +168,24 @@ def _fit_sentences(rows: list[list[int]], features: list[list[int]], lengths: np
     return W, L, b
 
 
+def _shares(best: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Shares of words, then of sentences, in sentences of each level, and 1."""
+    words, lines = np.bincount(best, counts, LEVELS), np.bincount(best, minlength=LEVELS)
+    return np.concatenate([words / max(1, counts.sum()), lines / max(1, len(best)), [1.0]])
+
+
+def _calibrated(x: np.ndarray, goal: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
+    """Multinomial regression of a document's level on its shares."""
+    C = np.zeros((x.shape[1], LEVELS))
+    C[np.arange(2 * LEVELS), np.arange(2 * LEVELS) % LEVELS] = 1.0  # what a document mostly has is its level
+    start, G, weight = C.copy(), np.full_like(C, 1e-8), weight / weight.sum()
+    for _ in range(rounds):
+        g = x.T @ ((_softmax(x @ C) - goal) * weight[:, None]) + ridge * (C - start)
+        G += g * g
+        C -= 0.5 * g / np.sqrt(G)
+    return C
+
+
 def rater_weights(ratings: list[tuple[int, str, float]], expected: dict[int, float] | None = None) -> dict[str, float]:
     """1 / mean squared distance of each rater to what others (or ``expected``) say; 0 for an unreliable one.
 
@@ -244,14 +263,17 @@ def fit(texts: dict[int, str], ratings: list[tuple[int, str, float]], rounds: in
         sharp = p**4
         goal = sharp / sharp.sum(1, keepdims=True)
         goal[~rated] = 1 / LEVELS
-        mean = np.stack([np.bincount(at, (p.argmax(1) == k) * lengths_, len(order)) for k in range(LEVELS)], 1) / np.bincount(at, lengths_, len(order))[:, None]
+        best = p.argmax(1)
+        x = np.array([_shares(best[at == k], lengths_[at == k]) for k in range(len(order))])
         known = np.array([d in years for d in order])
-        x, y = mean[known], np.array([years[d] for d in order[known]])
-        centre = np.array([4.0, 10.5, 17.5])  # where a level no rating shows would lie
-        calibration = centre + np.linalg.solve(x.T @ x + 0.5 * np.eye(LEVELS), x.T @ (y - x @ centre))
-        expected = dict(zip(order.tolist(), (mean @ calibration).tolist()))
+        y = np.array([years[d] for d in order[known]])
+        of = np.array([level_of(v) - 1 for v in y])
+        calibration = _calibrated(x[known], np.eye(LEVELS)[of], 1.0 / np.bincount(of, minlength=LEVELS)[of])
+        centre = np.array([4.0, 10.5, 17.5])  # of a level that no rating shows
+        centre = np.array([y[of == k].mean() if (of == k).any() else centre[k] for k in range(LEVELS)])
+        expected = dict(zip(order.tolist(), (_softmax(x @ calibration) @ centre).tolist()))
         trust = rater_weights(ratings, expected)
-    return Model(W, L, b, calibration)
+    return Model(W, L, b, calibration, centre)
 
 
 def _scored(model: Model):  # noqa: ANN202
@@ -271,9 +293,9 @@ def _scored(model: Model):  # noqa: ANN202
                 sizes = np.array([len(words[k]) for k in kept])
                 sums = np.add.reduceat(reader.scores[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
                 best = (sums + model.lengths[_length_class(counts[kept])] + model.bias).argmax(1)
-                share = np.bincount(best, counts[kept], LEVELS) / n
-                years = float(share @ model.calibration)
-                out.append((i, n, years, level_of(years), *share.tolist()))
+                share = _shares(best, counts[kept])
+                chance = _softmax((share @ model.calibration)[None])[0]
+                out.append((i, n, float(chance @ model.years), int(chance.argmax()) + 1, *share[:LEVELS].tolist()))
             columns = list(zip(*out)) or [[]] * (4 + LEVELS)
             arrays = [pa.array(c, t or batch.schema.field(0).type) for c, t in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "words", "years", "level", "easy", "middle", "hard"])
@@ -302,7 +324,7 @@ def reading_levels(spark: SparkSession, documents: DataFrame, labels: DataFrame,
     schema = f"id {kind}, words BIGINT, years DOUBLE, level INT, easy DOUBLE, middle DOUBLE, hard DOUBLE"
     rows = documents.select("doc_id", "text")
     if model is None:
-        blank = Model(np.zeros((BUCKETS, LEVELS)), np.zeros((LENGTH_CLASSES, LEVELS)), np.zeros(LEVELS), np.zeros(LEVELS))
+        blank = Model(np.zeros((BUCKETS, LEVELS)), np.zeros((LENGTH_CLASSES, LEVELS)), np.zeros(LEVELS), np.zeros((2 * LEVELS + 1, LEVELS)), np.zeros(LEVELS))
         nothing = [F.lit(None).cast(t).alias(n) for n, t in (("years", "double"), ("level", "int"), ("easy", "double"), ("middle", "double"), ("hard", "double"))]
         return rows.mapInArrow(_scored(blank), schema).select("id", "words", *nothing)
     return rows.mapInArrow(_scored(model), schema)

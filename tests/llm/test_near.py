@@ -71,7 +71,7 @@ def test_nulls_blanks_repeats_long_and_empty(spark):
 
 
 def test_words(spark):
-    df = spark.createDataFrame([("Ab-Cd_1é K", None), (None, None)], "t STRING, u STRING")
+    df = spark.createDataFrame([("Ab-Cd_1é \u212a", None), (None, None)], "t STRING, u STRING")
     assert [r[0] for r in df.select(near.words_of(F.col("t"), F.col("u"))).collect()] == ["ab cd 1", ""]
 
 

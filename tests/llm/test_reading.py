@@ -12,7 +12,7 @@ NOUNS = "box door key list note card lamp page team map".split()
 HARD_NOUNS = "institutional accountability|pseudonymization methodology|authentication infrastructure|probabilistic identification".split("|")
 
 
-def text(rng, kinds, n=14):
+def text(rng, kinds, n=40):
     out = []
     for _ in range(n):
         s = rng.choice(rng.choice(kinds))
