@@ -122,6 +122,14 @@ class Words:
         return got
 
 
+    def unexplained(self, text: str) -> int:
+        """Characters outside words of four letters or more that keep to the text's capitals."""
+        left = 0
+        for part in PARTS.findall(text):
+            left += len(part) if part.isdigit() else len(part) - sum(len(w) for w in segment(part.lower(), self.costs)[0] if len(w) > 3)
+        return left
+
+
 class Found(NamedTuple):
     start: int
     end: int
@@ -153,13 +161,14 @@ LINE = re.compile(rf"""(?m)^[ \t]*(?:[#;*>]+[ \t]*|//[ \t]*|--[ \t]+|<!--[ \t]*|
 FLOW = re.compile(r"""[{,]\s*(?P<n>[A-Za-z_][\w\-.]*)\s*:\s*(?P<v>[^\s"'`,{}\[\]]+)\s*(?=[,}])""")
 FLAG = re.compile(r"""(?<![\w-])--?(?P<n>[A-Za-z][\w\-]{1,40})(?:[ \t]+|=)(?P<v>[^\s"'`\\-][^\s"'`\\]*)""")
 USER_FLAG = re.compile(r"""(?<![\w-])(?:-u|--user)[ \t=]+["']?[\w.\-]+:(?P<v>[^\s"'`]+)""")
-URL_USER = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@"'`<>]*:(?P<v>[^\s/@"'`]+)@""")
+URL_USER = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@"'`<>]*:(?P<v>[^\s/"'`]+)@""")
 QUERY = re.compile(r"""[?&;](?:amp;)?(?P<n>[A-Za-z_][\w.\- ]*)=(?P<v>[^&;\s"'`]+)""")
 PAIR_START = re.compile(r"""["'`](?P<n>[A-Za-z_][\w]*)=(?P<v>[^&;\s"'`]+)[;&]""")
 SCHEME = re.compile(r"""\b(?P<s>Bearer|Basic|Token|ApiKey|bearer|basic|token)[ \t]+(?P<v>[A-Za-z0-9][\w.~+/=\-]{7,})""")
 PROSE = re.compile(r"""(?i)\b(?P<n>password|passphrase|passwd|pwd|pw|passcode|secret|token|api[ _-]?key|credential)s?\b[^\S\r\n]*(?:is|was|=|:|->|now|still)+[^\S\r\n]*(?:now|still)?[^\S\r\n]*(?P<v>[^\s"'`,]+)""")
 GLUED_FLAG = re.compile(r"""\b(?:mysql|mysqldump|mysqladmin|mariadb|sshpass|redis-cli|7z|zip|unzip)\b[^\r\n|;]*?\s-[paP][ ]?(?P<q>["']?)(?P<v>[^\s"'`]{4,})(?P=q)""")
-DSN = re.compile(r"""["'`][\w.\-]+:(?P<v>[^\s"'`@/]+)@(?:tcp|unix|udp)\(""")
+DSN = re.compile(r"""["'`][\w.\-]+:(?P<v>[^\s"'`/]+)@(?:tcp|unix|udp)\(""")
+PIPED = re.compile(r"""\b(?:echo|printf)\s+(?:-n\s+)?["']?(?P<v>[^\s"'`|]+)["']?\s*\|[^\r\n]*--(?:password|token|pass|secret)-stdin""")
 SLASH_LOGIN = re.compile(r"""(?i)\blogin\b[^\r\n:]{0,30}:\s*[\w.\-]+\s*/\s*(?P<v>\S+)""")
 NETRC = re.compile(r"""\blogin\s+\S+\s+password\s+(?P<v>\S+)""")
 AUTH_TOKEN = re.compile(r""":_(?:authToken|password|auth)=(?P<v>[^\s"'`]+)""")
@@ -202,7 +211,7 @@ class Finder:
     def literal(self, value: str, name: str) -> bool:
         """Whether a value under a secret's name is one, and doesn't only stand for it."""
         v = value.strip()
-        if len(v) < 4 or STANDS.fullmatch(v) or LOOKUP.fullmatch(v) or PUBLIC.match(v) or HASHED.fullmatch(v):
+        if len(v) < 4 or STANDS.fullmatch(v) or self._lookup(v) or PUBLIC.match(v) or HASHED.fullmatch(v):
             return False
         if v.isdigit() and len(v) < 6 or re.fullmatch(r"\d+(?:\.\d+)?(?:ms|s|m|h|d|k|kb|mb)?", v):
             return False
@@ -220,6 +229,12 @@ class Finder:
             return False
         return not (left == 0 and not re.search(r"\d|[^\w.]", v) and re.fullmatch(r"[a-z]+(?:[._][a-z]+)+", v))
 
+    def _lookup(self, v: str) -> bool:
+        """Whether a value only says where to find one; base64 text may look like a path."""
+        if not LOOKUP.fullmatch(v):
+            return False
+        return not (v[0] == "/" and len(v) >= 16 and re.search(r"\d", v) and re.search("[A-Z]", v) and self.words.unexplained(v) >= 0.5 * len(v))
+
     def residual(self, value: str) -> bool:
         """Whether a literal is a long text that words don't explain, of no known other form."""
         if JWT.fullmatch(value):
@@ -231,7 +246,7 @@ class Finder:
         longest = max(re.findall(r"[A-Za-z0-9+/]+", value) or [""], key=len)
         if len(longest) < 12 or not all(re.search(k, longest) for k in ("[a-z]", "[A-Z]", r"\d")):
             return False
-        return self.words.of(longest)[1] >= max(5, 0.25 * len(longest))
+        return self.words.unexplained(longest) >= max(8, 0.5 * len(longest))
 
     def _judge(self, name: str, value: str, query: bool = False) -> str | None:
         strength = self.strength(name, query)
@@ -287,7 +302,7 @@ class Finder:
                         give(*m.span("v"), "address")
                     else:
                         taken.append(m.span("v"))
-        for rx in (AUTH_TOKEN, NETRC, SLASH_LOGIN, USER_FLAG, GLUED_FLAG, DSN):
+        for rx in (AUTH_TOKEN, NETRC, SLASH_LOGIN, USER_FLAG, GLUED_FLAG, DSN, PIPED):
             for m in rx.finditer(text):
                 v = m["v"].rstrip("\"'`,;)")
                 if self.literal(v, "token"):
