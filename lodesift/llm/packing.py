@@ -3,8 +3,10 @@
 Items are dealt at random to groups that fill about ``windows`` containers each; a group is packed by
 one task. There Karmarkar and Karp's differencing merges partial partitions, the one with the greatest
 imbalance with the next, the fullest windows of one meeting the emptiest of the other, until one
-partition of near-equal windows is left. If its fullest window exceeds the capacity, the number of
-windows rises; the least number that fits is searched from the lower bound upwards.
+partition of near-equal windows is left. Windows that come out filled to the brim stay as they are; the
+items of the others are differenced anew, into as few windows as they may need, with a little more room
+allowed each time. What is left at the end is differenced into the least number of windows that none
+exceeds the capacity, searched from the lower bound upwards.
 """
 
 from __future__ import annotations
@@ -84,6 +86,32 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     heads, bundle = np.unique(bundle, return_inverse=True)
     units = np.bincount(bundle, weights=sizes).astype(np.int64)
 
+    return _windows(units, capacity)[bundle]
+
+
+def _windows(units: np.ndarray, capacity: int, slack: float = 0.01, growth: float = 1.6, most_slack: float = 0.12) -> np.ndarray:
+    """Windows of items of any size: brimful ones are kept, the others' items go round again."""
+    out, left, used = np.zeros(len(units), np.int64), np.arange(len(units)), 0
+    while len(left) > 5 and slack <= most_slack:
+        sizes = units[left]
+        windows = differencing(sizes, lower_bound(sizes, capacity))
+        sums = np.bincount(windows, weights=sizes)
+        fits = sums <= capacity
+        keep = (fits if fits.all() else fits & (sums >= capacity * (1 - slack)))[windows]
+        if keep.any():
+            numbers, windows = np.unique(windows[keep], return_inverse=True)
+            out[left[keep]] = used + windows
+            used, left = used + len(numbers), left[~keep]
+        if keep.mean() < 0.1:
+            slack *= growth
+    if len(left):
+        out[left] = used + _fewest(units[left], capacity)
+    return out
+
+
+def _fewest(units: np.ndarray, capacity: int) -> np.ndarray:
+    """The least number of windows for which no window of the differencing exceeds the capacity."""
+
     def fits(k: int) -> np.ndarray | None:
         windows = differencing(units, k)
         return windows if np.bincount(windows, weights=units).max() <= capacity else None
@@ -103,7 +131,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
             low = mid + 1
         else:
             high, found = mid, got
-    return found[bundle]
+    return found
 
 
 def fill_containers(items: DataFrame, targets: DataFrame, windows: int = 96) -> DataFrame:
