@@ -6,7 +6,9 @@ imbalance with the next, the fullest windows of one meeting the emptiest of the
 partition of near-equal windows is left. Windows that come out filled to the brim stay as they are; the
 items of the others are differenced anew, into as few windows as they may need, with a little more room
 allowed each time. What is left at the end is differenced into the least number of windows that none
-exceeds the capacity, searched from the lower bound upwards.
+exceeds the capacity, searched from the lower bound upwards. Windows of few items, which differencing
+leaves unevenly filled, are then parted anew two by two, one as full as can be, until the emptier ones
+are used up.
 """
 
 from __future__ import annotations
@@ -86,7 +88,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     heads, bundle = np.unique(bundle, return_inverse=True)
     units = np.bincount(bundle, weights=sizes).astype(np.int64)
 
-    return _windows(units, capacity)[bundle]
+    return _squeezed(_windows(units, capacity), units, capacity)[bundle]
 
 
 def _windows(units: np.ndarray, capacity: int, slack: float = 0.01, growth: float = 1.6, most_slack: float = 0.12) -> np.ndarray:
@@ -109,6 +111,55 @@ def _windows(units: np.ndarray, capacity: int, slack: float = 0.01, growth: floa
     return out
 
 
+def _fullest(sizes: list[int], capacity: int) -> tuple[int, int]:
+    """The greatest sum of a choice of sizes up to ``capacity``, and the choice as bits."""
+    sums = {0: 0}
+    for k, x in enumerate(sizes):
+        for s, bits in [*sums.items()]:
+            if s + x <= capacity and s + x not in sums:
+                sums[s + x] = bits | 1 << k
+    best = max(sums)
+    return best, sums[best]
+
+
+def _squeezed(windows: np.ndarray, units: np.ndarray, capacity: int, most_items: int = 10) -> np.ndarray:
+    """Fewer windows: the emptiest gives its items to the others, of which each takes the choice that fills it best.
+
+    Two windows of more than ``most_items`` items together are left alone.
+    """
+    n = int(windows.max()) + 1
+    if len(units) > n * most_items / 2:
+        return windows
+    held: list[list[int]] = [[] for _ in range(n)]
+    for k, w in enumerate(windows.tolist()):
+        held[w].append(k)
+    sums = np.bincount(windows, weights=units, minlength=n).astype(np.int64)
+    size = units.tolist()
+    while sum(map(bool, held)) > 1:
+        open_ = min((w for w in range(n) if held[w]), key=lambda w: (sums[w], w))
+        gained = True
+        while held[open_] and gained:
+            gained = False
+            for w in sorted((w for w in range(n) if w != open_ and held[w] and sums[w] < capacity), key=lambda w: (sums[w], w)):
+                items = held[w] + held[open_]
+                if len(items) > most_items:
+                    continue
+                best, bits = _fullest([size[k] for k in items], capacity)
+                if best > sums[w]:
+                    held[w], held[open_] = [k for j, k in enumerate(items) if bits >> j & 1], [k for j, k in enumerate(items) if not bits >> j & 1]
+                    sums[open_] -= best - sums[w]
+                    sums[w] = best
+                    gained = True
+                    if not held[open_]:
+                        break
+        if held[open_]:
+            break  # no window takes any more of the emptiest
+    out = np.zeros(len(units), np.int64)
+    for number, h in enumerate(h for h in held if h):
+        out[h] = number
+    return out
+
+
 def _fewest(units: np.ndarray, capacity: int) -> np.ndarray:
     """The least number of windows for which no window of the differencing exceeds the capacity."""
 

@@ -26,6 +26,23 @@ def test_packing_is_whole_and_close_to_the_bound(seed):
     assert filled.max() <= capacity and len(windows) == 400 and len(filled) <= 1.03 * packing.lower_bound(sizes, capacity) + 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_few_items_a_window(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 512, 220)
+    filled = np.bincount(packing.pack(sizes, 512), weights=sizes)
+    assert filled.max() <= 512 and filled.min() > 0 and len(filled) <= 1.08 * packing.lower_bound(sizes, 512)
+
+
+def test_fullest_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        sizes = rng.integers(1, 60, 7).tolist()
+        best, bits = packing._fullest(sizes, 100)
+        sums = [sum(x for j, x in enumerate(sizes) if b >> j & 1) for b in range(128)]
+        assert best == max(x for x in sums if x <= 100) == sum(x for j, x in enumerate(sizes) if bits >> j & 1)
+
+
 def test_differencing_balances():
     assert sorted(np.bincount(packing.differencing(np.array([8, 7, 6, 5, 4]), 2), weights=[8, 7, 6, 5, 4])) == [14, 16]
     assert len(set(packing.differencing(np.array([5, 5]), 4))) == 2
