@@ -9,9 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodesift.sources.ship import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The parquet table ``name`` of ``folder``."""
+    """The parquet table ``name`` of ``folder``; the executors get the package first."""
+    ship(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
