@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The register's statuses.
@@ -60,13 +60,31 @@ def unix_time(c: Column) -> Column:
     clock times give null.
     """
     t = F.upper(stripped(c))
-    compact = F.substring(t, 9, 1) == "T"
-    iso = F.when(compact, F.regexp_replace(t, r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)?", "$1-$2-$3T$4:$5:$6")).otherwise(F.translate(t, ",", "."))
-    iso = F.when((F.substring(iso, 14, 1) == ":") & (F.substring(iso, 17, 1) != ":"), F.concat(F.substring(iso, 1, 16), F.lit(":00"), F.substring(iso, 17, 99))).otherwise(iso)
+    return _seconds(t, _iso(t))
+
+
+def with_unix_time(df: DataFrame, column: str, to: str) -> DataFrame:
+    """``df`` with ``to``, the unix_time of ``column``, worked out in steps of which each is computed once."""
+    steps = df.withColumn("_lodesift_t", F.upper(stripped(F.col(column)))).withColumn("_lodesift_iso", _iso(F.col("_lodesift_t")))
+    return steps.withColumn(to, _seconds(F.col("_lodesift_t"), F.col("_lodesift_iso"))).drop("_lodesift_t", "_lodesift_iso")
+
+
+def _iso(t: Column) -> Column:
+    """A time with separators and seconds."""
+    minutes = (F.substring(t, 14, 1) == ":") & (F.substring(t, 17, 1) != ":")  # no seconds
+    return (
+        F.when(F.substring(t, 9, 1) == "T", F.regexp_replace(t, r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)", "$1-$2-$3T$4:$5:$6"))
+        .when(minutes, F.concat(F.substring(t, 1, 16), F.lit(":00"), F.substring(t, 17, 99)))
+        .otherwise(F.translate(t, ",", "."))
+    )
+
+
+def _seconds(t: Column, iso: Column) -> Column:
+    """Seconds of a time ``iso``, or of ``t`` if it is a bare number."""
     behind = F.substring(iso, 11, 99)
     zoned = behind.contains("Z") | behind.contains("+") | behind.contains("-")
     whole = F.when(behind == "", F.concat(iso, F.lit("T00:00:00Z"))).when(zoned, iso).otherwise(F.concat(iso, F.lit("Z")))
     good = iso.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d([.]\d+)?)?(Z|[+-]\d\d(:?\d\d)?)?)?$")
     dated = F.when(good, F.unix_seconds(whole.try_cast("timestamp")))
-    bare = F.substring(t, 5, 1).between("0", "9") & ~compact
+    bare = F.substring(t, 5, 1).between("0", "9") & (F.substring(t, 9, 1) != "T")
     return F.when(bare | (F.length(t) < 8), F.when(t.rlike(r"^[+-]?\d{1,15}([.]\d*)?$"), F.floor(t.try_cast("decimal(30,6)")).cast("bigint"))).otherwise(dated)

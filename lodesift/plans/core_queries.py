@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.functions.audit_values import blank_to_null, status, unix_time
+from lodesift.functions.audit_values import blank_to_null, status, with_unix_time
 from lodesift.operators.history import version_history
 from lodesift.sources.har import har_lists, har_table, parse_har
 from lodesift.sources.tables import table
@@ -26,11 +26,11 @@ def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 def status_versions(df: DataFrame) -> DataFrame:
     """Versions of status and note in a table such as status_history."""
-    rows = df.select(
+    rows = with_unix_time(df, "history_timestamp", "at").select(
         F.upper(blank_to_null(F.col("finding_id"))).alias("finding_id"),
         status(F.col("status")).alias("status"),
         blank_to_null(F.col("note")).alias("note"),
-        unix_time(F.col("history_timestamp")).alias("at"),
+        "at",
         "update_id",
     )
     return version_history(rows, "finding_id", "at", "update_id", ["status", "note"], needed=["status"])
