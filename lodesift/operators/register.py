@@ -13,6 +13,8 @@ from lodesift.functions import dims
 from lodesift.functions.dims import by_rank, normalized_choice, ranked
 
 TEXTS = ["recommended_fix", "impact", "severity_rationale"]
+# Other names under which a finding may carry a member.
+SYNONYMS = {"finding_id": ["id"], "surface": ["boundary_surface", "crypto_surface", "metadata_surface"], "severity_rationale": ["risk_rationale"], "recommended_fix": ["remediation"], "dedupe_key": ["duplicate_key"]}
 ID_FORM = r"^[A-Z0-9-]+-[0-9]{3,}"
 
 
@@ -51,16 +53,31 @@ def reviews_to_rerun(source: Column, title: Column, surface: Column, impact: Col
     return F.array_sort(F.array_distinct(F.concat(F.coalesce(source, none), out)))
 
 
+def resolved(df: DataFrame) -> DataFrame:
+    """Findings with every member under its main name: the first of its names that isn't empty."""
+    for name, others in SYNONYMS.items():
+        there = [F.when(F.col(c) != "", F.col(c)) for c in (name, *others) if c in df.columns]
+        df = df.withColumn(name, F.coalesce(*there) if there else F.lit(None).cast("string"))
+    return df
+
+
+def retest_steps(steps: Column, reproduction: Column) -> Column:
+    """Retest steps, with a step for each of the reproduction that isn't among them yet; a default one if there are none."""
+    again = F.transform(distinct_texts(reproduction), lambda x: F.concat(F.lit("Re-run original reproduction: "), x))
+    both = F.array_distinct(F.concat(distinct_texts(steps), again))
+    default = F.array(F.lit("Re-run the original reproduction steps against the fixed version and collect evidence."))
+    return F.when(F.size(both) > 0, both).otherwise(default)
+
+
 def normalized(df: DataFrame, order: list[str]) -> DataFrame:
     """Findings in the register's form, with ``dedupe_key`` and ``ord``, their place in the order of delivery.
 
     Unknown choices become medium and open; a missing title is ``Untitled finding``; without retest steps
-    the default one stands; null lists are empty.
+    the default one stands; null lists are empty. ``reproduction_steps`` may be missing.
     """
     none = F.expr("CAST(array() AS ARRAY<STRING>)")
     listed = lambda n: distinct_texts(F.coalesce(F.col(n), none))
-    steps = listed("retest_steps")
-    default = F.array(F.lit("Re-run the original reproduction steps against the fixed version and collect evidence."))
+    reproduction = F.coalesce("reproduction_steps", none) if "reproduction_steps" in df.columns else none
     return df.select(
         F.struct(*order).alias("ord"),
         F.coalesce(F.col("finding_id"), F.lit("")).alias("source_id"),
@@ -72,7 +89,7 @@ def normalized(df: DataFrame, order: list[str]) -> DataFrame:
         F.coalesce("surface", F.lit("")).alias("surface"),
         F.when(F.col("audit_skill").isNotNull(), F.array(strip(F.col("audit_skill")))).otherwise(none).alias("source_skills"),
         listed("affected_claims").alias("affected_claims"),
-        F.when(F.size(steps) > 0, steps).otherwise(default).alias("retest_steps"),
+        retest_steps(F.coalesce("retest_steps", none), reproduction).alias("retest_steps"),
         listed("limitations").alias("limitations"),
         F.transform(F.coalesce("evidence", F.expr("CAST(array() AS ARRAY<STRUCT<type: STRING, description: STRING, file: STRING, location: STRING, excerpt: STRING>>)")), lambda e: F.to_json(e)).alias("evidence"),
         *[F.coalesce(F.col(t), F.lit("")).alias(t) for t in TEXTS],
@@ -156,5 +173,22 @@ def latest(log: DataFrame, entity: str, value: str, order: list[str]) -> DataFra
     return log.groupBy(entity).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
+def summary_report(rows: DataFrame, id_column: str, most_rows: int = 5_000) -> str:
+    """The register as Markdown: counts by status and severity, records in order, what is left open.
+
+    A report is read by people; its tables show at most ``most_rows`` rows.
+    """
+    from lodesift.sources.files import markdown_table
+
+    counts = {r["status"]: r for r in status_by_severity(rows).collect()}  # a row for each status
+    head = ["Status", *[s.capitalize() for s in dims.SEVERITIES], "Total"]
+    table = markdown_table(head, [[dims.STATUS_LABELS[s], *[counts[s][c] for c in (*dims.SEVERITIES, "total")]] for s in dims.STATUSES])
+    columns = [id_column, "severity", "confidence", "status", "title"]
+    shown = register_order(rows, id_column).select(*columns).limit(most_rows).collect()
+    left = register_order(residual(rows), id_column).select(*columns).limit(most_rows).collect()
+    open_ = markdown_table(columns, left) if left else "No critical, high or medium findings are left open."
+    return "\n\n".join(["# Summary", "## Counts", table, "## Register", markdown_table(columns, shown), "## Residual risk", open_]) + "\n"
+
+
 def markdown_cell(c: Column) -> Column:
     return F.replace(F.translate(F.coalesce(c, F.lit("")), "\r\n", "  "), F.lit("|"), F.lit("\\|"))

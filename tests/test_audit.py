@@ -140,6 +140,21 @@ def test_summary_pivot_counts_every_row(spark):
     assert len(got) == 5 and sum(r["total"] for r in got) == 3
 
 
+def test_synonyms_and_steps(spark):
+    df = spark.createDataFrame([("", "b", None, "X-001")], "surface STRING, boundary_surface STRING, remediation STRING, id STRING")
+    got = register.resolved(df).first()
+    assert (got["surface"], got["recommended_fix"], got["finding_id"], got["dedupe_key"]) == ("b", None, "X-001", None)
+    steps = spark.createDataFrame([([" a ", ""], ["b", "b"]), ([], [])], "s ARRAY<STRING>, r ARRAY<STRING>").select(register.retest_steps(F.col("s"), F.col("r")).alias("x")).collect()
+    assert steps[0]["x"] == ["a", "Re-run original reproduction: b"] and len(steps[1]["x"]) == 1
+
+
+def test_report(spark):
+    rows = findings(spark, {"status": "open", "severity": "high", "title": "a|b", "finding_id": "X-001"}, {"status": "fixed", "severity": "low", "finding_id": "X-000"})
+    text = register.summary_report(rows, "finding_id")
+    assert "| Open | 0 | 1 | 0 | 0 | 0 | 1 |" in text and text.index("X-001") < text.index("X-000") and "a\\|b" in text
+    assert "No critical" in register.summary_report(rows.filter("status = 'fixed'"), "finding_id")
+
+
 def test_coverage(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("a", "b")], "source STRING, destination STRING")
     assert {r["node"] for r in coverage.cyclic_nodes(edges).collect()} == {"b", "c"}
