@@ -96,7 +96,7 @@ def normalized(df: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def merged(rows: DataFrame, heavy_lists: int = 1_000) -> DataFrame:
+def merged(rows: DataFrame) -> DataFrame:
     """One record for each dedupe key.
 
     The gravest severity, the least confidence, the status closest to open; the first text that isn't
