@@ -55,8 +55,8 @@ def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of the scan."""
     parsed = _captures(spark, folder)
     fields = leakscan.har_candidates(parsed, ["capture_id", "artifact"])
-    hits = leakscan.leak_matches(fields, ["capture_id"], "artifact", SENTINELS, FIRST_PARTY, depth=0, most_bytes=40)
-    return leakscan.scan_summary(parsed, hits, leakscan.skipped_fields(fields, 40), SENTINELS)
+    hits = leakscan.leak_matches(fields, ["capture_id"], "artifact", SENTINELS, FIRST_PARTY)
+    return leakscan.scan_summary(parsed, hits, leakscan.skipped_fields(fields), SENTINELS)
 
 
 def har_pairs(spark: SparkSession, folder: str) -> DataFrame:
