@@ -25,3 +25,9 @@ def test_summary_counts_long_and_encoded_fields(spark, captures):
     got = audit_queries.scan_summary(spark, captures).first()
     assert (got["entries_scanned"], got["matches"], got["findings"], got["skipped_fields"]) == (3, 2, 2, 1)
     assert audit_queries.leak_scan_har(spark, captures).count() == 2
+
+
+def test_findings_of_encoded_leaks(spark, captures):
+    got = [json.loads(r["evidence"])[0] for r in audit_queries.leak_findings(spark, captures).orderBy("id").collect()]
+    assert [e["location"] for e in got] == [f"entries[{k}].request.postData.text" for k in (0, 1)]
+    assert got[0]["description"].endswith("transform raw.") and "raw -> base64" in got[1]["description"]
