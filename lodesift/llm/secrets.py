@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 # Words that name a secret, words that make a key one, words after them that change nothing.
 NOUNS = "password passwd passwords pwd pass passphrase passcode passwort pw secret token apikey credential credentials cred creds auth authtoken jwt pat psk secretkey accesskey authkey privatekey dsnpassword userpass".split()
 KEY_OF = "api access auth private signing sign signature master encryption encrypt decryption client secret session shared account webhook storage service app application admin hmac aes root license deploy ssh rsa server cipher wrapping jwt subscription".split()
+# Words that make a key one of a table, a cache or a message, or a public one.
+OTHER_KEY_OF = "public publishable site cache sort foreign partition primary unique composite natural surrogate shard routing row object hash range index group lookup idempotency dedupe dedup".split()
 QUALIFIERS = "default value val literal string str text plain prod production dev test staging old new current b64 base64 enc encoded raw env var primary secondary here 1 2 3 main backup".split()
 # Heads that make a name something else than a secret.
 OTHER_HEADS = "id ids uid uuid guid file path dir name names url uri link endpoint header headers field fields ttl expiry expires length len min max count rate type kind hint rules rule ref label format alg algorithm regex pattern policy timeout hash hashes salt iv nonce prefix suffix index size user username host port scope scopes issuer audience provider method mode version rev revision commit sha sha1 sha256 sha512 md5 digest checksum etag integrity fingerprint thumbprint trace request build correlation span certificate cert crt public image seed signature sum crc page cursor color colour class css style placeholder title message".split()
@@ -203,7 +205,10 @@ class Finder:
         if head in NOUNS:
             return 0 if before in ("min", "max", "csrf", "xsrf", "page", "next", "public", "no", "has", "is") else 2
         if head == "key" or head == "keys":
-            return 2 if before in KEY_OF or (query and not before) else 0 if before else 1
+            if before in KEY_OF or (query and not before):
+                return 2
+            parts = [p.lower() for p in PARTS.findall(name)]
+            return 0 if before in OTHER_KEY_OF or any(a in OTHER_KEY_OF and b in ("key", "keys") for a, b in zip(parts, parts[1:])) else 1
         if head in OTHER_HEADS or (before == "public"):
             return 0
         return 1
