@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import json
 import random
+import re
 import secrets
 import string
 from pathlib import Path
@@ -206,8 +209,25 @@ def scan_summary(parsed: DataFrame, matches: DataFrame, skipped: DataFrame, sent
     return one(entries).join(one(hits), "_one").join(one(left), "_one").drop("_one").withColumn("sentinels_scanned", F.lit(len(sentinels)).cast("bigint"))
 
 
+def escaped_forms(value: str | None) -> list[tuple[str, str]]:
+    """The forms that built-in expressions can't make: JSON-escaped, in a stack trace, packed, in words.
+
+    ``json_ascii`` also escapes what isn't ASCII; ``trace`` is the value as an error message shows it,
+    control characters escaped; ``gzip`` is the packed value in base64, as ``decode`` reads it; ``token``
+    is each word as a search index keeps it, one row a word.
+    """
+    if value is None:
+        return []
+    packed = base64.b64encode(gzip.compress(value.encode("utf-8"), mtime=0)).decode()
+    forms = [("json", json.dumps(value, ensure_ascii=False)[1:-1]), ("json_ascii", json.dumps(value)[1:-1]), ("trace", repr(value)[1:-1]), ("gzip", packed)]
+    return forms + [("token", w) for w in re.findall(r"\w+", value.lower())]
+
+
 def sentinel_variants(df: DataFrame, id_column: str, value: str) -> DataFrame:
-    """Forms in which a value may leak: as is, lower case, encoded, hashed, cut, escaped."""
+    """Forms in which a value may leak: as is, lower case, encoded, hashed, cut, escaped, packed, in words.
+
+    Of forms with the same text the first stands, so a value without anything to escape has no ``json`` row.
+    """
     v = F.col(value)
     forms = {
         "exact": v, "lower": F.lower(v), "normalized": F.trim(F.regexp_replace(F.lower(v), "[^a-z0-9]+", " ")), "base64": F.base64(F.encode(v, "UTF-8")),
@@ -215,4 +235,5 @@ def sentinel_variants(df: DataFrame, id_column: str, value: str) -> DataFrame:
         "url": F.replace(F.url_encode(v), F.lit("+"), F.lit("%20")), "sha256": F.sha2(v, 256), "truncated": F.left(v, F.lit(SHORTEST_SENTINEL)),
     }
     pairs = F.array(*[F.struct(F.lit(n).alias("variant"), c.alias("text")) for n, c in forms.items()])
-    return df.select(id_column, F.explode(pairs).alias("_v")).select(id_column, "_v.*").dropDuplicates([id_column, "text"])
+    more = F.udf(escaped_forms, "ARRAY<STRUCT<variant: STRING, text: STRING>>", useArrow=False)
+    return df.select(id_column, F.explode(F.concat(pairs, more(v))).alias("_v")).select(id_column, "_v.*").dropDuplicates([id_column, "text"])

@@ -76,10 +76,15 @@ def classify_ladder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentinel_variants(spark: SparkSession, folder: str) -> DataFrame:
-    """Forms in which the products' names may leak."""
+    """Those forms of the products' names that its SQL makes as well; ``sentinel_variants_all`` has every one."""
     return leakscan.sentinel_variants(table(spark, folder, "registers").filter(F.length("product") >= 16), "register_id", "product").filter(F.col("variant").isin("exact", "base64", "hex", "sha256"))
 
 
+def sentinel_variants_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every form in which the products' names may leak."""
+    return leakscan.sentinel_variants(table(spark, folder, "registers").filter(F.length("product") >= 16), "register_id", "product")
+
+
 def leak_scan_decoded(spark: SparkSession, folder: str) -> DataFrame:
     """Encoded product names that the decoder reads again."""
     rows = table(spark, folder, "registers").filter(F.length("product") >= 16)
@@ -397,7 +402,7 @@ SELECT *, CASE WHEN category = 'low_sensitivity_control' THEN 'low' WHEN {_SENSI
 }
 
 QUERIES = {f.__name__: f for f in (
-    leak_scan_raw, leak_scan_har, leak_findings, scan_summary, har_pairs, classify_ladder, sentinel_variants, leak_scan_decoded, pattern_scan, pattern_counts, rust_section_counts, source_paths,
+    leak_scan_raw, leak_scan_har, leak_findings, scan_summary, har_pairs, classify_ladder, sentinel_variants, sentinel_variants_all, leak_scan_decoded, pattern_scan, pattern_counts, rust_section_counts, source_paths,
     byte_limit_filter, dedupe_keys, register_merge, rerun_inference, status_severity_pivot, residual_risk, current_status, choice_normalize, reference_lookup, field_class_counts, claim_counts,
     multi_surface_fields, high_cardinality_fields, high_cardinality_approx, small_anonymity_sets, fan_in_out, reviewer_merge, claim_coverage, orphan_refs, differential_fields, boundary_flows, reachability, schema_checks, time_spellings, unmapped_units,
 )}

@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+from lodesift.operators import decode
 from lodesift.plans import audit_queries
 
 HOST = "node-1.scheduler.example"
@@ -31,3 +32,17 @@ def test_findings_of_encoded_leaks(spark, captures):
     got = [json.loads(r["evidence"])[0] for r in audit_queries.leak_findings(spark, captures).orderBy("id").collect()]
     assert [e["location"] for e in got] == [f"entries[{k}].request.postData.text" for k in (0, 1)]
     assert got[0]["description"].endswith("transform raw.") and "raw -> base64" in got[1]["description"]
+
+
+def test_every_form_of_a_sentinel(spark, tmp_path):
+    value = 'Café "Nine"\nScheduler-70'
+    spark.createDataFrame([("R-1", value), ("R-2", None)], "register_id STRING, product STRING").write.parquet(f"{tmp_path}/registers.parquet")
+    rows = audit_queries.sentinel_variants_all(spark, str(tmp_path))
+    got = [(r["variant"], r["text"]) for r in rows.collect()]
+    assert {v for v, _ in got} == {"exact", "lower", "normalized", "base64", "base64url", "hex", "url", "sha256", "truncated", "json", "json_ascii", "trace", "gzip", "token"}
+    assert {t for v, t in got if v == "token"} == {"café", "nine", "scheduler", "70"}
+    forms = dict(got)
+    assert forms["json"] == 'Café \\"Nine\\"\\nScheduler-70' and forms["json_ascii"] == 'Caf\\u00e9 \\"Nine\\"\\nScheduler-70' and forms["trace"] == 'Café "Nine"\\nScheduler-70'
+    packed = decode.decoded_values(rows.filter("variant = 'gzip'"), ["variant"], "text", depth=1)
+    assert packed.filter(packed["decoded"] == value).count() == 1
+    assert audit_queries.sentinel_variants(spark, str(tmp_path)).count() == 4
