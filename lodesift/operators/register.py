@@ -15,6 +15,8 @@ from lodesift.functions.dims import by_rank, normalized_choice, ranked
 TEXTS = ["recommended_fix", "impact", "severity_rationale"]
 # Other names under which a finding may carry a member.
 SYNONYMS = {"finding_id": ["id"], "surface": ["boundary_surface", "crypto_surface", "metadata_surface"], "severity_rationale": ["risk_rationale"], "recommended_fix": ["remediation"], "dedupe_key": ["duplicate_key"]}
+# Lists of a finding that not every document has.
+OPTIONAL_LISTS = ["fix_commits", "retest_evidence", "status_history"]
 ID_FORM = r"^[A-Z0-9-]+-[0-9]{3,}"
 
 
@@ -73,12 +75,16 @@ def normalized(df: DataFrame, order: list[str]) -> DataFrame:
     """Findings in the register's form, with ``dedupe_key`` and ``ord``, their place in the order of delivery.
 
     Unknown choices become medium and open; a missing title is ``Untitled finding``; without retest steps
-    the default one stands; null lists are empty. ``reproduction_steps`` may be missing.
+    the default one stands; null lists are empty. ``reproduction_steps`` may be missing, and so may
+    ``affected_skills_to_rerun``, for which the reviews that the finding's words call for stand, and the
+    optional lists, whose items are texts or JSON.
     """
     none = F.expr("CAST(array() AS ARRAY<STRING>)")
     listed = lambda n: distinct_texts(F.coalesce(F.col(n), none))
     reproduction = F.coalesce("reproduction_steps", none) if "reproduction_steps" in df.columns else none
-    return df.select(
+    optional = [n for n in OPTIONAL_LISTS if n in df.columns]
+    as_text = lambda n: F.transform(F.col(n), lambda x: x if df.schema[n].dataType.elementType.simpleString() == "string" else F.to_json(x))
+    rows = df.select(
         F.struct(*order).alias("ord"),
         F.coalesce(F.col("finding_id"), F.lit("")).alias("source_id"),
         dedupe_key(F.col("dedupe_key"), [F.col("title"), F.col("surface"), F.array_join(F.coalesce("affected_claims", none), " "), F.lit(""), F.col("recommended_fix")]).alias("dedupe_key"),
@@ -93,7 +99,11 @@ def normalized(df: DataFrame, order: list[str]) -> DataFrame:
         listed("limitations").alias("limitations"),
         F.transform(F.coalesce("evidence", F.expr("CAST(array() AS ARRAY<STRUCT<type: STRING, description: STRING, file: STRING, location: STRING, excerpt: STRING>>)")), lambda e: F.to_json(e)).alias("evidence"),
         *[F.coalesce(F.col(t), F.lit("")).alias(t) for t in TEXTS],
+        *[F.coalesce(as_text(n), none).alias(n) for n in optional],
+        (listed("affected_skills_to_rerun") if "affected_skills_to_rerun" in df.columns else none).alias("rerun"),
     )
+    called_for = reviews_to_rerun(F.col("source_skills"), F.col("title"), F.col("surface"), F.col("impact"), F.col("recommended_fix"))
+    return rows.withColumn("rerun", F.when(F.size("rerun") > 0, F.col("rerun")).otherwise(called_for))
 
 
 def merged(rows: DataFrame) -> DataFrame:
@@ -103,7 +113,7 @@ def merged(rows: DataFrame) -> DataFrame:
     empty; lists in order, equal items once. Lists are first made distinct within partitions, so that a key
     of a third of all rows moves its distinct items only.
     """
-    lists = ["source_id", "source_skills", "affected_claims", "retest_steps", "limitations", "evidence"]
+    lists = ["source_id", "source_skills", "affected_claims", "retest_steps", "limitations", "evidence", "rerun", *[n for n in OPTIONAL_LISTS if n in rows.columns]]
     main = rows.groupBy("dedupe_key").agg(
         F.count("*").alias("records"),
         F.min("ord").alias("first_ord"),
@@ -123,7 +133,7 @@ def merged(rows: DataFrame) -> DataFrame:
     for n in lists:
         out = out.withColumn(n, F.coalesce(F.col(n), none))
     out = out.fillna("", TEXTS)
-    return out.withColumnRenamed("source_id", "source_ids").withColumn("rerun", reviews_to_rerun(F.col("source_skills"), F.col("title"), F.col("surface"), F.col("impact"), F.col("recommended_fix")))
+    return out.withColumnRenamed("source_id", "source_ids")
 
 
 def status_by_severity(rows: DataFrame) -> DataFrame:
