@@ -218,7 +218,7 @@ class Finder:
         v = value.strip()
         if len(v) < 4 or STANDS.fullmatch(v) or self._lookup(v) or PUBLIC.match(v) or HASHED.fullmatch(v):
             return False
-        if v.isdigit() and len(v) < 6 or re.fullmatch(r"\d+(?:\.\d+)?(?:ms|s|m|h|d|k|kb|mb)?", v):
+        if v.isdigit() and len(v) < 6 or re.fullmatch(r"\d+(?:\.\d+)?(?:ms|s|m|h|d|k|kb|mb)|\d+\.\d+", v):
             return False
         words, left = self.words.of(v)
         letters = sum(c.isalpha() for c in v)
