@@ -183,21 +183,26 @@ def latest(log: DataFrame, entity: str, value: str, order: list[str]) -> DataFra
     return log.groupBy(entity).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def summary_report(rows: DataFrame, id_column: str, most_rows: int = 5_000) -> str:
+def summary_report(rows: DataFrame, id_column: str, most_rows: int | None = None) -> str:
     """The register as Markdown: counts by status and severity, records in order, what is left open.
 
-    A report is read by people; its tables show at most ``most_rows`` rows.
+    Its tables list all records; with ``most_rows`` the first ones, and how many are left out.
     """
-    from lodesift.sources.files import markdown_table
+    from lodesift.sources.files import left_out, markdown_table
 
     counts = {r["status"]: r for r in status_by_severity(rows).collect()}  # a row for each status
     head = ["Status", *[s.capitalize() for s in dims.SEVERITIES], "Total"]
     table = markdown_table(head, [[dims.STATUS_LABELS[s], *[counts[s][c] for c in (*dims.SEVERITIES, "total")]] for s in dims.STATUSES])
     columns = [id_column, "severity", "confidence", "status", "title"]
-    shown = register_order(rows, id_column).select(*columns).limit(most_rows).collect()
-    left = register_order(residual(rows), id_column).select(*columns).limit(most_rows).collect()
-    open_ = markdown_table(columns, left) if left else "No critical, high or medium findings are left open."
-    return "\n\n".join(["# Summary", "## Counts", table, "## Register", markdown_table(columns, shown), "## Residual risk", open_]) + "\n"
+
+    def listed(these: DataFrame) -> str:
+        ordered = register_order(these, id_column).select(*columns)
+        shown = ordered.collect() if most_rows is None else ordered.limit(most_rows).collect()
+        more = "" if most_rows is None else left_out(these.count() - len(shown))
+        return markdown_table(columns, shown) + more if shown or more else ""
+
+    open_ = listed(residual(rows)) or "No critical, high or medium findings are left open."
+    return "\n\n".join(["# Summary", "## Counts", table, "## Register", listed(rows) or markdown_table(columns, []), "## Residual risk", open_]) + "\n"
 
 
 def markdown_cell(c: Column) -> Column:

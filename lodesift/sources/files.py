@@ -84,16 +84,29 @@ def markdown_table(names: list[str], rows: Iterable[Iterable[object]]) -> str:
     return "\n".join(["| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *body])
 
 
-def markdown_report(df: DataFrame, group: str | None = None, most_rows: int = 5_000) -> str:
-    """A report of a small result: one table, or one for each value of ``group``, sorted; at most ``most_rows`` rows."""
-    rows = df.limit(most_rows).collect()
+def left_out(n: int) -> str:
+    """The line below a table that tells how many rows it lacks; empty if none."""
+    return f"\n\n{n} more rows are left out." if n > 0 else ""
+
+
+def markdown_report(df: DataFrame, group: str | None = None, most_rows: int | None = None) -> str:
+    """A report of a small result: one table, or one for each value of ``group``, sorted.
+
+    Whole by default; with ``most_rows`` its first rows by group and the other columns, and how many are
+    left out.
+    """
+    if most_rows is None:
+        rows, more = df.collect(), ""
+    else:
+        rows = df.orderBy(*([group] if group else []), *[c for c in df.columns if c != group]).limit(most_rows).collect()
+        more = left_out(df.count() - len(rows))
     names = [c for c in df.columns if c != group]
     if not group:
-        return markdown_table(names, [[r[n] for n in names] for r in rows]) + "\n"
+        return markdown_table(names, [[r[n] for n in names] for r in rows]) + more + "\n"
     parts = []
     for value in sorted({str(r[group]) for r in rows}):
         parts.append(f"## {value}\n\n" + markdown_table(names, [[r[n] for n in names] for r in rows if str(r[group]) == value]))
-    return "\n\n".join(parts) + "\n"
+    return "\n\n".join(parts) + more + "\n"
 
 
 def gate(df: DataFrame) -> int:
