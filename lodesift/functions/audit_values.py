@@ -37,8 +37,7 @@ def without_value(c: Column) -> Column:
     compared whole, so that a sentence which merely contains such a word has a value.
     """
     folded = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    short = F.length(c) <= 40
-    return c.isNull() | (short & ((folded == "") | folded.isin(STAND_INS)))
+    return c.isNull() | folded.isin("", *STAND_INS)
 
 
 def choice(c: Column, allowed: list[str]) -> Column:
@@ -51,6 +50,12 @@ def status(c: Column) -> Column:
     return choice(c, STATUSES)
 
 
+def utc_text(clock: Column | None = None) -> Column:
+    """A moment as ``2025-01-31T12:34:56Z``, by default now; ``clock`` is a TIMESTAMP that stands in for it."""
+    at = F.current_timestamp() if clock is None else clock
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def unix_time(c: Column) -> Column:
     """Seconds since 1970 UTC of a time in any of the spellings below, null where it is none.
 

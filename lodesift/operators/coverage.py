@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.sources.tables import stored
+from lodesift.sources.tables import scratch, stored
 
 
 def class_counts(rows: DataFrame, column: str, classes: DataFrame) -> DataFrame:
@@ -56,30 +56,35 @@ def fan(edges: DataFrame, source: str, destination: str) -> DataFrame:
     return out.join(into, "node", "full").fillna(0, ["fan_out", "fan_in"])
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_steps: int = 100) -> DataFrame:
-    """Nodes reachable from ``start`` along edges ``source``, ``destination``: frontier by frontier, each written out."""
-    known = stored(starts.select(F.col("start"), F.col("start").alias("node")).distinct())
-    frontier = known
-    for _ in range(most_steps):
-        frontier = stored(frontier.join(edges, frontier["node"] == edges["source"]).select("start", F.col("destination").alias("node")).distinct().join(known, ["start", "node"], "left_anti"))
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Nodes reachable from ``start`` along edges ``source``, ``destination``.
+
+    Goes frontier by frontier until one is empty. Each is written once, into one table of what is known.
+    """
+    spark, folder, step = edges.sparkSession, scratch(edges.sparkSession), 0
+    edges = stored(edges.select("source", "destination").distinct())
+    ahead = starts.select(F.col("start"), F.col("start").alias("node")).distinct()
+    kind = f"start {ahead.schema['start'].dataType.simpleString()}, node {ahead.schema['node'].dataType.simpleString()}"
+    while True:
+        ahead.write.parquet(f"{folder}/step={step}")
+        known, frontier = (spark.read.schema(kind).parquet(p) for p in (folder, f"{folder}/step={step}"))
         if frontier.isEmpty():
-            return known
-        known = stored(known.unionByName(frontier))
-    raise RuntimeError(f"no end after {most_steps} steps")
+            return known.select("start", "node")
+        ahead = frontier.join(edges, frontier["node"] == edges["source"]).select("start", F.col("destination").alias("node")).distinct().join(known, ["start", "node"], "left_anti")
+        step += 1
 
 
-def cyclic_nodes(edges: DataFrame, most_steps: int = 100) -> DataFrame:
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes that lie on a cycle or between cycles: what is left when nodes without way in or out are taken off."""
     now = stored(edges.select("source", "destination").distinct())
     size = now.count()
-    for _ in range(most_steps):
+    while True:  # each round takes edges off, or is the last
         inner = now.join(now.select(F.col("destination").alias("source")).distinct(), "source", "left_semi").join(now.select(F.col("source").alias("destination")).distinct(), "destination", "left_semi")
         now = stored(inner.select("source", "destination"))
         left = now.count()
         if left == size:
             return now.select(F.col("source").alias("node")).distinct()
         size = left
-    raise RuntimeError(f"no end after {most_steps} steps")
 
 
 def distinct_counts(rows: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
@@ -95,7 +100,10 @@ def small_groups(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
 
 
 def two_reviewers(a: DataFrame, b: DataFrame, key: str, rank: str) -> DataFrame:
-    """Findings of two reviewers by key: the stronger (lesser) rank and who has it: A, B or Both."""
+    """Findings of two reviewers by key: the stronger (lesser) rank and who has it: A, B or Both.
+
+    ``order.with_place`` by rank and key gives the order of the merged review.
+    """
     x = a.select(key, F.col(rank).alias("_a"))
     y = b.select(key, F.col(rank).alias("_b"))
     both = x.join(y, key, "full")

@@ -11,11 +11,12 @@ import secrets
 import string
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions import dims
 from lodesift.operators.decode import contained
+from lodesift.operators.order import with_place
 from lodesift.sources.har import har_lists, har_table
 
 SHORTEST_SENTINEL = 16
@@ -31,14 +32,35 @@ LISTS = [
 ]
 
 
-def sentinel_manifest(run_id: str | None = None, seed: str | None = None) -> list[dict[str, str]]:
+# What a finding of a hit says, what stands for a masked header or value, the masked patterns.
+TITLE = "Sentinel leaked via %s (%s)"
+DESCRIPTION = "%s %s://%s%s entry %d matched %s sentinel after transform %s."
+MASKED_HEADER = "<redacted-sensitive-header; sentinel=%s; offset=%d; length=%d>"
+TOO_LARGE = "field exceeds max-field-bytes"
+SECRET_PAIR = r"""(?i)\b(api[_-]?key|authorization|bearer|secret|password|passphrase|token)\b\s*[:=]\s*['"]?[^'"&\s,}]{8,}"""
+LONG_TOKEN = r"\b[A-Za-z0-9._~+/=-]{32,}\b"
+
+#: What every finding of the scan says besides; callers may pass other texts.
+ABOUT = {
+    "audit_skill": "network-payload-zero-knowledge-test",
+    "affected_claims": [],
+    "reproduction_steps": ["Seed the same sentinels in a test account.", "Repeat the flow while capturing requests and responses whole.", "Scan the capture and compare location and transform."],
+    "impact": "A protected test value could be read in network traffic, against what the product claims about it.",
+    "root_cause_hypothesis": "The value is put into a field that the network sees before it is protected end to end.",
+    "recommended_fix": "Encrypt on the client before anything is serialized, keep keys there, and send third parties and telemetry no protected values.",
+    "retest_steps": ["Make fresh sentinels.", "Repeat the flow with the same capture settings.", "Check that no sentinel shows in raw or decoded fields."],
+    "limitations": ["Only the captured flow and reversible encodings are covered."],
+}
+
+
+def sentinel_manifest(run_id: str | None = None, seed: str | None = None, prefix: str = "CANARY") -> list[dict[str, str]]:
     """Six sentinels, one for each category; random, or the same for the same ``seed`` (fixtures only)."""
     draw = random.Random(seed).choice if seed is not None else secrets.choice
     letters = string.ascii_letters + string.digits
     text = lambda n: "".join(draw(letters) for _ in range(n))
-    run = run_id or f"zknet-{text(8).lower()}"
+    run = run_id or f"run-{text(8).lower()}"
     names = ["body-001", "metadata-001", "key-001", "recovery-001", "credential-001", "control-001"]
-    return [{"id": i, "value": f"ZKNET::{run}::{c.upper()}::{text(18)}", "category": c, "use": ""} for i, c in zip(names, dims.SENTINEL_CATEGORIES)]
+    return [{"id": i, "value": f"{prefix}::{run}::{c.upper()}::{text(18)}", "category": c, "use": ""} for i, c in zip(names, dims.SENTINEL_CATEGORIES)]
 
 
 def load_sentinels(paths: list[str] = (), literals: list[str] = ()) -> list[dict[str, str]]:
@@ -133,8 +155,7 @@ def classified(df: DataFrame, first_party: list[str] = ()) -> DataFrame:
 
 def scrubbed(c: Column) -> Column:
     """Values behind secret names, then long tokens, masked."""
-    named = r"""(?i)\b(api[_-]?key|authorization|bearer|secret|password|passphrase|token)\b\s*[:=]\s*['"]?[^'"&\s,}]{8,}"""
-    return F.regexp_replace(F.regexp_replace(c, named, "$1=<redacted>"), r"\b[A-Za-z0-9._~+/=-]{32,}\b", "<redacted-token>")
+    return F.regexp_replace(F.regexp_replace(c, SECRET_PAIR, "$1=<redacted>"), LONG_TOKEN, "<redacted-token>")
 
 
 def excerpt(value: Column, sentinel: Column, sentinel_id: Column, pos: Column, surface: Column) -> Column:
@@ -143,7 +164,7 @@ def excerpt(value: Column, sentinel: Column, sentinel_id: Column, pos: Column, s
     end = F.least(pos + F.length(sentinel) + AROUND, F.length(value))
     shown = F.replace(value.substr(start + 1, end - start), sentinel, F.concat(F.lit("<SENTINEL:"), sentinel_id, F.lit(">")))
     plain = F.replace(F.replace(scrubbed(shown), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
-    masked = F.format_string("<redacted-sensitive-header; sentinel=%s; offset=%d; length=%d>", sentinel_id, pos, F.length(sentinel))
+    masked = F.format_string(MASKED_HEADER, sentinel_id, pos, F.length(sentinel))
     return F.when(surface.isin("request_header_sensitive", "response_header_sensitive"), masked).otherwise(plain)
 
 
@@ -152,8 +173,10 @@ def leak_matches(candidates: DataFrame, keys: list[str], artifact: str, sentinel
 
     Decodings of a place that show the same sentinel merge: the first gives all fields, the transforms
     are listed in order, the longest excerpt stays. Fields over ``most_bytes`` are left to
-    ``skipped_fields``. Only hits are shuffled.
+    ``skipped_fields``. Only hits are shuffled. A negative limit is an error, 0 lifts it (of ``depth``: no
+    decoding).
     """
+    _checked(depth=depth, most_bytes=most_bytes, most_values=most_values)
     spark = candidates.sparkSession
     table = spark.createDataFrame([(k, s["id"], s["value"], s["category"]) for k, s in enumerate(sentinels)], "needle_ord INT, sentinel_id STRING, sentinel STRING, category STRING")
     about = [*dict.fromkeys([*keys, artifact, "entry_index", "ord", "item_index", "part", "direction", "surface", "location", "method", "url", "status"])]
@@ -175,29 +198,34 @@ def leak_matches(candidates: DataFrame, keys: list[str], artifact: str, sentinel
     return merged.select(*place, "_first.*", "decode_transforms", F.array_join("decode_transforms", ", ").alias("decode_transform"), "excerpt")
 
 
+def _checked(**limits: int) -> None:
+    for name, limit in limits.items():
+        if limit < 0:
+            raise ValueError(f"{name} must not be negative")
+
+
 def skipped_fields(candidates: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
     """The fields too large to be searched."""
-    return candidates.filter(exceeds(F.col("value"), most_bytes)).withColumn("reason", F.lit("field exceeds max-field-bytes"))
+    _checked(most_bytes=most_bytes)
+    return candidates.filter(exceeds(F.col("value"), most_bytes)).withColumn("reason", F.lit(TOO_LARGE))
 
 
 def without_controls(matches: DataFrame) -> DataFrame:
     return matches.filter(F.col("category") != dims.CONTROL)
 
 
-def numbered(matches: DataFrame, order: list[str], prefix: str = "ZK-NET") -> DataFrame:
-    """Findings get ``id``, a number in the order of the capture; the number is global, so one task counts.
-
-    Findings are the few rows that are left of a scan.
-    """
-    return matches.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("bigint")).withColumn("id", F.format_string(f"{prefix}-%03d", "seq"))
+def numbered(matches: DataFrame, order: list[str], prefix: str = "LEAK") -> DataFrame:
+    """Findings get ``seq``, their number in the order of the capture, and ``id``."""
+    return with_place(matches, order, "seq").withColumn("id", F.format_string(f"{prefix}-%03d", "seq"))
 
 
-def findings(matches: DataFrame, artifact: str, order: list[str]) -> DataFrame:
-    """Findings of hits: id, title, evidence."""
-    rows = numbered(without_controls(matches), order)
-    text = F.format_string("%s %s://%s%s entry %d matched %s sentinel after transform %s.", "method", "scheme", "host", "path", "entry_index", "category", "decode_transform")
+def findings(matches: DataFrame, artifact: str, order: list[str], about: dict[str, str | list[str]] = ABOUT, prefix: str = "LEAK") -> DataFrame:
+    """Findings of hits, with all members of a finding; ``about`` gives those that are the same for all."""
+    rows = numbered(without_controls(matches), order, prefix)
+    text = F.format_string(DESCRIPTION, "method", "scheme", "host", "path", "entry_index", "category", "decode_transform")
     evidence = F.array(F.struct(F.lit("har-match").alias("type"), F.col(artifact).alias("file"), "location", text.alias("description"), "excerpt", "sentinel_id", "fingerprint"))
-    return rows.select("id", F.format_string("Sentinel leaked via %s (%s)", "surface", "classification").alias("title"), "severity", "confidence", "surface", "classification", "classification_tags", evidence.alias("evidence"))
+    same = [(F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)).alias(n) for n, v in about.items()]
+    return rows.select("id", F.format_string(TITLE, "surface", "classification").alias("title"), "severity", "confidence", "surface", "classification", "classification_tags", evidence.alias("evidence"), *same)
 
 
 def scan_summary(parsed: DataFrame, matches: DataFrame, skipped: DataFrame, sentinels: list[dict[str, str]], column: str = "log") -> DataFrame:
@@ -236,4 +264,5 @@ def sentinel_variants(df: DataFrame, id_column: str, value: str) -> DataFrame:
     }
     pairs = F.array(*[F.struct(F.lit(n).alias("variant"), c.alias("text")) for n, c in forms.items()])
     more = F.udf(escaped_forms, "ARRAY<STRUCT<variant: STRING, text: STRING>>", useArrow=False)
-    return df.select(id_column, F.explode(F.concat(pairs, more(v))).alias("_v")).select(id_column, "_v.*").dropDuplicates([id_column, "text"])
+    rows = df.select(id_column, F.posexplode(F.concat(pairs, more(v))).alias("_n", "_v")).select(id_column, "_n", "_v.*")
+    return rows.groupBy(id_column, "text").agg(F.min_by("variant", "_n").alias("variant")).select(id_column, "variant", "text")

@@ -6,10 +6,13 @@ without a shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions import dims
+from lodesift.operators.order import with_place
 
 
 def lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -34,7 +37,7 @@ def is_test_path(path: Column) -> Column:
 
 def is_source_path(path: Column) -> Column:
     """Whether the suffix, case counting, is one of source files."""
-    return path.rlike(r"[^/]\.(" + "|".join(dims.SOURCE_SUFFIXES) + r")$")
+    return path.rlike("[^/](" + "|".join(map(re.escape, dims.SOURCE_SUFFIXES)) + ")$")
 
 
 def in_left_out_folder(path: Column, more: list[str] = ()) -> Column:
@@ -45,6 +48,7 @@ def in_left_out_folder(path: Column, more: list[str] = ()) -> Column:
 
 def masked_line(text: Column, most: int = 500) -> Column:
     """A line with quoted literals of 12 characters or more and assigned secrets masked, cut to ``most``."""
+    # The two patterns and what stands for a match.
     plain = F.regexp_replace(text, r"""(['"])[A-Za-z0-9+/=_-]{12,}\1""", "$1<redacted-long-literal>$1")
     plain = F.regexp_replace(plain, r"""(?i)(key|secret|password|token|passphrase)\s*[:=]\s*(['"])[^'"]+\2""", "$1=<redacted>")
     return F.when(F.length(plain) > most, F.concat(F.left(plain, F.lit(most - 3)), F.lit("..."))).otherwise(plain)
@@ -56,18 +60,36 @@ def pattern_hits(rows: DataFrame, text: str, patterns: list[tuple[str, str, str,
     return rows.withColumn("_hit", F.explode(F.array_compact(found))).select(*rows.columns, "_hit.*")
 
 
-def static_scan(sources: DataFrame, path: str, text: str, most_length: int = 500) -> DataFrame:
-    """Lines of source files that match the scan's patterns, masked: path, line, category, severity_hint, test_path, note, excerpt."""
-    rows = lines(sources.filter(~in_left_out_folder(F.col(path))), [path], text)
-    hits = pattern_hits(rows, "text", dims.PATTERNS)
-    return hits.select(F.col(path).alias("path"), "line", "pattern_ord", "category", "severity_hint", is_test_path(F.col(path)).alias("test_path"), "note", masked_line(F.col("text"), most_length).alias("excerpt"))
+def static_scan(sources: DataFrame, path: str, text: str, most_length: int = 500, leave_out: list[str] = (), all_text: bool = False) -> DataFrame:
+    """Lines of source files that match the scan's patterns, masked: path, line, category, severity_hint, test_path, note, excerpt.
+
+    Files are chosen by suffix, or all of them with ``all_text``; folders of builds and caches are left out,
+    and those named in ``leave_out``. Two rows of the same path are two files.
+    """
+    chosen = sources.filter(~in_left_out_folder(F.col(path), list(leave_out)) & (F.lit(all_text) | is_source_path(F.col(path))))
+    hits = pattern_hits(lines(chosen, [path], text), "text", dims.PATTERNS)
+    shown = F.regexp_replace(masked_line(F.col("text"), most_length), r"(?U)^\s+|\s+$", "")
+    return hits.select(F.col(path).alias("path"), "line", "pattern_ord", "category", "severity_hint", is_test_path(F.col(path)).alias("test_path"), "note", shown.alias("excerpt"))
 
 
 def capped(hits: DataFrame, most: int) -> DataFrame:
     """The first ``most`` hits by path, line and pattern (0: all); the cap is a feature of the report."""
+    if most < 0:
+        raise ValueError("the cap must not be negative")
     return hits.orderBy("path", "line", "pattern_ord").limit(most) if most else hits
 
 
+def in_report_order(hits: DataFrame) -> DataFrame:
+    """Hits by category, path, line and pattern, with their ``place`` from 1."""
+    return with_place(hits, ["category", "path", "line", "pattern_ord"], "place")
+
+
+def pack_hits(rows: DataFrame, text: str) -> DataFrame:
+    """Each line with each search pack it matches: adds ``pack``."""
+    found = F.array(*[F.when(F.col(text).rlike(rx), F.lit(name)) for name, rx in dims.SEARCH_PACKS])
+    return rows.withColumn("pack", F.explode(F.array_compact(found)))
+
+
 def boundary_scan(sources: DataFrame, path: str, text: str) -> DataFrame:
     """Rust lines by section of the boundary scan: path, line, section_ord, section, text."""
     allowed = ~F.col(path).rlike(r"^(target|vendor|third_party)/|(^|/)\.git/")

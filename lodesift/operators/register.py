@@ -6,11 +6,14 @@ severity, confidence and status. Both are aggregates here: one shuffle on the ke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions import dims
+from lodesift.functions.audit_values import utc_text
 from lodesift.functions.dims import by_rank, normalized_choice, ranked
+from lodesift.operators.order import with_place, with_running_sum
+from lodesift.sources.tables import stored
 
 TEXTS = ["recommended_fix", "impact", "severity_rationale"]
 # Other names under which a finding may carry a member.
@@ -63,57 +66,113 @@ def resolved(df: DataFrame) -> DataFrame:
     return df
 
 
+# The steps and the notes of a register.
+AGAIN = "Re-run original reproduction: "
+DEFAULT_STEP = "Re-run the original reproduction steps against the fixed version and collect evidence."
+MERGED = "Merged duplicate source finding(s): %s."
+LOWERED = " Confidence lowered from %s to %s because at least one duplicate source has lower confidence."
+HIGHER = " Duplicate source reported higher confidence (%s); canonical confidence remains %s until retest evidence justifies raising it."
+KEPT = " Status kept %s because at least one duplicate source is not fixed."
+
+
 def retest_steps(steps: Column, reproduction: Column) -> Column:
     """Retest steps, with a step for each of the reproduction that isn't among them yet; a default one if there are none."""
-    again = F.transform(distinct_texts(reproduction), lambda x: F.concat(F.lit("Re-run original reproduction: "), x))
+    again = F.transform(distinct_texts(reproduction), lambda x: F.concat(F.lit(AGAIN), x))
     both = F.array_distinct(F.concat(distinct_texts(steps), again))
-    default = F.array(F.lit("Re-run the original reproduction steps against the fixed version and collect evidence."))
-    return F.when(F.size(both) > 0, both).otherwise(default)
+    return F.when(F.size(both) > 0, both).otherwise(F.array(F.lit(DEFAULT_STEP)))
+
+
+EVIDENCE = "ARRAY<STRUCT<type: STRING, description: STRING, file: STRING, location: STRING, excerpt: STRING>>"
 
 
 def normalized(df: DataFrame, order: list[str]) -> DataFrame:
     """Findings in the register's form, with ``dedupe_key`` and ``ord``, their place in the order of delivery.
 
-    Unknown choices become medium and open; a missing title is ``Untitled finding``; without retest steps
-    the default one stands; null lists are empty. ``reproduction_steps`` may be missing, and so may
-    ``affected_skills_to_rerun``, for which the reviews that the finding's words call for stand, and the
-    optional lists, whose items are texts or JSON.
+    Members may go by their other names; the dedupe key is made of the main ones alone. Unknown choices
+    become medium and open; a missing title is ``Untitled finding``; without retest steps the default one
+    stands; null lists are empty. ``reproduction_steps``, ``source_ids``, ``source_skills`` and
+    ``root_cause_hypothesis`` may be missing, and so may ``affected_skills_to_rerun``, for which the
+    reviews that the finding's words call for stand, and the optional lists, whose items are texts or JSON.
+    A finding without id has an empty list of ``source_ids`` until ``with_ids`` numbers it. ``order``
+    should tell all rows apart.
     """
     none = F.expr("CAST(array() AS ARRAY<STRING>)")
-    listed = lambda n: distinct_texts(F.coalesce(F.col(n), none))
-    reproduction = F.coalesce("reproduction_steps", none) if "reproduction_steps" in df.columns else none
+    there = lambda n, kind="string": F.col(n) if n in df.columns else F.lit(None).cast(kind)
+    texts = lambda n: F.coalesce(there(n, "array<string>"), none)
     optional = [n for n in OPTIONAL_LISTS if n in df.columns]
+    explicit = F.coalesce(*[F.when(there(n) != "", there(n)) for n in ("dedupe_key", "duplicate_key")])
+    key = dedupe_key(explicit, [there("title"), there("surface"), F.array_join(texts("affected_claims"), " "), there("root_cause_hypothesis"), there("recommended_fix")])
+    df = resolved(df.withColumn("_made_key", key))
+    one = lambda c: F.when(F.coalesce(strip(c), F.lit("")) != "", F.array(strip(c))).otherwise(none)
+    several = lambda lists, single: F.when(F.size(distinct_texts(texts(lists))) > 0, distinct_texts(texts(lists))).otherwise(one(there(single)))
     as_text = lambda n: F.transform(F.col(n), lambda x: x if df.schema[n].dataType.elementType.simpleString() == "string" else F.to_json(x))
     rows = df.select(
         F.struct(*order).alias("ord"),
-        F.coalesce(F.col("finding_id"), F.lit("")).alias("source_id"),
-        dedupe_key(F.col("dedupe_key"), [F.col("title"), F.col("surface"), F.array_join(F.coalesce("affected_claims", none), " "), F.lit(""), F.col("recommended_fix")]).alias("dedupe_key"),
-        F.when(F.coalesce("title", F.lit("")) == "", "Untitled finding").otherwise(F.col("title")).alias("title"),
-        normalized_choice(F.col("severity"), dims.SEVERITIES, "medium").alias("severity"),
-        normalized_choice(F.col("confidence"), dims.CONFIDENCES, "medium").alias("confidence"),
-        normalized_choice(F.col("status"), dims.STATUSES, "open").alias("status"),
+        F.coalesce("finding_id", F.lit("")).alias("source_id"),
+        F.col("_made_key").alias("dedupe_key"),
+        F.when(F.coalesce(there("title"), F.lit("")) == "", "Untitled finding").otherwise(there("title")).alias("title"),
+        normalized_choice(there("severity"), dims.SEVERITIES, "medium").alias("severity"),
+        normalized_choice(there("confidence"), dims.CONFIDENCES, "medium").alias("confidence"),
+        normalized_choice(there("status"), dims.STATUSES, "open").alias("status"),
         F.coalesce("surface", F.lit("")).alias("surface"),
-        F.when(F.col("audit_skill").isNotNull(), F.array(strip(F.col("audit_skill")))).otherwise(none).alias("source_skills"),
-        listed("affected_claims").alias("affected_claims"),
-        retest_steps(F.coalesce("retest_steps", none), reproduction).alias("retest_steps"),
-        listed("limitations").alias("limitations"),
-        F.transform(F.coalesce("evidence", F.expr("CAST(array() AS ARRAY<STRUCT<type: STRING, description: STRING, file: STRING, location: STRING, excerpt: STRING>>)")), lambda e: F.to_json(e)).alias("evidence"),
-        *[F.coalesce(F.col(t), F.lit("")).alias(t) for t in TEXTS],
+        several("source_ids", "finding_id").alias("source_ids"),
+        several("source_skills", "audit_skill").alias("source_skills"),
+        distinct_texts(texts("affected_claims")).alias("affected_claims"),
+        retest_steps(texts("retest_steps"), texts("reproduction_steps")).alias("retest_steps"),
+        distinct_texts(texts("limitations")).alias("limitations"),
+        F.transform(F.coalesce(there("evidence", EVIDENCE), F.expr(f"CAST(array() AS {EVIDENCE})")), lambda e: F.to_json(e)).alias("evidence"),
+        *[F.coalesce(there(t), F.lit("")).alias(t) for t in TEXTS],
         *[F.coalesce(as_text(n), none).alias(n) for n in optional],
-        (listed("affected_skills_to_rerun") if "affected_skills_to_rerun" in df.columns else none).alias("rerun"),
+        distinct_texts(texts("affected_skills_to_rerun")).alias("rerun"),
     )
     called_for = reviews_to_rerun(F.col("source_skills"), F.col("title"), F.col("surface"), F.col("impact"), F.col("recommended_fix"))
     return rows.withColumn("rerun", F.when(F.size("rerun") > 0, F.col("rerun")).otherwise(called_for))
 
 
+def with_ids(rows: DataFrame, prefix: str = "FINDING") -> DataFrame:
+    """Normalized findings with ``seq``, ``id`` and whole ``source_ids``.
+
+    ``seq`` is 1 and the number of dedupe keys seen before, in the order of delivery: a duplicate doesn't
+    advance it. A finding without id becomes ``UNASSIGNED`` with that number, one whose id has another
+    form than the register's gets ``prefix`` and the number, and keeps its own among the source ids.
+    """
+    first = stored(rows.groupBy("dedupe_key").agg(F.min("ord").alias("_first")))
+    marked = rows.join(first, "dedupe_key").withColumn("_new", (F.col("ord") == F.col("_first")).cast("bigint"))
+    numbered = with_running_sum(marked, ["ord"], F.col("_new"), "seq").withColumn("seq", F.col("seq") + 1 - F.col("_new"))
+    unassigned = F.format_string("UNASSIGNED-%03d", "seq")
+    source = F.when(F.col("source_id") != "", F.col("source_id")).otherwise(unassigned)
+    named = numbered.withColumn("id", accepted_id(source, F.col("seq"), prefix))
+    return named.withColumn("source_ids", F.when((F.size("source_ids") == 0) & (F.col("source_id") == ""), F.array(unassigned)).otherwise(F.col("source_ids"))).drop("_first", "_new")
+
+
+def accepted_id(source: Column, seq: Column, prefix: str = "FINDING") -> Column:
+    """A record's id if it has the register's form, else a number of the register."""
+    return F.when(source.rlike(ID_FORM + "$"), source).otherwise(F.format_string(f"{prefix}-%03d", seq))
+
+
+def _lists(rows: DataFrame) -> list[str]:
+    return ["source_ids", "source_skills", "affected_claims", "retest_steps", "limitations", "evidence", "rerun", *[n for n in OPTIONAL_LISTS if n in rows.columns]]
+
+
+def merged_items(rows: DataFrame) -> DataFrame:
+    """Items of each dedupe key's lists in long form, equal ones once: ``dedupe_key``, ``kind``, ``item``, ``o``, the first place.
+
+    Made distinct within partitions first, so that a key of a third of all rows moves its distinct items only.
+    """
+    items = rows.select("dedupe_key", "ord", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).alias("xs")) for n in _lists(rows)])).alias("_i"))
+    items = items.select("dedupe_key", "ord", F.col("_i.kind").alias("kind"), F.posexplode("_i.xs").alias("at", "item")).filter("item <> ''")
+    return items.groupBy("dedupe_key", "kind", "item").agg(F.min(F.struct("ord", "at")).alias("o"))
+
+
 def merged(rows: DataFrame) -> DataFrame:
     """One record for each dedupe key.
 
     The gravest severity, the least confidence, the status closest to open; the first text that isn't
-    empty; lists in order, equal items once. Lists are first made distinct within partitions, so that a key
-    of a third of all rows moves its distinct items only.
+    empty; lists in order, equal items once, the reviews that any of the findings calls for among them.
+    With ``with_ids`` before it, the record has the ``id`` of its first finding. ``merged_items`` has the
+    lists in long form, for keys whose lists are too long for a row.
     """
-    lists = ["source_id", "source_skills", "affected_claims", "retest_steps", "limitations", "evidence", "rerun", *[n for n in OPTIONAL_LISTS if n in rows.columns]]
+    lists = _lists(rows)
     main = rows.groupBy("dedupe_key").agg(
         F.count("*").alias("records"),
         F.min("ord").alias("first_ord"),
@@ -123,17 +182,31 @@ def merged(rows: DataFrame) -> DataFrame:
         by_rank(F.max(ranked(F.col("confidence"), dims.CONFIDENCES)), dims.CONFIDENCES).alias("confidence"),
         by_rank(F.min(ranked(F.col("status"), dims.STATUS_PRECEDENCE)), dims.STATUS_PRECEDENCE).alias("status"),
         *[F.min_by(t, F.when(F.col(t) != "", F.col("ord"))).alias(t) for t in TEXTS],
+        *([F.min_by("id", "ord").alias("id")] if "id" in rows.columns else []),
     )
-    items = rows.select("dedupe_key", "ord", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), (F.array("source_id") if n == "source_id" else F.col(n)).alias("xs")) for n in lists])).alias("_i"))
-    items = items.select("dedupe_key", "ord", F.col("_i.kind").alias("kind"), F.posexplode("_i.xs").alias("at", "item")).filter("item <> ''")
-    first = items.groupBy("dedupe_key", "kind", "item").agg(F.min(F.struct("ord", "at")).alias("o"))
-    joined = first.groupBy("dedupe_key").pivot("kind", lists).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "item"))), lambda x: x["item"]))
+    joined = merged_items(rows).groupBy("dedupe_key").pivot("kind", lists).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "item"))), lambda x: x["item"]))
     none = F.expr("CAST(array() AS ARRAY<STRING>)")
-    out = main.join(joined, "dedupe_key", "left")
-    for n in lists:
-        out = out.withColumn(n, F.coalesce(F.col(n), none))
-    out = out.fillna("", TEXTS)
-    return out.withColumnRenamed("source_id", "source_ids")
+    out = main.join(joined, "dedupe_key", "left").withColumns({n: F.coalesce(F.col(n), none) for n in lists})
+    return out.fillna("", TEXTS)
+
+
+def merge_notes(rows: DataFrame, clock: Column | None = None) -> DataFrame:
+    """The note that each duplicate leaves: ``dedupe_key``, ``ord``, ``status``, ``timestamp``, ``note``.
+
+    It tells the duplicate's ids, and what it did to the record's confidence and status. What the record
+    was before follows from where each rank came first in the key, a few values that are aggregated in
+    partitions, so no task sees a key's rows in a row. ``timestamp`` is that of ``clock``, by default now.
+    """
+    confidence, state = ranked(F.col("confidence"), dims.CONFIDENCES), ranked(F.col("status"), dims.STATUS_PRECEDENCE)
+    firsts = [F.min(F.when(rank == k, F.col("ord"))).alias(f"_{name}{k}") for name, rank, order in (("c", confidence, dims.CONFIDENCES), ("s", state, dims.STATUS_PRECEDENCE)) for k in range(len(order))]
+    both = rows.join(stored(rows.groupBy("dedupe_key").agg(F.min("ord").alias("_first"), *firsts)), "dedupe_key").filter(F.col("ord") > F.col("_first"))
+    seen = lambda name, n: [F.when(F.col(f"_{name}{k}") < F.col("ord"), k) for k in range(n)]
+    before = both.withColumns({"_c": F.greatest(*seen("c", len(dims.CONFIDENCES))), "_s": F.least(*seen("s", len(dims.STATUS_PRECEDENCE)))})
+    had, status = by_rank(F.col("_c"), dims.CONFIDENCES), by_rank(F.least(state, F.col("_s")), dims.STATUS_PRECEDENCE)
+    on_confidence = F.when(confidence > F.col("_c"), F.format_string(LOWERED, had, "confidence")).when(confidence < F.col("_c"), F.format_string(HIGHER, "confidence", had)).otherwise("")
+    on_status = F.when(state < F.col("_s"), F.format_string(KEPT, status)).otherwise("")
+    note = F.concat(F.format_string(MERGED, F.array_join("source_ids", ", ")), on_confidence, on_status)
+    return before.select("dedupe_key", "ord", status.alias("status"), utc_text(clock).alias("timestamp"), note.alias("note"))
 
 
 def status_by_severity(rows: DataFrame) -> DataFrame:
@@ -156,19 +229,9 @@ def register_order(rows: DataFrame, id_column: str) -> DataFrame:
     return rows.orderBy(ranked(F.col("severity"), dims.SEVERITIES), id_column)
 
 
-def fallback_sequence(rows: DataFrame) -> DataFrame:
-    """``seq``: the number a record without id falls back to; it advances with new keys only, so duplicates share one.
-
-    The running count is taken over the keys' first rows; it is global, as the numbers are.
-    """
-    firsts = rows.groupBy("dedupe_key").agg(F.min("ord").alias("ord"))
-    counted = firsts.withColumn("n", F.row_number().over(Window.orderBy("ord")))
-    return rows.join(counted.select("dedupe_key", F.col("ord").alias("_o"), "n"), "dedupe_key").withColumn("first", F.col("ord") == F.col("_o")).drop("_o")
-
-
-def accepted_id(source: Column, seq: Column) -> Column:
-    """A record's id if it has the register's form, else a number of the register."""
-    return F.when(source.rlike(ID_FORM + "$"), source).otherwise(F.format_string("VDRM-%03d", seq))
+def in_register_order(rows: DataFrame, order: list[str], severity: str = "severity") -> DataFrame:
+    """Records with their ``place`` in the register, from 1: by severity, then ``order``."""
+    return with_place(rows.withColumn("_rank", ranked(F.col(severity), dims.SEVERITIES)), ["_rank", *order], "place").drop("_rank")
 
 
 def referenced(rows: DataFrame, references: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ SENTINELS = [
     {"id": "control", "value": "Strict-Transport-Security", "category": "low_sensitivity_control"},
     {"id": "host", "value": ".scheduler.example", "category": "sensitive_metadata"},
     {"id": "host-test", "value": ".scheduler.test/", "category": "credential"},
+    {"id": "word", "value": "oriole", "category": "plaintext_content"},
 ]
 FIRST_PARTY = ["scheduler.example"]
 
@@ -48,7 +53,8 @@ def leak_findings(spark: SparkSession, folder: str) -> DataFrame:
     fields = leakscan.har_candidates(_captures(spark, folder), ["capture_id", "artifact"])
     hits = leakscan.leak_matches(fields, ["capture_id"], "artifact", SENTINELS, FIRST_PARTY)
     order = ["capture_id", "entry_index", "ord", "item_index", "part", "needle_ord"]
-    return leakscan.findings(hits, "artifact", order).select("id", "title", "severity", "confidence", F.to_json("evidence").alias("evidence"))
+    lists = [F.array_join(n, "|").alias(n) for n in ("classification_tags", "affected_claims", "reproduction_steps", "retest_steps", "limitations")]
+    return leakscan.findings(hits, "artifact", order).select("id", "title", "severity", "confidence", "audit_skill", "surface", "classification", F.to_json("evidence").alias("evidence"), "impact", "root_cause_hypothesis", "recommended_fix", *lists)
 
 
 def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,8 +82,8 @@ def classify_ladder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentinel_variants(spark: SparkSession, folder: str) -> DataFrame:
-    """Those forms of the products' names that its SQL makes as well; ``sentinel_variants_all`` has every one."""
-    return leakscan.sentinel_variants(table(spark, folder, "registers").filter(F.length("product") >= 16), "register_id", "product").filter(F.col("variant").isin("exact", "base64", "hex", "sha256"))
+    """The forms of the products' names that SQL can make as well: all but the packed one."""
+    return sentinel_variants_all(spark, folder).filter("variant <> 'gzip'")
 
 
 def sentinel_variants_all(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,6 +99,29 @@ def leak_scan_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return texts.join(rows.select("register_id", F.col("product").alias("decoded")), ["register_id", "decoded"]).select("register_id", "variant").distinct()
 
 
+def leak_scan_encoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Product names planted in every encoding and in chains of them, and the chain by which the scan reads each."""
+    p = F.concat("product", F.lit(" & more"))
+    b64 = lambda c: F.base64(F.encode(c, "UTF-8"))
+    bare = lambda c: F.translate(b64(c), "+/=", "-_")
+    member = lambda c: F.concat(F.lit('{"a/b": [1, {"c~d": "'), F.replace(c, F.lit("&"), F.lit("\\u0026")), F.lit('"}]}'))
+    packed = F.udf(lambda v: base64.b64encode(gzip.compress(v.encode(), mtime=0)).decode(), "STRING", useArrow=True)
+    squeezed = F.udf(lambda v: base64.b64encode(zlib.compress(v.encode())).decode(), "STRING", useArrow=True)
+    form, percent = F.url_encode(p), F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))
+    planted = {
+        "raw": p, "percent": percent, "form": form, "entity": F.replace(p, F.lit("&"), F.lit("&amp;")), "member": member(p), "field": F.concat(F.lit("x=1&y="), form, F.lit("&y=2")),
+        "base64": b64(p), "jwt": F.concat(F.lit("e30."), bare(p), F.lit(".sig")), "hex": F.lower(F.hex(F.encode(p, "UTF-8"))),
+        "run": F.concat(F.lit("see <"), b64(p), F.lit("> there")), "hex run": F.concat(F.lit("id "), F.hex(F.encode(p, "UTF-8")), F.lit(";")), "gzip": packed(p), "zlib": squeezed(p),
+        "base64 of member": b64(member(p)), "form of member": F.url_encode(member(p)), "four deep": b64(b64(b64(b64(p)))),
+    }
+    rows = table(spark, folder, "registers").filter(F.length("product") >= 16)
+    rows = rows.select("register_id", p.alias("product"), F.explode(F.array(*[F.struct(F.lit(n).alias("planted"), c.alias("value")) for n, c in planted.items()])).alias("_p")).select("register_id", "product", "_p.*")
+    sought = [r[0] for r in rows.select("product").distinct().collect()]  # fixed: at most 240 names
+    names = spark.createDataFrame([(k, v) for k, v in enumerate(sought)], "needle_ord INT, product STRING")
+    hits = decode.contained(rows, ["register_id", "planted", "product"], "value", sought, depth=3).join(F.broadcast(names), ["needle_ord", "product"])
+    return hits.groupBy("register_id", "planted").agg(F.min_by("transform", "decode_ord").alias("transform"))
+
+
 def _scan_lines(spark: SparkSession, folder: str) -> DataFrame:
     return patternscan.lines(table(spark, folder, "scan_hits"), ["hit_id", "path"], "excerpt")
 
@@ -124,8 +153,29 @@ def byte_limit_filter(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter(leakscan.exceeds(F.col("text"), 2_000)).select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"))
 
 
+def search_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the excerpts by the search packs they match."""
+    return patternscan.counts_by(patternscan.pack_hits(_scan_lines(spark, folder), "text"), "pack")
+
+
+def static_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The static scan over the excerpts as files: folder and suffix rules, hits in the report's order."""
+    sources = table(spark, folder, "scan_hits").select(F.concat_ws("/", F.col("hit_id").cast("string"), "path").alias("path"), "excerpt")
+    hits = patternscan.in_report_order(patternscan.static_scan(sources, "path", "excerpt", leave_out=["deploy"]))
+    return hits.select("place", "category", "path", F.col("line").cast("bigint").alias("line"), "severity_hint", "test_path", "note", "excerpt")
+
+
+def static_scan_capped(spark: SparkSession, folder: str) -> DataFrame:
+    """The scan's report with its cap of 5,000 hits, taken in the order of paths and lines; the cap is the feature."""
+    sources = table(spark, folder, "scan_hits").select(F.concat_ws("/", F.col("hit_id").cast("string"), "path").alias("path"), "excerpt")
+    return patternscan.capped(patternscan.static_scan(sources, "path", "excerpt"), 5_000).select("category", "path", F.col("line").cast("bigint").alias("line"))
+
+
 def _register(spark: SparkSession, folder: str) -> DataFrame:
-    return register.normalized(table(spark, folder, "findings"), ["loaded_at", "record_id"])
+    """Findings in the register's form, each bringing its own status as an entry of the history."""
+    entry = F.array(F.struct(F.date_format("reported_at", "yyyy-MM-dd").alias("timestamp"), F.coalesce("status", F.lit("")).alias("status")))
+    rows = table(spark, folder, "findings").withColumn("status_history", entry)
+    return register.with_ids(register.normalized(rows, ["loaded_at", "record_id"]))
 
 
 def dedupe_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,9 +186,28 @@ def dedupe_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def register_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """One record for each dedupe key."""
+    """One record for each dedupe key, with all its lists."""
     out = register.merged(_register(spark, folder))
-    return out.select("dedupe_key", "records", "title", "severity", "confidence", "status", *register.TEXTS, F.array_join("source_ids", ",").alias("source_ids"), F.array_join("affected_claims", "|").alias("affected_claims"), F.size("evidence").cast("bigint").alias("evidence"))
+    shown = lambda n, *members: F.array_join(F.transform(n, lambda x: F.concat_ws("/", *[F.get_json_object(x, f"$.{m}") for m in members])), "|").alias(n)
+    lists = [F.array_join(n, "|").alias(n) for n in ("source_ids", "source_skills", "affected_claims", "retest_steps", "limitations", "rerun")]
+    return out.select("dedupe_key", "id", "records", "title", "surface", "severity", "confidence", "status", *register.TEXTS, *lists, shown("evidence", "type", "file", "location"), shown("status_history", "timestamp", "status"))
+
+
+def register_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Each finding's id in the register and the number it would fall back to."""
+    return _register(spark, folder).select("ord.record_id", F.unix_micros("ord.loaded_at").alias("loaded_us"), "source_id", "seq", "id")
+
+
+def register_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """What each duplicate changed in its record; the clock stands still."""
+    notes = register.merge_notes(_register(spark, folder), F.lit("2025-01-31 12:34:56").cast("timestamp"))
+    return notes.select("dedupe_key", "ord.record_id", F.unix_micros("ord.loaded_at").alias("loaded_us"), "status", "timestamp", "note")
+
+
+def register_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The register in its order: by severity, then id."""
+    placed = register.in_register_order(register.merged(_register(spark, folder)), ["id", "dedupe_key"])
+    return placed.select("place", "severity", "id", "dedupe_key")
 
 
 def rerun_inference(spark: SparkSession, folder: str) -> DataFrame:
@@ -326,16 +395,6 @@ every AS (SELECT capture_id, unnest(es) AS e, CAST(generate_subscripts(es, 1) -
 entries AS (SELECT * FROM every WHERE json_type(e) = 'OBJECT')
 """
 _KEY = "CASE WHEN trim(coalesce(dedupe_key, '')) <> '' THEN lower(trim(dedupe_key)) ELSE left(sha1(trim(regexp_replace(lower(concat_ws(' ', coalesce(title, ''), coalesce(surface, ''), coalesce(array_to_string(affected_claims, ' '), ''), '', coalesce(recommended_fix, ''))), '[^a-z0-9]+', ' ', 'g'))), 16) END"
-_REGISTER = f"""
-WITH n AS (SELECT *, {_KEY} AS k, {_choice("severity", dims.SEVERITIES, "medium")} AS sev, {_choice("confidence", dims.CONFIDENCES, "medium")} AS con, {_choice("status", dims.STATUSES, "open")} AS sta, row_number() OVER (ORDER BY loaded_at, record_id) AS o FROM findings),
-m AS (SELECT k, count(*) AS records, arg_min(CASE WHEN coalesce(title, '') = '' THEN 'Untitled finding' ELSE title END, o) AS title, min({_rank("sev", dims.SEVERITIES)}) AS s, max({_rank("con", dims.CONFIDENCES)}) AS c, min({_rank("sta", dims.STATUS_PRECEDENCE)}) AS t,
-coalesce(arg_min(recommended_fix, o) FILTER (recommended_fix <> ''), '') AS recommended_fix, coalesce(arg_min(impact, o) FILTER (impact <> ''), '') AS impact, coalesce(arg_min(severity_rationale, o) FILTER (severity_rationale <> ''), '') AS severity_rationale FROM n GROUP BY k),
-i AS (SELECT k, item, min(o) AS o FROM (SELECT k, finding_id AS item, o FROM n WHERE finding_id <> '') GROUP BY ALL),
-ids AS (SELECT k, string_agg(item, ',' ORDER BY o) AS source_ids FROM i GROUP BY k),
-cx AS (SELECT k, trim(x) AS item, min(o * 1000 + pos) AS o FROM (SELECT k, o, unnest(affected_claims) AS x, generate_subscripts(affected_claims, 1) AS pos FROM n) WHERE trim(x) <> '' GROUP BY ALL),
-cl AS (SELECT k, string_agg(item, '|' ORDER BY o) AS affected_claims FROM cx GROUP BY k),
-ev AS (SELECT k, count(DISTINCT CAST(x AS VARCHAR)) AS evidence FROM (SELECT k, unnest(evidence) AS x FROM n) GROUP BY k)
-"""
 _TERM = "regexp_matches({t}, '(^|[^a-z0-9])({p})($|[^a-z0-9])')"
 
 
@@ -347,12 +406,100 @@ _WORDS = "lower(concat_ws(' ', coalesce(title, ''), coalesce(surface, ''), coale
 _HEAD = "lower(concat_ws(' ', coalesce(title, ''), coalesce(surface, '')))"
 _CRYPTO = f"({_term(_WORDS, dims.CRYPTO_TERMS)} OR ({_term('lower(coalesce(recommended_fix, ' + chr(39) * 2 + '))', ['encrypt'])} AND {_term(_HEAD, dims.CRYPTO_FIX_TERMS)}))"
 _RERUN = " || ".join([f"(CASE WHEN {_CRYPTO} THEN [{', '.join(map(_q, dims.CRYPTO_REVIEWS))}] ELSE [] END)"] + [f"(CASE WHEN {_term(_WORDS, t)} THEN [{_q(r)}] ELSE [] END)" for r, t in dims.RERUN_TERMS.items()])
+def _union(kind: str, items: str) -> str:
+    """Two tables: a key's items of a list by their first place, and the items in one text."""
+    return f"""x_{kind} AS (SELECT k, item, min(o * 1000 + pos) AS p FROM (SELECT k, o, unnest({items}) AS item, generate_subscripts({items}, 1) AS pos FROM n) WHERE item <> '' GROUP BY ALL),
+{kind} AS (SELECT k, string_agg(item, '|' ORDER BY p) AS {kind} FROM x_{kind} GROUP BY k)"""
+
+
+def _trimmed(column: str) -> str:
+    return f"list_transform(coalesce({column}, []), lambda x: trim(x))"
+
+
+_SKILL = "CASE WHEN trim(coalesce(audit_skill, '')) <> '' THEN [trim(audit_skill)] ELSE [] END"
+_STEPS = f"CASE WHEN len(list_filter({_trimmed('retest_steps')}, lambda x: x <> '')) > 0 THEN {_trimmed('retest_steps')} ELSE [{_q(register.DEFAULT_STEP)}] END"
+_NUMBERED = f"""
+WITH a AS (SELECT *, {_KEY} AS k, {_choice("severity", dims.SEVERITIES, "medium")} AS sev, {_choice("confidence", dims.CONFIDENCES, "medium")} AS con, {_choice("status", dims.STATUSES, "open")} AS sta, row_number() OVER (ORDER BY loaded_at, record_id) AS o FROM findings),
+b AS (SELECT *, CASE WHEN o = min(o) OVER (PARTITION BY k) THEN 1 ELSE 0 END AS new FROM a),
+d AS (SELECT *, 1 + coalesce(sum(new) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq FROM b),
+s AS (SELECT *, CASE WHEN coalesce(finding_id, '') <> '' THEN finding_id ELSE printf('UNASSIGNED-%03d', CAST(seq AS INTEGER)) END AS sid FROM d),
+n AS (SELECT *, CASE WHEN regexp_matches(sid, '^[A-Z0-9-]+-[0-9]{{3,}}$') THEN sid ELSE printf('FINDING-%03d', CAST(seq AS INTEGER)) END AS id,
+{_rank("sev", dims.SEVERITIES)} AS sr, {_rank("con", dims.CONFIDENCES)} AS cr, {_rank("sta", dims.STATUS_PRECEDENCE)} AS tr FROM s)
+"""
+_REGISTER = f"""{_NUMBERED},
+m AS (SELECT k, count(*) AS records, arg_min(CASE WHEN coalesce(title, '') = '' THEN 'Untitled finding' ELSE title END, o) AS title, arg_min(coalesce(surface, ''), o) AS surface, arg_min(id, o) AS id, min(sr) AS s, max(cr) AS c, min(tr) AS t,
+{", ".join(f"coalesce(arg_min({x}, o) FILTER ({x} <> ''), '') AS {x}" for x in register.TEXTS)} FROM n GROUP BY k),
+{_union("source_ids", "[trim(sid)]")}, {_union("source_skills", _SKILL)}, {_union("affected_claims", _trimmed("affected_claims"))}, {_union("retest_steps", _STEPS)}, {_union("limitations", _trimmed("limitations"))},
+{_union("rerun", f"list_sort(list_distinct({_SKILL} || {_RERUN}))")}, {_union("status_history", "[strftime(reported_at, '%Y-%m-%d') || '/' || coalesce(status, '')]")},
+e AS (SELECT k, CAST(x AS VARCHAR) AS item, any_value(concat_ws('/', x.type, x.file, x.location)) AS shown, min(o * 1000 + pos) AS p FROM (SELECT k, o, unnest(evidence) AS x, generate_subscripts(evidence, 1) AS pos FROM n) GROUP BY ALL),
+evidence AS (SELECT k, string_agg(shown, '|' ORDER BY p) AS evidence FROM e GROUP BY k)
+"""
+_LISTS = ["source_ids", "source_skills", "affected_claims", "retest_steps", "limitations", "rerun", "evidence", "status_history"]
+_NOTES = f"""{_NUMBERED},
+r AS (SELECT *, max(cr) OVER w AS hc, min(tr) OVER w AS ht FROM n WINDOW w AS (PARTITION BY k ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT k AS dedupe_key, record_id, epoch_us(loaded_at) AS loaded_us, {_at("least(tr, ht)", dims.STATUS_PRECEDENCE)} AS status, '2025-01-31T12:34:56Z' AS timestamp,
+'Merged duplicate source finding(s): ' || trim(sid) || '.' || CASE WHEN cr > hc THEN ' Confidence lowered from ' || {_at("hc", dims.CONFIDENCES)} || ' to ' || con || ' because at least one duplicate source has lower confidence.'
+WHEN cr < hc THEN ' Duplicate source reported higher confidence (' || con || '); canonical confidence remains ' || {_at("hc", dims.CONFIDENCES)} || ' until retest evidence justifies raising it.' ELSE '' END
+|| CASE WHEN tr < ht THEN ' Status kept ' || sta || ' because at least one duplicate source is not fixed.' ELSE '' END AS note
+FROM r WHERE hc IS NOT NULL
+"""
 _HOST = r"lower(regexp_extract(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1), '^.*@', ''), '^([^:]*)', 1))"
 _PATH = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
 _SENSITIVE = f"category IN {_in(dims.SENSITIVE_CATEGORIES)}"
 _THIRD = "NOT (host = 'scheduler.example' OR host LIKE '%.scheduler.example' OR host = 'example' OR host LIKE '%.example')"
 _TELE = f"list_has_any(regexp_split_to_array(lower(host || ' ' || path), '[^a-z0-9]+'), [{', '.join(map(_q, dims.TELEMETRY_WORDS))}])"
 
+_SCRUB = f"regexp_replace(regexp_replace(shown, '(?i)\\b(api[_-]?key|authorization|bearer|secret|password|passphrase|token)\\b\\s*[:=]\\s*[''\"]?[^''\"&\\s,}}]{{8,}}', '\\1=<redacted>', 'g'), '\\b[A-Za-z0-9._~+/=-]{{32,}}\\b', '<redacted-token>', 'g')"
+_PLACE = "capture_id, entry_index, direction, surface, location, sentinel_id, category"
+# The scan in SQL: plain texts and members of JSON bodies, the only encodings in the test tables; leak_scan_encoded plants the others.
+_LEAK = (
+    _HAR
+    + """, single AS (SELECT capture_id, entry_index, e, e ->> '$.request.method' AS method, e ->> '$.request.url' AS url, e ->> '$.response.status' AS status FROM entries),
+lists_ AS ("""
+    + " UNION ALL ".join(f"SELECT capture_id, entry_index, method, url, {o} AS ord, '{d}' AS direction, '{s}' AS surface, '{d}.{shown}[' AS shown, json_extract(e, '$.{d}.{'postData.params' if n == 'params' else n}') AS xs FROM single" for o, d, s, n, shown in leakscan.LISTS)
+    + """), texts AS (SELECT * REPLACE (CASE WHEN json_type(xs) = 'VARCHAR' AND json_valid(xs ->> '$') THEN CAST(xs ->> '$' AS JSON) ELSE xs END AS xs) FROM lists_),
+arrays AS (SELECT * REPLACE (CASE json_type(xs) WHEN 'ARRAY' THEN json_extract(xs, '$[*]') WHEN 'OBJECT' THEN [xs] END AS xs) FROM texts),
+items AS (SELECT * EXCLUDE (xs), unnest(xs) AS x, CAST(generate_subscripts(xs, 1) - 1 AS INTEGER) AS item_index FROM arrays),
+fields AS ("""
+    + " UNION ALL ".join(f"SELECT capture_id, entry_index, method, url, {o} AS ord, 0 AS item_index, 0 AS part, '{d}' AS direction, '{s}' AS surface, 'entries[' || entry_index || '].{p}' AS location, e ->> '$.{p}' AS value FROM single" for o, d, s, p in ((0, "request", "request_url", "request.url"), (4, "request", "request_body", "request.postData.text"), (8, "response", "response_body", "response.content.text")))
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT capture_id, entry_index, method, url, ord, item_index, {k}, direction, surface || CASE WHEN surface LIKE '%_header' AND lower(x ->> '$.name') IN {_in(dims.MASKED_HEADERS)} THEN '_sensitive' ELSE '' END, 'entries[' || entry_index || '].' || shown || item_index || '].{n}', x ->> '$.{n}' FROM items WHERE json_type(x) = 'OBJECT'"
+        for k, n in enumerate(("name", "value", "fileName"))
+    )
+    + f"""), sentinels AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_q(s['id'])}, {_q(s['value'])}, {_q(s['category'])})" for k, s in enumerate(SENTINELS))}) AS v(needle_ord, sentinel_id, sentinel, category)),
+documents_ AS (SELECT * FROM fields WHERE regexp_matches(value, '^\\s*["{{\\[]') AND json_valid(value)),
+members AS (SELECT d.* EXCLUDE (value), 'raw -> json:' || replace(replace(t.fullkey, '."', '.'), '.', '/') AS transform, t.id + 1 AS decode_ord, t.atom ->> '$' AS decoded FROM documents_ d, json_tree(d.value) t WHERE t.type = 'VARCHAR'),
+once AS (SELECT * FROM members QUALIFY row_number() OVER (PARTITION BY capture_id, location, decoded ORDER BY decode_ord) = 1),
+decoded_ AS (SELECT * EXCLUDE (value), 'raw' AS transform, 0 AS decode_ord, value AS decoded FROM fields WHERE value IS NOT NULL UNION ALL SELECT * FROM once),
+hits AS (SELECT d.*, s.*, strpos(decoded, sentinel) - 1 AS pos, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) AS scheme, {_HOST} AS host, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS path FROM decoded_ d JOIN sentinels s ON contains(d.decoded, s.sentinel)),
+third AS (SELECT *, NOT (host = 'scheduler.example' OR host LIKE '%.scheduler.example') AS third FROM hits),
+classed AS (SELECT *, CASE WHEN category = 'low_sensitivity_control' THEN 'expected_control_value' WHEN scheme = 'http' AND third THEN 'third_party_unencrypted_transport' WHEN scheme = 'http' AND {_SENSITIVE} THEN 'unencrypted_transport' WHEN third THEN 'third_party_network_payload'
+WHEN surface IN {_in(dims.OPEN_SURFACES)} THEN 'url_or_header_exposure' WHEN {_TELE} THEN 'telemetry_payload' WHEN direction = 'request' THEN 'outbound_plaintext_to_service' ELSE 'inbound_plaintext_from_service' END AS classification,
+CASE WHEN category = 'low_sensitivity_control' THEN 'low' WHEN {_SENSITIVE} THEN 'high' ELSE 'medium' END AS severity, CASE WHEN transform = 'raw' THEN 'high' ELSE 'medium' END AS confidence,
+replace(substr(decoded, greatest(pos - 80, 0) + 1, least(pos + length(sentinel) + 80, length(decoded)) - greatest(pos - 80, 0)), sentinel, '<SENTINEL:' || sentinel_id || '>') AS shown FROM third),
+matches AS (SELECT c.*, a.artifact, left(sha256(concat_ws(':', a.artifact, entry_index, location, sentinel_id, transform)), 16) AS fingerprint,
+CASE WHEN surface IN ('request_header_sensitive', 'response_header_sensitive') THEN '<redacted-sensitive-header; sentinel=' || sentinel_id || '; offset=' || pos || '; length=' || length(sentinel) || '>' ELSE replace(replace({_SCRUB}, chr(13), '\\r'), chr(10), '\\n') END AS excerpt
+FROM classed c JOIN har_captures a USING (capture_id)),
+chains AS (SELECT {_PLACE}, string_agg(transform, ', ' ORDER BY decode_ord) AS decode_transform, arg_max(excerpt, (length(excerpt), -decode_ord)) AS excerpt FROM matches GROUP BY ALL),
+merged AS (SELECT f.* EXCLUDE (excerpt), c.decode_transform, c.excerpt FROM (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY {_PLACE} ORDER BY decode_ord) = 1) f JOIN chains c USING ({_PLACE}))
+"""
+)
+_TITLES = "printf('Sentinel leaked via %s (%s)', surface, classification)"
+_SAME = ", ".join(f"{_q('|'.join(v) if isinstance(v, list) else v)} AS {n}" for n, v in leakscan.ABOUT.items())
+_TEXT = "concat(coalesce(method, 'null'), ' ', coalesce(scheme, 'null'), '://', coalesce(host, 'null'), coalesce(path, 'null'), ' entry ', entry_index, ' matched ', category, ' sentinel after transform ', decode_transform, '.')"
+_PACKS = ", ".join(f"CASE WHEN regexp_matches(t, {_q(rx)}) THEN {_q(name)} END" for name, rx in dims.SEARCH_PACKS)
+_SUFFIX = "(" + "|".join(x.replace(".", "[.]") for x in dims.SOURCE_SUFFIXES) + ")$"
+_FOLDER = f"list_has_any(string_split(path, '/')[:-2], [{', '.join(map(_q, dims.LEFT_OUT_FOLDERS))}]) OR regexp_matches(path, '(^|/)[.]cache[^/]*/')"
+_DEPLOY = "list_contains(string_split(path, '/')[:-2], 'deploy')"
+_FILES = _HITS.replace("WITH ", "WITH scan_hits_ AS (SELECT * REPLACE (concat_ws('/', hit_id, path) AS path) FROM scan_hits), ", 1).replace("FROM scan_hits WHERE", f"FROM scan_hits_ WHERE regexp_matches(path, {_q('[^/]' + _SUFFIX)}) AND NOT ({_FOLDER}) AND")
+_ORD = _rank("category", [p[0] for p in dims.PATTERNS])
+_CUT = f"CASE WHEN length({_MASK}) > 500 THEN left({_MASK}, 497) || '...' ELSE {_MASK} END"
+_PLANTED = {
+    "raw": "raw", "percent": "raw -> url-percent", "form": "raw -> form-url-encoded", "entity": "raw -> html-entity", "member": "raw -> json:$/a~1b[1]/c~0d", "field": "raw -> form-url-encoded", "base64": "raw -> base64", "jwt": "raw -> jwt-segment:1", "hex": "raw -> hex",
+    "run": "raw -> token-base64", "hex run": "raw -> token-hex", "gzip": "raw -> base64", "zlib": "raw -> base64", "base64 of member": "raw -> base64 -> json:$/a~1b[1]/c~0d", "form of member": "raw -> form-url-encoded -> json:$/a~1b[1]/c~0d",
+}
+
 SQL = {
     "leak_scan_raw": "WITH p AS (SELECT register_id, lower(translate(product, '- ', '  ')) AS p FROM registers WHERE length(product) >= 16) SELECT doc_id, register_id, strpos(text, p) - 1 AS pos FROM documents JOIN p ON contains(text, p)",
     "har_pairs": _HAR
@@ -364,17 +511,37 @@ SQL = {
 p AS (SELECT capture_id, entry_index, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS scheme, {_HOST} AS host, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS path, [{", ".join(map(_q, dims.SENTINEL_CATEGORIES))}][entry_index % 6 + 1] AS category FROM u),
 c AS (SELECT *, CASE WHEN category = 'low_sensitivity_control' THEN 'expected_control_value' WHEN scheme = 'http' AND {_THIRD} THEN 'third_party_unencrypted_transport' WHEN scheme = 'http' AND {_SENSITIVE} THEN 'unencrypted_transport' WHEN {_THIRD} THEN 'third_party_network_payload' WHEN {_TELE} THEN 'telemetry_payload' WHEN entry_index % 2 = 0 THEN 'outbound_plaintext_to_service' ELSE 'inbound_plaintext_from_service' END AS classification FROM p)
 SELECT *, CASE WHEN category = 'low_sensitivity_control' THEN 'low' WHEN {_SENSITIVE} THEN 'high' ELSE 'medium' END AS severity, CASE classification WHEN 'third_party_unencrypted_transport' THEN 'third_party_network_payload,unencrypted_transport' ELSE classification END AS tags FROM c""",
-    "sentinel_variants": "SELECT register_id, unnest(['exact', 'base64', 'hex', 'sha256']) AS variant, unnest([product, base64(encode(product)), lower(hex(encode(product))), sha256(product)]) AS text FROM registers WHERE length(product) >= 16",
+    "sentinel_variants": """
+WITH v AS (SELECT register_id, unnest(['exact', 'lower', 'normalized', 'base64', 'base64url', 'hex', 'url', 'sha256', 'truncated', 'json', 'json_ascii', 'trace']) AS variant, generate_subscripts(range(12), 1) AS n,
+unnest([product, lower(product), trim(regexp_replace(lower(product), '[^a-z0-9]+', ' ', 'g')), base64(encode(product)), rtrim(translate(base64(encode(product)), '+/', '-_'), '='), lower(hex(encode(product))), url_encode(product), sha256(product), left(product, 16), product, product, product]) AS text FROM registers WHERE length(product) >= 16
+UNION ALL SELECT register_id, 'token', 13, unnest(regexp_extract_all(lower(product), '\\w+')) FROM registers WHERE length(product) >= 16)
+SELECT register_id, variant, text FROM v QUALIFY row_number() OVER (PARTITION BY register_id, text ORDER BY n) = 1
+""",
     "leak_scan_decoded": "SELECT register_id, unnest(['base64', 'hex'] || CASE WHEN regexp_matches(base64(encode(product)), '[+/=]') THEN ['base64url'] ELSE [] END) AS variant FROM registers WHERE length(product) >= 16",
+    "leak_scan_encoded": f"SELECT register_id, planted, transform FROM registers CROSS JOIN (VALUES {', '.join(f'({_q(n)}, {_q(t)})' for n, t in _PLANTED.items())}) AS v(planted, transform) WHERE length(product) >= 16",
+    "leak_scan_har": _LEAK + "SELECT capture_id, entry_index, direction, surface, location, sentinel_id, classification, severity, confidence, scheme, host, path, decode_transform, excerpt, fingerprint FROM merged",
+    "leak_findings": _LEAK
+    + f"""SELECT printf('LEAK-%03d', row_number() OVER (ORDER BY capture_id, entry_index, ord, item_index, part, needle_ord)) AS id, {_TITLES} AS title, severity, confidence, surface, classification,
+CASE classification WHEN 'third_party_unencrypted_transport' THEN 'third_party_network_payload|unencrypted_transport' ELSE classification END AS classification_tags,
+CAST(json_array(json_object('type', 'har-match', 'file', artifact, 'location', location, 'description', {_TEXT}, 'excerpt', excerpt, 'sentinel_id', sentinel_id, 'fingerprint', fingerprint)) AS VARCHAR) AS evidence, {_SAME} FROM merged WHERE category <> 'low_sensitivity_control'""",
+    "scan_summary": _LEAK + f"SELECT (SELECT CAST(coalesce(sum(len(es)), 0) AS BIGINT) FROM lists) AS entries_scanned, count(*) AS matches, count(*) FILTER (category = 'low_sensitivity_control') AS control_matches, count(*) FILTER (category <> 'low_sensitivity_control') AS findings, (SELECT count(*) FROM fields WHERE octet_length(encode(value)) > 2000000) AS skipped_fields, CAST({len(SENTINELS)} AS BIGINT) AS sentinels_scanned FROM merged",
     "pattern_scan": f"{_HITS} SELECT hit_id, line, category, severity_hint, {_TEST} AS test_path, CASE WHEN length({_MASK}) > 500 THEN left({_MASK}, 497) || '...' ELSE {_MASK} END AS excerpt FROM hits",
     "pattern_counts": f"{_HITS} SELECT category, count(*) AS hits FROM hits GROUP BY category",
+    "search_packs": f"WITH {_LINES} SELECT pack, count(*) AS hits FROM (SELECT unnest([{_PACKS}]) AS pack FROM lines) WHERE pack IS NOT NULL GROUP BY pack",
+    "static_scan": f"{_FILES}, o AS (SELECT *, {_ORD} AS pattern_ord FROM hits) SELECT row_number() OVER (ORDER BY category, path, line, pattern_ord) AS place, category, path, line, severity_hint, {_TEST} AS test_path, {_at('pattern_ord', [p[3] for p in dims.PATTERNS])} AS note, trim({_CUT}, ' ' || chr(9)) AS excerpt FROM o WHERE NOT {_DEPLOY}",
+    "static_scan_capped": f"{_FILES} SELECT category, path, line FROM hits ORDER BY path, line, {_ORD} LIMIT 5000",
     "rust_section_counts": f"WITH {_LINES}, kept AS (SELECT * FROM lines WHERE NOT regexp_matches(path, '^(target|vendor|third_party)/|(^|/)\\.git/')) SELECT section, count(*) AS hits FROM ("
     + " UNION ALL ".join(f"SELECT {_q(n)} AS section FROM kept WHERE regexp_matches(path, {_q(dims.RUST_SECTION_FILES.get(n, chr(92) + '.rs$'))}) AND regexp_matches(t, {_q(rx)})" for n, rx in dims.RUST_SECTIONS)
     + ") GROUP BY section",
-    "source_paths": f"SELECT hit_id, regexp_matches(path, {_q(r'[^/][.](' + '|'.join(dims.SOURCE_SUFFIXES) + ')$')}) AS source, {_TEST} AS test, list_has_any(string_split(path, '/')[:-2], [{', '.join(map(_q, [*dims.LEFT_OUT_FOLDERS, 'deploy']))}]) OR regexp_matches(path, '(^|/)[.]cache[^/]*/') AS left_out FROM scan_hits",
+    "source_paths": f"SELECT hit_id, regexp_matches(path, {_q('[^/]' + _SUFFIX)}) AS source, {_TEST} AS test, list_has_any(string_split(path, '/')[:-2], [{', '.join(map(_q, [*dims.LEFT_OUT_FOLDERS, 'deploy']))}]) OR regexp_matches(path, '(^|/)[.]cache[^/]*/') AS left_out FROM scan_hits",
     "byte_limit_filter": "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents WHERE octet_length(encode(text)) > 2000",
     "dedupe_keys": f"SELECT record_id, {_KEY} AS made_key FROM findings",
-    "register_merge": _REGISTER + f"SELECT m.k AS dedupe_key, records, title, {_at('s', dims.SEVERITIES)} AS severity, {_at('c', dims.CONFIDENCES)} AS confidence, {_at('t', dims.STATUS_PRECEDENCE)} AS status, recommended_fix, impact, severity_rationale, coalesce(source_ids, '') AS source_ids, coalesce(affected_claims, '') AS affected_claims, coalesce(evidence, 0) AS evidence FROM m LEFT JOIN ids ON ids.k = m.k LEFT JOIN cl ON cl.k = m.k LEFT JOIN ev ON ev.k = m.k",
+    "register_merge": _REGISTER
+    + f"SELECT m.k AS dedupe_key, id, records, title, surface, {_at('s', dims.SEVERITIES)} AS severity, {_at('c', dims.CONFIDENCES)} AS confidence, {_at('t', dims.STATUS_PRECEDENCE)} AS status, recommended_fix, impact, severity_rationale, {', '.join(f'coalesce({n}, {chr(39) * 2}) AS {n}' for n in _LISTS)} FROM m "
+    + " ".join(f"LEFT JOIN {n} ON {n}.k = m.k" for n in _LISTS),
+    "register_ids": _NUMBERED + "SELECT record_id, epoch_us(loaded_at) AS loaded_us, coalesce(finding_id, '') AS source_id, CAST(seq AS BIGINT) AS seq, id FROM n",
+    "register_notes": _NOTES,
+    "register_places": _REGISTER + f"SELECT row_number() OVER (ORDER BY s, id, k) AS place, {_at('s', dims.SEVERITIES)} AS severity, id, k AS dedupe_key FROM m",
     "rerun_inference": f"SELECT record_id, array_to_string(list_sort(list_distinct({_RERUN})), ',') AS rerun FROM findings",
     "status_severity_pivot": f"WITH n AS (SELECT {_choice('severity', dims.SEVERITIES, 'medium')} AS sev, {_choice('status', dims.STATUSES, 'open')} AS status FROM findings), s AS (SELECT unnest([{', '.join(map(_q, dims.STATUSES))}]) AS status) SELECT s.status, {', '.join(f'count(*) FILTER (sev = {_q(x)}) AS {x}' for x in dims.SEVERITIES)}, count(sev) AS total FROM s LEFT JOIN n ON n.status = s.status GROUP BY s.status",
     "residual_risk": "SELECT status, severity, count(*) AS findings FROM findings WHERE status IN ('open', 'partially_fixed', 'accepted_risk') AND severity IN ('critical', 'high', 'medium') GROUP BY ALL",
@@ -402,7 +569,7 @@ SELECT *, CASE WHEN category = 'low_sensitivity_control' THEN 'low' WHEN {_SENSI
 }
 
 QUERIES = {f.__name__: f for f in (
-    leak_scan_raw, leak_scan_har, leak_findings, scan_summary, har_pairs, classify_ladder, sentinel_variants, sentinel_variants_all, leak_scan_decoded, pattern_scan, pattern_counts, rust_section_counts, source_paths,
-    byte_limit_filter, dedupe_keys, register_merge, rerun_inference, status_severity_pivot, residual_risk, current_status, choice_normalize, reference_lookup, field_class_counts, claim_counts,
+    leak_scan_raw, leak_scan_har, leak_findings, scan_summary, har_pairs, classify_ladder, sentinel_variants, sentinel_variants_all, leak_scan_decoded, leak_scan_encoded, pattern_scan, search_packs, static_scan, static_scan_capped, pattern_counts, rust_section_counts, source_paths,
+    byte_limit_filter, dedupe_keys, register_merge, register_ids, register_notes, register_places, rerun_inference, status_severity_pivot, residual_risk, current_status, choice_normalize, reference_lookup, field_class_counts, claim_counts,
     multi_surface_fields, high_cardinality_fields, high_cardinality_approx, small_anonymity_sets, fan_in_out, reviewer_merge, claim_coverage, orphan_refs, differential_fields, boundary_flows, reachability, schema_checks, time_spellings, unmapped_units,
 )}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -14,7 +15,9 @@ from lodesift.operators.patternscan import in_left_out_folder, is_source_path
 
 FINDING = """id STRING, finding_id STRING, title STRING, severity STRING, confidence STRING, status STRING, audit_skill STRING, surface STRING, dedupe_key STRING,
 affected_claims ARRAY<STRING>, evidence ARRAY<STRUCT<type: STRING, description: STRING, file: STRING, location: STRING, excerpt: STRING>>, impact STRING, severity_rationale STRING,
-recommended_fix STRING, retest_steps ARRAY<STRING>, reproduction_steps ARRAY<STRING>, limitations ARRAY<STRING>"""
+recommended_fix STRING, retest_steps ARRAY<STRING>, reproduction_steps ARRAY<STRING>, limitations ARRAY<STRING>, source_ids ARRAY<STRING>, source_skills ARRAY<STRING>, affected_skills_to_rerun ARRAY<STRING>,
+boundary_surface STRING, crypto_surface STRING, metadata_surface STRING, risk_rationale STRING, remediation STRING, duplicate_key STRING, root_cause_hypothesis STRING,
+fix_commits ARRAY<STRING>, retest_evidence ARRAY<STRING>, status_history ARRAY<STRING>"""
 
 
 def read_sources(spark: SparkSession, root: str, leave_out: list[str] = (), all_text: bool = False) -> DataFrame:
@@ -55,7 +58,33 @@ def read_findings(spark: SparkSession, paths: list[str] | str, strict: bool = Tr
         bad = F.col("_fs").isNull() | F.exists("_fs", lambda x: x.isNull())
         rows = rows.withColumn("_fs", F.when(bad, F.raise_error(F.concat(F.lit("no findings document: "), F.col("file"))).cast("array<string>")).otherwise(F.col("_fs")))
     flat = rows.select("file", F.posexplode("_fs").alias("at", "_f")).filter(F.col("_f").isNotNull())
-    return flat.select("file", "at", F.from_json("_f", FINDING).alias("f")).select("file", "at", "f.*").withColumn("finding_id", F.coalesce("finding_id", "id"))
+    return _members(flat, ["file", "at"], "_f")
+
+
+def _members(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The members of a finding's JSON text; a list's member that is no list counts as a list of one."""
+    kinds = dict(x.strip().split(" ", 1) for x in re.split(r",(?![^<]*>)\s*", FINDING))
+    read = rows.select(*keys, F.from_json(text, ", ".join(f"{n} STRING" for n in kinds)).alias("f"))
+
+    def listed(c: Column, kind: str) -> Column:
+        items = F.when(c.startswith("["), F.from_json(c, kind))
+        return items.when(c.isNotNull(), F.array(F.from_json(c, kind[6:-1]) if "STRUCT" in kind else c))
+
+    members = [(listed(F.col(f"f.{n}"), k) if k.startswith("ARRAY") else F.col(f"f.{n}")).alias(n) for n, k in kinds.items()]
+    return read.select(*keys, *members).withColumn("finding_id", F.coalesce("finding_id", "id"))
+
+
+def read_register(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Records of register documents, in their order: ``file``, ``at`` and the members of a finding.
+
+    A document that is no object with a list of ``findings`` is an error.
+    """
+    texts = spark.read.format("text").option("wholetext", "true").load(paths).select(F.col("_metadata.file_path").alias("file"), complete_json(F.col("value")).alias("_d"))
+    inner = F.get_json_object("_d", "$.findings")
+    shape = F.coalesce(F.col("_d").startswith("{") & inner.startswith("["), F.lit(False))
+    records = F.when(shape, json_list(inner)).otherwise(F.raise_error(F.concat(F.lit("no register: "), F.col("file"))).cast("array<string>"))
+    flat = texts.select("file", F.posexplode(records).alias("at", "_f"))
+    return _members(flat, ["file", "at"], "_f")
 
 
 def read_har_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lodesift.sources.ship import ship
 
 
+_kept: list[str] = []  # folders of intermediate tables
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` of ``folder``; the executors get the package first."""
     ship(spark)
@@ -39,13 +42,25 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage and survives lost executors.
 
-    The files are removed when the Python process ends.
+    The files are removed by ``drop_stored``, or when the Python process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodesift-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for an intermediate table in the shared folder."""
+    if not _kept:
+        atexit.register(drop_stored, spark)
+    _kept.append(f"{shared_folder(spark)}/lodesift-{uuid.uuid4().hex}")
+    return _kept[-1]
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Removes the intermediate tables written so far; for a long session, once a query's result is written."""
+    while _kept:
+        _remove(spark, _kept.pop())
 
 
 def _remove(spark: SparkSession, path: str) -> None:

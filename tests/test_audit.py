@@ -64,7 +64,7 @@ def test_ladder(spark, row, label, severity):
 
 def test_sentinels(tmp_path):
     a, b = leakscan.sentinel_manifest("run", "seed"), leakscan.sentinel_manifest("run", "seed")
-    assert a == b and len(a) == 6 and all(s["value"].startswith("ZKNET::run::") for s in a)
+    assert a == b and len(a) == 6 and all(s["value"].startswith("CANARY::run::") for s in a)
     (tmp_path / "m.json").write_text(json.dumps({"sentinels": [{"value": LEAK}, LEAK]}))
     assert [s["id"] for s in leakscan.load_sentinels([str(tmp_path / "m.json")], [LEAK])] == ["literal-001", "m-001", "m-002"]
     for bad in ("", " " * 20, "short"):
@@ -128,8 +128,10 @@ def test_rerun_and_key(spark):
 
 def test_sequence_ids_references(spark):
     rows = register.normalized(findings(spark, {"dedupe_key": "a", "finding_id": "X-100"}, {"dedupe_key": "a"}, {"dedupe_key": "b", "finding_id": "bad id"}), ["record_id"])
-    seq = register.fallback_sequence(rows).select("ord.record_id", "n", register.accepted_id(F.col("source_id"), F.col("n")).alias("id")).orderBy("record_id").collect()
-    assert [(r["n"], r["id"]) for r in seq] == [(1, "X-100"), (1, "VDRM-001"), (2, "VDRM-002")]
+    seq = register.with_ids(rows, "REG").orderBy("ord").collect()
+    # The duplicate and the next new key fall back to the same number: only new keys advance it.
+    assert [(r["seq"], r["id"], r["source_ids"]) for r in seq] == [(1, "X-100", ["X-100"]), (2, "UNASSIGNED-002", ["UNASSIGNED-002"]), (2, "REG-002", ["bad id"])]
+    assert register.with_ids(rows.limit(0)).count() == 0
     refs = spark.createDataFrame([("X-100",), ("none",)], "reference STRING")
     assert {r["reference"]: r["matches"] for r in register.referenced(register.merged(rows), refs).collect()} == {"X-100": 1, "none": 0}
 

@@ -45,4 +45,4 @@ def test_every_form_of_a_sentinel(spark, tmp_path):
     assert forms["json"] == 'Café \\"Nine\\"\\nScheduler-70' and forms["json_ascii"] == 'Caf\\u00e9 \\"Nine\\"\\nScheduler-70' and forms["trace"] == 'Café "Nine"\\nScheduler-70'
     packed = decode.decoded_values(rows.filter("variant = 'gzip'"), ["variant"], "text", depth=1)
     assert packed.filter(packed["decoded"] == value).count() == 1
-    assert audit_queries.sentinel_variants(spark, str(tmp_path)).count() == 4
+    assert audit_queries.sentinel_variants(spark, str(tmp_path)).count() == rows.count() - 1

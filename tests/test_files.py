@@ -28,6 +28,18 @@ def test_findings_documents(spark, tmp_path):
     assert files.read_findings(spark, str(tmp_path), strict=False).count() == 4
 
 
+def test_registers_and_single_values(spark, tmp_path):
+    finding = {"id": "A-001", "source_skills": "one-review", "evidence": {"type": "x"}, "limitations": ["a"], "fix_commits": [{"commit": "c"}], "metadata_surface": "m"}
+    (tmp_path / "r.json").write_text("\ufeff" + json.dumps({"findings": [finding, {"id": "A-002"}]}))
+    got = files.read_register(spark, str(tmp_path / "r.json")).orderBy("at").collect()
+    assert [r["finding_id"] for r in got] == ["A-001", "A-002"] and got[0]["source_skills"] == ["one-review"] and got[0]["evidence"][0]["type"] == "x"
+    assert got[0]["fix_commits"] == ['{"commit":"c"}'] and got[0]["metadata_surface"] == "m" and got[1]["evidence"] is None
+    for bad in ("[]", "{}", '{"findings": {}}', "{"):
+        (tmp_path / "r.json").write_text(bad)
+        with pytest.raises(Exception, match="no register"):
+            files.read_register(spark, str(tmp_path / "r.json")).collect()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("g", "a|b", 1), ("h", "c\nd", None)], "g STRING, t STRING, n INT")
     files.write_json(df, str(tmp_path / "out"))
