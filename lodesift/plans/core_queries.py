@@ -13,8 +13,8 @@ from lodesift.sources.tables import table
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each header object of the captures' requests and responses."""
-    parsed = parse_har(table(spark, folder, "har_captures").select("capture_id", "har"))
-    rows = har_lists(parsed, ["capture_id"], ["request.headers", "response.headers"])
+    lists = ["request.headers", "response.headers"]
+    rows = har_lists(parse_har(table(spark, folder, "har_captures").select("capture_id", "har"), only=lists), ["capture_id"], lists)
     return rows.select("capture_id", "entry_index", F.substring_index("list", ".", 1).alias("direction"), F.col("item_index").alias("header_index"))
 
 
