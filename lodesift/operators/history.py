@@ -2,13 +2,13 @@
 
 Per entity, the sorted array of its observations is folded by a higher-order function that appends a
 version only where the attributes change; the versions are exploded with the next one's start as end.
-An entity whose rows might not fit one array is cut into days first; each day is folded alone, and a
-fold over the days' first and last states tells each day what held before it and what comes after.
+An entity whose rows might not fit one array is cut into days first; each day is folded alone, and the
+days' first and last states tell each day what held before it and what comes after.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodesift.sources.tables import join_small, stored
@@ -16,12 +16,26 @@ from lodesift.sources.tables import join_small, stored
 DAY = 86_400
 
 
+BLOCK = 64  # observations that one fold appends to: an array that grows is copied with each version
+
+
 def _fold(rows: Column, states: list[str], kind: str) -> Column:
-    """Versions of a sorted array of observations with one row for each instant."""
-    same = lambda a, b: F.expr("true") if not states else _all([a[s].eqNullSafe(b[s]) for s in states])
+    """Versions of a sorted array of observations with one row for each instant.
+
+    Folded in blocks, each beginning with the observation before it, so the time is in proportion to the
+    rows, whatever the number of versions.
+    """
+    same = lambda a, b: _all([F.lit(True), *[a[s].eqNullSafe(b[s]) for s in states]])
     start = F.expr(f"CAST(array() AS ARRAY<{kind}>)")
     step = lambda done, row: F.when((F.size(done) > 0) & same(F.element_at(done, -1), row), done).otherwise(F.concat(done, F.array(row)))
-    return F.aggregate(rows, start, step)
+    first = F.aggregate(F.slice(rows, 1, BLOCK), start, step)
+
+    def block(at: Column) -> Column:
+        before = F.array(F.get(rows, at - 1))
+        return F.slice(F.aggregate(F.slice(rows, at + 1, F.lit(BLOCK)), before, step), 2, BLOCK)
+
+    more = F.flatten(F.transform(F.sequence(F.lit(BLOCK), F.size(rows) - 1, F.lit(BLOCK)), block))
+    return F.when(F.size(rows) <= BLOCK, first).otherwise(F.concat(first, more))
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -41,7 +55,7 @@ def version_history(df: DataFrame, entity: str, at: str, rank: str, states: list
     table gives no row, other columns are ignored.
 
     An entity of more than ``heavy_rows`` rows goes by days: after the reduction to one row for each
-    instant a day holds at most 86,400 rows, and the fold over days has one element for each day.
+    instant a day holds at most 86,400 rows, and days are told what comes before and after by windows.
     """
     rows = df.select(F.col(entity).alias("_k"), F.col(at).cast("bigint").alias("at"), F.col(rank).alias("_r"), *[F.col(s).alias(f"_s{i}") for i, s in enumerate(states)])
     names = [f"_s{i}" for i in range(len(states))]
@@ -85,13 +99,12 @@ def _heavy(rows: DataFrame, names: list[str]) -> DataFrame:
     first = F.element_at("vs", 1)
     # Of a day: its first and last state, the first instant, and the second version's start.
     summary = days.select("_k", F.struct("_d", first["at"].alias("from"), F.get("vs", F.lit(1))["at"].alias("second"), F.struct(*[first[n].alias(n) for n in names]).alias("first"), F.struct(*[F.col("_last")[n].alias(n) for n in names]).alias("last")).alias("_x"))
-    per = summary.groupBy("_k").agg(F.sort_array(F.collect_list("_x")).alias("_x"))
-    # goes_on: the day's first version is the one that held the day before; starts: its first new version.
-    told = F.transform("_x", lambda x, i: F.struct(x["_d"].alias("_d"), F.when(i > 0, F.get("_x", i - 1)["last"].eqNullSafe(x["first"])).otherwise(F.lit(False)).alias("goes_on"), x["from"].alias("from"), x["second"].alias("second")))
-    told = F.transform(told, lambda x: F.struct(x["_d"].alias("_d"), x["goes_on"].alias("goes_on"), F.when(x["goes_on"], x["second"]).otherwise(x["from"]).alias("starts")))
-    # Backwards, so that each day finds the next start behind it.
-    begin = F.struct(F.lit(-1).cast("bigint").alias("next"), F.expr("CAST(array() AS ARRAY<STRUCT<_d: BIGINT, goes_on: BOOLEAN, _after: BIGINT>>)").alias("out"))
-    step = lambda acc, x: F.struct(F.coalesce(x["starts"], acc["next"]).alias("next"), F.concat(acc["out"], F.array(F.struct(x["_d"].alias("_d"), x["goes_on"].alias("goes_on"), acc["next"].alias("_after")))).alias("out"))
-    after = per.select("_k", F.explode(F.aggregate(F.reverse(told), begin, step)["out"]).alias("_y")).select("_k", "_y.*")
+    # An entity's days in turn, a row for each. goes_on: its first version is the one that held the day before;
+    # starts: its first new version; _after: the next start behind it.
+    ahead = Window.partitionBy("_k").orderBy("_d")
+    behind = Window.partitionBy("_k").orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
+    told = summary.select("_k", "_x.*").withColumn("goes_on", F.coalesce(F.lag(F.struct("last")).over(ahead)["last"].eqNullSafe(F.col("first")) & (F.row_number().over(ahead) > 1), F.lit(False)))
+    told = told.withColumn("starts", F.when(F.col("goes_on"), F.col("second")).otherwise(F.col("from")))
+    after = told.select("_k", "_d", "goes_on", F.coalesce(F.last("starts", ignorenulls=True).over(behind), F.lit(-1)).alias("_after"))
     joined = days.join(after, ["_k", "_d"])
     return _ends(joined.select("_k", F.when(F.col("goes_on"), F.slice("vs", 2, 2_000_000_000)).otherwise(F.col("vs")).alias("vs"), "_after"), names)
