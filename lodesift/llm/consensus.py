@@ -1,18 +1,19 @@
 """Best representative of each duplicate group, field by field, by token-level consensus.
 
-A group's values of a field are aligned progressively: each joins a profile of columns, anchored at
-the tokens both have in the same order, with what lies between anchors set against each other. Each
-value votes in every column for its token, or for a gap, with its weight; the winners of the columns
-are the consensus, and the existing value closest to it is given, of equally close ones that of the
-record first in precedence.
-
-Weights add up by default (``additive``). Under ``precedence`` a vote is worth the record's precedence
-and a column goes to its highest vote: the consensus is then what the records say in that order, and a
-record without a value leaves the field to the next.
-
-Most groups are small and settled where their rows meet. A group of more than ``heavy_rows`` rows is
-first aligned within each Arrow batch, the batches' profiles are aligned in turn, and the closest value
-is searched where the rows lie; no task holds such a group.
+A group's different values of a field are put in order, the weightiest first, and aligned progressively:
+each joins a profile of columns, anchored at the tokens both have in the same order, with what lies
+between anchors set against each other. Blocks of values that follow each other are aligned first, then
+the blocks' profiles, up a tree that depends on the order alone. Each value votes in every column for its
+token, or for a gap, with its weight; votes add up, the winners of the columns are the consensus, and the
+existing value closest to it is given, of equally close ones that of the record first in precedence.
+
+Weights are whole numbers, so sums don't depend on the order of rows. By default they are those of the
+records. Where precedence must decide alone, a value's weight comes from its rank in the group, each
+greater than all those behind it together: the first one outvotes the rest in every column.
+
+Most groups are settled where their rows meet. Those of more than ``heavy_rows`` rows climb the same tree
+in stages, a block a task at a time, and are searched for the closest value where the values lie; no task
+holds such a group, and the result is the same whatever ``heavy_rows`` is.
 """
 
 from __future__ import annotations
@@ -20,17 +21,20 @@ from __future__ import annotations
 import pickle
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodesift.operators.order import with_place
 from lodesift.sources.tables import join_small, stored
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 MOST_BROADCAST = 10_000
+MOST_GOAL_BYTES = 64 << 20
+BLOCK = 64  # values, or profiles, that one step of the tree aligns
 
 
 def tokens(value: str) -> list[str]:
@@ -61,16 +65,9 @@ def _chain(profile: dict[str, list[int]], row: list[str]) -> list[tuple[int, int
 class Profile:
     """Aligned values: for each column the weight of each token, None standing for a gap."""
 
-    def __init__(self, additive: bool) -> None:
-        self.additive = additive
-        self.columns: list[dict[str | None, Any]] = []
-        self.total: Any = None
-
-    def _join(self, a: Any, b: Any) -> Any:
-        return b if a is None else a if b is None else a + b if self.additive else max(a, b)
-
-    def _vote(self, column: dict, token: str | None, weight: Any) -> None:
-        column[token] = self._join(column.get(token), weight)
+    def __init__(self, row: list[str], weight: int) -> None:
+        self.columns: list[dict[str | None, int]] = [{t: weight} for t in row]
+        self.total = weight
 
     def _places(self) -> dict[str, list[int]]:
         places: dict[str, list[int]] = {}
@@ -80,42 +77,24 @@ class Profile:
                     places.setdefault(t, []).append(i)
         return places
 
-    @classmethod
-    def of(cls, row: list[str], weight: Any, additive: bool) -> Profile:
-        """The profile of one value."""
-        out = cls(additive)
-        out.columns, out.total = [{t: weight} for t in row], weight
-        return out
-
     def merge(self, other: Profile) -> None:
         """Aligns another profile; its columns are matched by their strongest tokens."""
-        if self.total is None:
-            self.columns, self.total = other.columns, other.total
-            return
-        row = other.strongest()
         mine, theirs, out = self.columns, other.columns, []
         i = j = 0
-        for at, to in [*_chain(self._places(), row), (len(mine), len(theirs))]:
+        for at, to in [*_chain(self._places(), other.strongest()), (len(mine), len(theirs))]:
             while i < at and j < to:
-                out.append(self._both(mine[i], theirs[j]))
+                out.append(_added(mine[i], theirs[j]))
                 i, j = i + 1, j + 1
             while i < at:
-                self._vote(mine[i], None, other.total)
-                out.append(mine[i])
+                out.append(_added(mine[i], {None: other.total}))
                 i += 1
             while j < to:
-                self._vote(theirs[j], None, self.total)
-                out.append(theirs[j])
+                out.append(_added(theirs[j], {None: self.total}))
                 j += 1
             if at < len(mine) and to < len(theirs):
-                out.append(self._both(mine[at], theirs[to]))
+                out.append(_added(mine[at], theirs[to]))
                 i, j = at + 1, to + 1
-        self.columns, self.total = out, self._join(self.total, other.total)
-
-    def _both(self, a: dict, b: dict) -> dict:
-        for t, w in b.items():
-            self._vote(a, t, w)
-        return a
+        self.columns, self.total = out, self.total + other.total
 
     def strongest(self) -> list[str]:
         """Of each column its strongest token, even if a gap is stronger."""
@@ -127,27 +106,35 @@ class Profile:
         return [t for t in winners if t is not None]
 
 
-class Alignment:
-    """Progressive alignment of a sequence of profiles, neighbours first: those of as many values are merged."""
+def _added(votes: dict[str | None, int], more: dict[str | None, int]) -> dict[str | None, int]:
+    for t, w in more.items():
+        votes[t] = votes.get(t, 0) + w
+    return votes
 
-    def __init__(self, additive: bool) -> None:
-        self.additive = additive
-        self.done: list[tuple[int, Profile]] = []  # falling numbers of values
 
-    def add(self, profile: Profile, values: int = 1) -> None:
-        while self.done and self.done[-1][0] <= values:
-            before, left = self.done.pop()
+def aligned(profiles: Iterable[Profile]) -> Profile:
+    """One profile of several, neighbours first: those of as many members are merged."""
+    done: list[tuple[int, Profile]] = []  # falling numbers of members
+    for profile in profiles:
+        members = 1
+        while done and done[-1][0] <= members:
+            before, left = done.pop()
             left.merge(profile)
-            profile, values = left, values + before
-        self.done.append((values, profile))
+            profile, members = left, members + before
+        done.append((members, profile))
+    _, out = done.pop()
+    while done:
+        _, left = done.pop()
+        left.merge(out)
+        out = left
+    return out
+
 
-    def profile(self) -> Profile:
-        out = Profile(self.additive)
-        while self.done:
-            _, left = self.done.pop()
-            left.merge(out) if out.total is not None else None
-            out = left
-        return out
+def tree(profiles: list[Profile]) -> Profile:
+    """The profile of all: block by block, then the blocks' profiles, until one is left."""
+    while len(profiles) > 1:
+        profiles = [aligned(profiles[k : k + BLOCK]) for k in range(0, len(profiles), BLOCK)]
+    return profiles[0]
 
 
 def distance(a: list[str], b: list[str]) -> int:
@@ -160,46 +147,42 @@ def distance(a: list[str], b: list[str]) -> int:
     return len(a) + len(b) - 2 * len(_chain(places, b))
 
 
-Vote = tuple[str, tuple, float]  # value, precedence (greater is better, ending with the record id), weight
+class Value(NamedTuple):
+    """A different value of a group: its best precedence (least first, ending with the record id) and weight."""
 
+    text: str
+    first: tuple[int, int, int]
+    weight: int
 
-def settle(votes: list[Vote], additive: bool) -> Vote:
-    """The vote whose value is closest to the consensus of all."""
-    best: dict[str, Vote] = {}
-    weights: dict[str, float] = {}
-    for v in votes:
-        if v[0] not in best or v[1] > best[v[0]][1]:
-            best[v[0]] = v
-        weights[v[0]] = weights.get(v[0], 0.0) + v[2]
-    if len(best) == 1:
-        return next(iter(best.values()))
-    alignment, rows = Alignment(additive), {value: tokens(value) for value in best}
-    # The order of alignment: the weightiest first, as a guide for the rest.
-    for value in sorted(best, key=lambda x: (weights[x] if additive else best[x][1], x), reverse=True):
-        alignment.add(Profile.of(rows[value], weights[value] if additive else best[value][1], additive))
-    goal = alignment.profile().consensus()
-    return min(best.values(), key=lambda v: (distance(rows[v[0]], goal), _down(v[1])))
 
+def by_rank(rank: int) -> int:
+    """The weight of a rank, from 0: greater than that of all ranks behind it together.
 
-def _down(precedence: tuple) -> tuple:
-    """Orders precedences from the greatest to the least."""
-    return tuple(-x for x in precedence)
+    From rank 63 on it is 0: the first value votes in every column and outweighs the rest, so what is
+    left to those can't count.
+    """
+    return 1 << 62 - rank if rank < 63 else 0
 
 
-RANK = "trust"
-AT = "at"
+def in_order(values: Iterable[Value], precedence: bool) -> list[Value]:
+    """A group's values in the order of alignment, with the weights they vote with."""
+    if precedence:
+        return [v._replace(weight=by_rank(k)) for k, v in enumerate(sorted(values, key=lambda v: (v.first, v.text)))]
+    return sorted(values, key=lambda v: (-v.weight, v.first, v.text))
 
 
-def _votes(batch: pa.RecordBatch, fields: list[str]) -> Iterator[tuple[str, str, Vote]]:
-    columns = {n: batch.column(n).to_pylist() for n in ("key", "id", RANK, AT, "weight", *fields)}
-    for k in range(batch.num_rows):
-        precedence = (-columns[RANK][k], columns[AT][k], columns["id"][k])
-        for f in fields:
-            value = columns[f][k]
-            if value is not None:
-                yield columns["key"][k], f, (value, precedence, columns["weight"][k])
+def settle(values: Iterable[Value], precedence: bool = False) -> Value:
+    """The value that is closest to the consensus of all."""
+    ordered = in_order(values, precedence)
+    if len(ordered) == 1:
+        return ordered[0]
+    rows = [tokens(v.text) for v in ordered]
+    goal = tree([Profile(row, v.weight) for row, v in zip(rows, ordered)]).consensus()
+    return min(zip(rows, ordered), key=lambda x: (distance(x[0], goal), x[1].first, x[1].text))[1]
 
 
+RANK = "trust"
+AT = "at"
 OUT = "key STRING, field_name STRING, id BIGINT, value STRING"
 
 
@@ -208,150 +191,130 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["key", "field_name", "id", "value"])
 
 
-def _light(fields: list[str], additive: bool):  # noqa: ANN202
-    """Rows sorted by key: settles one group after the other."""
+def _light(fields: list[str], precedence: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by key and id: settles one group of at least two ids after the other."""
 
-    def group(rows: list[tuple[str, Vote]], key: str) -> Iterator[tuple]:
-        for f in fields:
-            votes = [v for name, v in rows if name == f]
-            if votes:
-                won = settle(votes, additive)
-                yield key, f, won[1][-1], won[0]
+    def group(key: str, values: list[dict[str, Value]]) -> Iterator[tuple]:
+        for f, found in zip(fields, values):
+            if found:
+                won = settle(found.values(), precedence)
+                yield key, f, -won.first[2], won.text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
+        now, one, several, held = None, None, False, []
         for batch in batches:
-            for key, f, vote in _votes(batch, fields):
+            columns = [batch.column(n).to_pylist() for n in ("key", "id", RANK, AT, "weight", *fields)]
+            out = []
+            for key, i, trust, at, weight, *texts in zip(*columns):
                 if key != now:
-                    if held:
-                        out += group(held, now)
-                    now, held = key, []
-                held.append((f, vote))
+                    out += group(now, held) if several else ()
+                    now, one, several, held = key, i, False, [{} for _ in fields]
+                several = several or i != one
+                first = (trust, -at, -i)
+                for found, text in zip(held, texts):
+                    if text is not None:
+                        known = found.get(text)
+                        found[text] = Value(text, min(first, known.first), weight + known.weight) if known else Value(text, first, weight)
             yield _out(out)
-            out = []
-        if held:
-            yield _out(list(group(held, now)))
+        if several:
+            yield _out(list(group(now, held)))
 
     return run
 
 
-def _profiles(fields: list[str], additive: bool):  # noqa: ANN202
-    """Of each batch a profile for each key and field."""
+PARTS = "key STRING, field_name STRING, place BIGINT, profile BINARY"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[tuple[str, str], dict[str, list]] = {}
-            for key, f, (value, precedence, weight) in _votes(batch, fields):
-                known = found.setdefault((key, f), {}).setdefault(value, [precedence, 0.0])
-                known[0], known[1] = max(known[0], precedence), known[1] + weight
-            rows = []
-            for (key, f), values in found.items():
-                alignment = Alignment(additive)
-                for value, (precedence, weight) in sorted(values.items(), key=lambda x: (x[1][1] if additive else x[1][0], x[0]), reverse=True):
-                    alignment.add(Profile.of(tokens(value), weight if additive else precedence, additive))
-                profile = alignment.profile()
-                rows.append((key, f, pickle.dumps((profile.columns, profile.total))))
-            columns = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary()))], names=["key", "field_name", "profile"])
-
-    return run
 
-
-def _merged(additive: bool):  # noqa: ANN202
-    """Profiles sorted by key and field: aligns those of one, gives its consensus."""
+def _step(read: Callable[[object, int], Profile]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Members sorted by group and place (key, field_name, place, member, weight): a profile for each block of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, alignment = None, Alignment(additive)
-        kind = [("key", pa.string()), ("field_name", pa.string()), ("goal", pa.list_(pa.string()))]
+        now, held = None, []
 
         def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip((*now, alignment.profile().consensus()), kind)], names=[n for n, _ in kind])
+            profile = aligned(held)
+            data = pickle.dumps((profile.columns, profile.total))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now, data), (pa.string(), pa.string(), pa.int64(), pa.binary()))], names=["key", "field_name", "place", "profile"])
 
         for batch in batches:
-            for key, f, data in zip(*[c.to_pylist() for c in batch.columns]):
-                if (key, f) != now:
-                    if now:
+            for key, f, place, member, weight in zip(*[c.to_pylist() for c in batch.columns]):
+                if (key, f, place // BLOCK) != now:
+                    if held:
                         yield given()
-                    now, alignment = (key, f), Alignment(additive)
-                part = Profile(additive)
-                part.columns, part.total = pickle.loads(data)
-                alignment.add(part)
-        if now:
+                    now, held = (key, f, place // BLOCK), []
+                held.append(read(member, weight))
+        if held:
             yield given()
 
     return run
 
 
+def _unpacked(data: bytes, _: int) -> Profile:
+    profile = Profile([], 0)
+    profile.columns, profile.total = pickle.loads(data)
+    return profile
+
+
 def _far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         far = [distance(tokens(v), g) for v, g in zip(batch.column("value").to_pylist(), batch.column("goal").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("key", "field_name", "id", "value", RANK, AT)] + [pa.array(far, pa.int64())], names=["key", "field_name", "id", "value", RANK, AT, "far"])
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("key", "field_name", "value", "first")] + [pa.array(far, pa.int64())], names=["key", "field_name", "value", "first", "far"])
 
 
-def best_values(df: DataFrame, fields: list[str], additive: bool = False, heavy_rows: int = 5_000) -> DataFrame:
+def _goals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        goals = pa.array([_unpacked(p, 0).consensus() for p in batch.column("profile").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("field_name"), goals], names=["key", "field_name", "goal"])
+
+
+def best_values(df: DataFrame, fields: list[str], precedence: bool = False, heavy_rows: int = 5_000) -> DataFrame:
     """``key``, ``field_name``, ``id``, ``value``: for each key and field the surviving value and its record.
 
     ``df`` has ``key``, ``id`` (BIGINT), ``trust`` (the least is best), ``at`` (BIGINT, the greatest is
-    best), ``weight`` (DOUBLE, used if ``additive``) and the fields as text, null where a record has no
-    value. Precedence is by trust, then time, then the highest id; null trust or time comes last.
+    best), ``weight`` (BIGINT, unused with ``precedence``) and the fields as text, null where a record has
+    no value. Precedence is by trust, then time, then the highest id; null trust or time comes last. The
+    record of a value is that first in precedence.
 
     Keys with fewer than two different ids, null keys and null ids give no row, nor does a field for
-    which no record has a value. A repeated row votes once under precedence, twice if additive. Very
-    long values are aligned whole. Other columns are ignored.
+    which no record has a value. A repeated row votes again, which changes nothing with ``precedence``.
+    A null weight counts 0. Very long values are aligned whole. Other columns are ignored.
     """
-    rows = df.select("key", F.col("id").cast("bigint").alias("id"), F.coalesce(F.col(RANK).cast("bigint"), F.lit(2**53)).alias(RANK), F.coalesce(F.col(AT).cast("bigint"), F.lit(-(2**53))).alias(AT), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"), *fields)
+    rows = df.select("key", F.col("id").cast("bigint").alias("id"), F.coalesce(F.col(RANK).cast("bigint"), F.lit(2**53)).alias(RANK), F.coalesce(F.col(AT).cast("bigint"), F.lit(-(2**53))).alias(AT), F.coalesce(F.col("weight").cast("bigint"), F.lit(0)).alias("weight"), *fields)
     rows = rows.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     heavy = stored(groups.filter((F.col("n") > heavy_rows) & (F.col("lo") < F.col("hi"))).select("key"))
     n_heavy = heavy.count()
     light = rows if not n_heavy else join_small(rows, heavy, ["key"], "left_anti", n_heavy, MOST_BROADCAST)
-    several = light.repartition("key").sortWithinPartitions("key", "id")
-    out = several.mapInArrow(_several(_light(fields, additive), fields), OUT)
+    out = light.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_light(fields, precedence), OUT)
     if n_heavy:
-        out = out.union(_heavy(join_small(rows, heavy, ["key"], "left_semi", n_heavy, MOST_BROADCAST), fields, additive))
+        out = out.union(_heavy(join_small(rows, heavy, ["key"], "left_semi", n_heavy, MOST_BROADCAST), fields, precedence))
     return out
 
 
-def _several(settle_sorted, fields: list[str]):  # noqa: ANN001, ANN202
-    """Passes on the rows, sorted by key and id, of keys with at least two ids."""
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # a key's rows so far, all of one id
-        last = None
-        for batch in batches:
-            keys, ids = batch.column("key").to_pylist(), batch.column("id").to_pylist()
-            start, n, keep = 0, len(keys), [False] * len(keys)
-            while start < n:
-                end = start
-                while end < n and keys[end] == keys[start]:
-                    end += 1
-                begun = last is not None and last[0] == keys[start]
-                if begun and (last[2] or ids[end - 1] != last[1]):
-                    yield from held
-                    held = []
-                    keep[start:end] = [True] * (end - start)
-                    last = (keys[start], ids[end - 1], True)
-                elif begun:
-                    held.append(batch.slice(start, end - start))
-                elif ids[start] != ids[end - 1]:
-                    held = []
-                    keep[start:end] = [True] * (end - start)
-                    last = (keys[start], ids[end - 1], True)
-                else:
-                    held = [batch.slice(start, end - start)] if end == n else []
-                    last = (keys[start], ids[start], False)
-                start = end
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return lambda batches: settle_sorted(kept(batches))
-
-
-def _heavy(rows: DataFrame, fields: list[str], additive: bool) -> DataFrame:
-    profiles = rows.mapInArrow(_profiles(fields, additive), "key STRING, field_name STRING, profile BINARY")
-    goals = stored(profiles.repartition("key", "field_name").sortWithinPartitions("key", "field_name").mapInArrow(_merged(additive), "key STRING, field_name STRING, goal ARRAY<STRING>"))
-    long = rows.select("key", "id", RANK, AT, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("_f")).select("key", "id", RANK, AT, "_f.*").filter(F.col("value").isNotNull())
-    near = join_small(long, goals, ["key", "field_name"], "inner", goals.count(), MOST_BROADCAST).select("key", "field_name", "id", "value", RANK, AT, "goal")
-    far = near.mapInArrow(_far, f"key STRING, field_name STRING, id BIGINT, value STRING, {RANK} BIGINT, {AT} BIGINT, far BIGINT")
+def _heavy(rows: DataFrame, fields: list[str], precedence: bool) -> DataFrame:
+    first = F.struct(RANK, (-F.col(AT)).alias(AT), (-F.col("id")).alias("id"))
+    long = rows.select("key", first.alias("first"), "weight", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("_f"))
+    group = ["key", "field_name"]
+    # Equal values are one before anything is shuffled.
+    values = long.select("key", "first", "weight", "_f.*").filter(F.col("value").isNotNull()).groupBy(*group, "value").agg(F.min("first").alias("first"), F.sum("weight").alias("weight"))
+    order = ["first", "value"] if precedence else ["_down", "first", "value"]
+    placed = stored(with_place(values.withColumn("_down", -F.col("weight")), [*group, *order], "place").drop("_down"))
+    starts = stored(placed.groupBy(*group).agg(F.min("place").alias("start")))
+    n = starts.count()
+    numbered = join_small(placed, starts, group, "inner", n, MOST_BROADCAST).withColumn("place", F.col("place") - F.col("start"))
+    weight = F.expr("IF(place < 63, shiftleft(1L, CAST(62 - place AS INT)), 0L)") if precedence else F.col("weight")
+    members, read = numbered.select(*group, "place", "value", weight.cast("bigint").alias("weight")), lambda text, w: Profile(tokens(text), w)
+    while True:
+        blocks = members.repartition(*group, F.floor(F.col("place") / BLOCK)).sortWithinPartitions(*group, "place")
+        profiles = stored(blocks.mapInArrow(_step(read), PARTS))
+        if not profiles.agg(F.max("place")).first()[0]:
+            break
+        members, read = profiles.select(*group, "place", "profile", F.lit(0).cast("bigint").alias("weight")), _unpacked
+    goals = stored(profiles.mapInArrow(_goals, "key STRING, field_name STRING, goal ARRAY<STRING>"))
+    size = goals.agg(F.sum(F.octet_length(F.array_join("goal", " ")))).first()[0] or 0
+    near = join_small(placed.select(*group, "value", "first"), goals, group, "inner", n if size <= MOST_GOAL_BYTES else MOST_BROADCAST + 1, MOST_BROADCAST)
+    kind = placed.schema["first"].dataType.simpleString()
+    far = near.mapInArrow(_far, f"key STRING, field_name STRING, value STRING, first {kind}, far BIGINT")
     # Partial aggregation settles each batch where it lies.
-    order = F.struct("far", RANK, (-F.col(AT)).alias("_at"), (-F.col("id")).alias("_id"))
-    return far.groupBy("key", "field_name").agg(F.min_by(F.struct("id", "value"), order).alias("_b")).select("key", "field_name", "_b.*")
+    best = far.groupBy(*group).agg(F.min(F.struct("far", "first", "value")).alias("_b"))
+    return best.select(*group, (-F.col("_b.first.id")).alias("id"), "_b.value")

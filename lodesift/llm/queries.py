@@ -28,18 +28,18 @@ def _candidates(spark: SparkSession, folder: str) -> DataFrame:
     skills = table(spark, folder, "audit_skills").groupBy(F.col("audit_skill")).agg(F.min("trust_rank").alias("trust"))  # fixed: 8 rows
     texts = [F.when(~without_value(F.col(f)), F.col(f)).alias(f) for f in FIELDS[:3]]
     return rows.join(F.broadcast(skills), "audit_skill", "left").select(
-        "key", F.col("record_id").alias("id"), "trust", F.unix_micros("reported_at").alias("at"), (F.lit(1.0) / (1 + F.coalesce("trust", F.lit(20)))).alias("weight"), *texts, status(F.col("status")).alias("status")
+        "key", F.col("record_id").alias("id"), "trust", F.unix_micros("reported_at").alias("at"), F.floor(F.lit(1_000_000) / (1 + F.coalesce("trust", F.lit(20)))).alias("weight"), *texts, status(F.col("status")).alias("status")
     )
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """For each dedupe key and field the record whose value survives, by precedence."""
-    return consensus.best_values(_candidates(spark, folder), FIELDS).select(F.col("key").alias("dedupe_key"), "field_name", F.col("id").alias("record_id"))
+    return consensus.best_values(_candidates(spark, folder), FIELDS, precedence=True).select(F.col("key").alias("dedupe_key"), "field_name", F.col("id").alias("record_id"))
 
 
 def p1_consensus(spark: SparkSession, folder: str) -> DataFrame:
     """For each dedupe key and field the value closest to the consensus of all, weighted by trust."""
-    return consensus.best_values(_candidates(spark, folder), FIELDS, additive=True).select(F.col("key").alias("dedupe_key"), "field_name", F.col("id").alias("record_id"), "value")
+    return consensus.best_values(_candidates(spark, folder), FIELDS).select(F.col("key").alias("dedupe_key"), "field_name", F.col("id").alias("record_id"), "value")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +141,7 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 _STAND_INS = ", ".join(f"'{x}'" for x in STAND_INS)
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
-_NO_VALUE = "({0} IS NULL OR (length({0}) <= 40 AND trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) IN ('', " + _STAND_INS + ")))"
+_NO_VALUE = "({0} IS NULL OR trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) IN ('', " + _STAND_INS + "))"
 _HAS = {f: f"NOT {_NO_VALUE.format(f)}" for f in FIELDS[:3]} | {"status": f"regexp_replace(lower(trim(status, {_BLANKS})), '[\\s_-]+', '_', 'g') IN ('open', 'fixed', 'partially_fixed', 'accepted_risk', 'not_reproducible')"}
 P1_FOUND_SQL = f"""
 WITH f AS (SELECT *, lower(trim(dedupe_key, {_BLANKS})) AS k FROM findings QUALIFY loaded_at = max(loaded_at) OVER (PARTITION BY record_id)),
