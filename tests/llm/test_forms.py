@@ -86,10 +86,22 @@ def test_collisions_keep_records_apart(spark, monkeypatch):
     monkeypatch.setattr(forms, "form_hashes", lambda rows: __import__("numpy").zeros(len(rows), "int64"))
     batch = pa.RecordBatch.from_arrays([pa.array([3, 1, 2, 4]), pa.array(["A b", "c", "ab", "C."])], names=["id", "t"])
     leads = next(iter(forms._lead(None)(iter([batch]))))
-    order = sorted(zip(*[leads.column(k).to_pylist() for k in range(4)]), key=lambda r: (r[0], r[1]))
-    again = pa.RecordBatch.from_arrays([pa.array([r[k] for r in order], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=leads.schema.names)
-    got = next(iter(forms._settle(iter([again]))))
-    assert sorted(zip(got.column(0).to_pylist(), map(sorted, got.column(1).to_pylist()))) == [(1, [1, 4]), (2, [2, 3])]
+    assert sorted(map(sorted, leads.column(3).to_pylist())) == [[1, 4], [2, 3]]
+    # The same four records, each the leader of its own batch, all with one hash.
+    rows = [(0, 1, 10, ["c"]), (0, 2, 20, ["ab"]), (0, 3, 30, ["A b"]), (0, 4, 40, ["C."])]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+    parts = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in half], t) for k, t in enumerate(kinds)], names=["h", "id", "leader", "texts"]) for half in (rows[:2], rows[2:])]
+    got = [pair for b in forms._settle(iter(parts)) for pair in zip(*[c.to_pylist() for c in b.columns])]
+    assert got == [(30, 2), (40, 1)]
+
+
+def test_blocks_end_between_characters():
+    """Texts whose characters of two to four bytes lie across every edge of a block."""
+    for pad in range(forms.BLOCK + 2):
+        for c in ("é", "ＡＢ", "𝐀", "ß", "語", "🙂"):
+            a, b = "x" * pad + c * 40 + "End", "-".join("X" * pad + c * 40) + " eND"
+            h = forms.form_hashes([(a,), (b,), (a + "1",), ("",)]).tolist()
+            assert forms.same_form(a, b) and h[0] == h[1] and len({*h}) == 3, (pad, c)
 
 
 def test_columns_nulls_repeats_long_and_empty(spark):
