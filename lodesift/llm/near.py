@@ -2,9 +2,14 @@
 
 A multiset becomes a set by numbering the repetitions of a word, so min-hashing estimates the multiset
 similarity without bias. Minima of many universal hashes are banded; records that meet in a band are
-compared by a sketch of one bit of each of 128 minima (signature verification, a bit count inside the
-join), and what passes is compared exactly by words. Records with the same word sequence are one class
-from the start, so a text repeated any number of times takes part once.
+compared by a sketch of one bit of each of 128 minima (signature verification), and what passes is
+compared exactly by words. Records with the same word sequence are one class from the start, so a text
+repeated any number of times takes part once.
+
+Bands are shuffled once and met in sorted order. A bucket of more records than ``most`` isn't compared: its
+records get finer keys, of the bucket and of further minima, and meet again by those; unlike records, which
+fill such buckets, part there, like ones don't. What three finer rounds can't part is alike, and is compared
+whole, in blocks dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -125,6 +130,15 @@ def sketch_bits(signatures: np.ndarray) -> np.ndarray:
     return np.packbits((signatures[:, :BITS] & 1).astype(np.uint8), axis=1).view(np.int64)
 
 
+MET = "band BIGINT, id BIGINT, s0 BIGINT, s1 BIGINT"
+
+
+def _keyed(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """A row for each key of each record."""
+    n = keys.shape[1]
+    return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(x, n)) for x in (ids, bits[:, 0], bits[:, 1])]], names=["band", "id", "s0", "s1"])
+
+
 def _banded(bands: int, rows: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = Minima(max(bands * rows, BITS))
@@ -132,9 +146,95 @@ def _banded(bands: int, rows: int):  # noqa: ANN202
             ids, texts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
             for at in range(0, len(texts), 1000):
                 signatures = minima.of(texts[at : at + 1000])
-                keys, bits = band_keys(signatures[:, : bands * rows], rows), sketch_bits(signatures)
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(x, bands)) for x in (ids[at : at + n], bits[:, 0], bits[:, 1])]], names=["band", "id", "s0", "s1"])
+                yield _keyed(band_keys(signatures[:, : bands * rows], rows), ids[at : at + 1000], sketch_bits(signatures))
+
+    return run
+
+
+FINER_KEYS, FINER_ROWS, FINER_ROUNDS = 18, 4, 3  # keys a record gets in a crowded bucket, their minima, how often
+BAND = np.int64(40)  # bits below a band's number
+
+
+def _finer(bands: int, rows: int, level: int):  # noqa: ANN202
+    """Records with the crowded keys they lie in (id, words, keys): the finer keys of each."""
+    total = max(bands * rows, BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minima = Minima(total)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(2)
+            owner, key = np.repeat(np.arange(len(keys)), np.asarray(keys.value_lengths())), np.asarray(keys.flatten())
+            signatures = minima.of(batch.column(1).to_pylist())
+            bits, ids = sketch_bits(signatures), np.asarray(batch.column(0))
+            band = key >> BAND
+            # Minima behind those of the band, others in each round.
+            first = (band + 1) * rows + level * FINER_KEYS * FINER_ROWS
+            out = np.empty((len(key), FINER_KEYS), np.int64)
+            with np.errstate(over="ignore"):
+                for k in range(FINER_KEYS):
+                    h = _mixed(key.astype(np.uint64) + np.uint64(k + 1))
+                    for j in range(FINER_ROWS):
+                        at = (first + k * FINER_ROWS + j) % total
+                        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + signatures[owner, at].astype(np.uint64))
+                    out[:, k] = (band.astype(np.uint64) << np.uint64(BAND) | h >> np.uint64(64 - BAND)).astype(np.int64)
+            yield _keyed(out, ids[owner], bits[owner])
+
+    return run
+
+
+def _meet(most: int | None, allowed: int):  # noqa: ANN202
+    """Rows sorted by key: the pairs ``a`` < ``b`` of a key whose sketches differ in no more than ``allowed`` bits.
+
+    Of a key with more than ``most`` rows come its records instead, as ``a`` with no ``b``, each with the key.
+    """
+
+    def pairs(ids: np.ndarray, s: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        found = [np.zeros((0, 2), np.int64)]
+        for m in np.unique(sizes[sizes > 1]):
+            at = starts[sizes == m]
+            for i in range(int(m) - 1):  # each row with those behind it
+                x = np.repeat(at + i, m - 1 - i)
+                y = (at[:, None] + np.arange(i + 1, m)).ravel()
+                near = np.bitwise_count(s[x] ^ s[y]).sum(1) <= allowed
+                a, b = ids[x[near]], ids[y[near]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+        pair = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.nulls(len(pair), pa.int64())], names=["a", "b", "band"])
+
+    def crowd(ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(keys)], names=["a", "b", "band"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4  # the last key's rows so far
+        crowded = None  # a key known to be crowded
+
+        def settled(columns: list[np.ndarray], open_: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, crowded
+            keys, ids = columns[0], columns[1]
+            if crowded is not None:
+                n = int(np.searchsorted(keys, crowded, "right"))
+                if n:
+                    yield crowd(ids[:n], keys[:n])
+                columns = [c[n:] for c in columns]
+                keys, ids = columns[0], columns[1]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, len(keys)))
+            held = [c[:0] for c in columns]
+            if open_ and len(starts) and (most is None or sizes[-1] <= most):
+                held = [c[starts[-1] :] for c in columns]
+                starts, sizes = starts[:-1], sizes[:-1]
+            if most is not None and (sizes > most).any():
+                rows = np.repeat(sizes > most, sizes)
+                yield crowd(ids[: len(rows)][rows], keys[: len(rows)][rows])
+                crowded = keys[-1] if open_ and sizes[-1] > most and not len(held[0]) else crowded
+                starts, sizes = starts[sizes <= most], sizes[sizes <= most]
+            yield pairs(ids, np.stack(columns[2:], 1).view(np.uint64), sizes, starts)
+
+        for batch in batches:
+            yield from settled([np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns)], True)
+        yield from settled(held, False)
 
     return run
 
@@ -146,17 +246,21 @@ def least_agreement(threshold: float, sigmas: float = 3.5) -> int:
 
 
 def classes(df: DataFrame, id_column: str, words: Column) -> tuple[DataFrame, DataFrame]:
-    """Records by word sequence: representatives ``id``, ``words``; and the others as ``id``, ``first``.
+    """Records by word sequence, and what stands for each class.
 
-    Rows with a null id or no words are out. A class is told by two 64-bit hashes of its words.
+    The first table has a row for each class: ``id``, its number, ``record``, the least record in it, and
+    ``words``. The second has the other records: ``id``, ``first`` (that least record), ``record``. Rows with a
+    null id or no words are out. A class is told by two 64-bit hashes of its words; a record delivered with
+    two texts is in two classes.
     """
     # Written once: the words are read again for bands and for the exact check.
-    rows = stored(df.select(F.col(id_column).cast("bigint").alias("id"), words.alias("words"))).filter(F.col("id").isNotNull() & (F.col("words") != ""))
-    keyed = rows.select("id", "words", F.xxhash64("words").alias("c0"), F.xxhash64(F.lit(1), "words").alias("c1"))
-    several = stored(keyed.groupBy("c0", "c1").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
-    n = several.count()
-    joined = join_small(keyed, several, ["c0", "c1"], "left", n, MOST_BROADCAST)
-    return joined.filter(F.col("first").isNull() | (F.col("first") == F.col("id"))).select("id", "words"), joined.filter(F.col("first") < F.col("id")).select("id", "first").distinct()
+    rows = stored(df.select(F.col(id_column).cast("bigint").alias("record"), words.alias("words")).withColumn("id", F.monotonically_increasing_id())).filter(F.col("record").isNotNull() & (F.col("words") != ""))
+    keyed = rows.select("id", "record", "words", F.xxhash64("words").alias("c0"), F.xxhash64(F.lit(1), "words").alias("c1"))
+    several = stored(keyed.groupBy("c0", "c1").agg(F.min(F.struct("record", "id")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    joined = join_small(keyed, several, ["c0", "c1"], "left", several.count(), MOST_BROADCAST)
+    heads = joined.filter(F.col("head").isNull() | (F.col("head.id") == F.col("id"))).select("id", "record", "words")
+    copies = joined.filter(F.col("head.record") < F.col("record")).select(F.col("head.id").alias("id"), F.col("head.record").alias("first"), "record").distinct()
+    return heads, copies
 
 
 def multiset_similarity(a: str, b: str) -> float:
@@ -166,50 +270,99 @@ def multiset_similarity(a: str, b: str) -> float:
     return common / max(1, sum(x.values()) + sum(y.values()) - common)
 
 
-def similar_pairs(records: DataFrame, threshold: float, bands: int = 40, rows: int = 6) -> DataFrame:
-    """Pairs ``a`` < ``b`` of records (``id``, ``words``) whose similarity is at least ``threshold``.
+def _met(keyed: DataFrame, most: int | None, allowed: int) -> DataFrame:
+    """``_meet`` of all keys, each in one place; the number of places keeps to the rows, not to their bytes."""
+    here = keyed.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band").sortWithinPartitions("band")
+    return stored(here.mapInArrow(_meet(most, allowed), "a BIGINT, b BIGINT, band BIGINT"))
+
 
-    The chance to miss a pair at the threshold is (1 - threshold ** rows) ** bands: 0.7 percent for 0.7
-    by default, and 0.04 percent for 0.75; every pair given is checked by its words. The join on bands
-    splits skewed keys at run time (AQE), and bands are never capped.
+def _candidates(classes: DataFrame, threshold: float, bands: int, rows: int, most: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of classes that meet in a key and whose sketches are near."""
+    allowed = BITS - least_agreement(threshold)
+    met = _met(classes.select("id", "words").mapInArrow(_banded(bands, rows), MET), most, allowed)
+    found = met.filter("b IS NOT NULL").select("a", "b")
+    for level in range(FINER_ROUNDS + 1):
+        crowds = met.filter("b IS NULL").select(F.col("a").alias("id"), "band")
+        if crowds.isEmpty():
+            break
+        if level < FINER_ROUNDS:
+            lists = crowds.groupBy("id").agg(F.collect_list("band").alias("keys"))  # of a record no more than its keys
+            met = _met(classes.select("id", "words").join(lists, "id").mapInArrow(_finer(bands, rows, level), MET), most, allowed)
+        else:
+            met = _met(_dealt(classes, crowds, bands, rows, most), None, allowed)
+        found = found.union(met.filter("b IS NOT NULL").select("a", "b"))
+    return stored(found.distinct())
+
+
+def _dealt(classes: DataFrame, crowds: DataFrame, bands: int, rows: int, most: int) -> DataFrame:
+    """Crowded buckets cut into blocks of about ``most`` records: a key for each two blocks."""
+    blocks = crowds.groupBy("band").agg(F.ceil(F.count("*") / most).alias("n"))
+    mine = crowds.join(blocks, "band").withColumn("mine", F.pmod(F.xxhash64("id", "band"), F.col("n")))
+    each = mine.select("id", "band", "mine", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("other"))
+    keyed = each.select("id", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("band"))
+    sketches = stored(classes.select("id", "words").join(crowds.select("id").distinct(), "id", "left_semi").mapInArrow(_banded(1, rows), MET)).drop("band")
+    return keyed.join(sketches, "id").select("band", "id", "s0", "s1")
+
+
+def similar_pairs(classes: DataFrame, threshold: float, bands: int = 40, rows: int = 6, most: int = 256) -> DataFrame:
+    """Pairs ``a`` < ``b`` of classes (``id``, ``record``, ``words``) of at least ``threshold`` similarity, with ``record_a``, ``record_b``.
+
+    The chance that a pair at the threshold meets in no band is (1 - threshold ** rows) ** bands: 0.7 percent
+    for 0.7 by default, and 0.04 percent for 0.75. In a bucket of more than ``most`` records the pair must
+    also meet by a finer key, which at 0.7 fails in 0.7 percent of the buckets it shares; the sketch turns
+    away a pair at the threshold in 0.02 percent. Every pair given is checked by its words. ``id`` must be
+    unique; no bucket is capped.
     """
-    banded = records.select("id", "words").mapInArrow(_banded(bands, rows), "band BIGINT, id BIGINT, s0 BIGINT, s1 BIGINT")
-    x, y = banded.alias("x"), banded.alias("y")
-    differ = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (differ <= BITS - least_agreement(threshold))
-    candidates = stored(x.hint("merge").join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    # Only the words of records in candidates are moved to the pairs.
+    candidates = _candidates(classes, threshold, bands, rows, most)
+    # Only the words of classes in candidates are moved to the pairs.
     needed = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-    words = join_small(records, needed, ["id"], "left_semi", needed.count(), MOST_BROADCAST).dropDuplicates(["id"])
-    pairs = candidates.join(words.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(words.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
+    words = classes.select("id", "record", "words").join(needed, "id", "left_semi")
+    side = lambda n: words.select(F.col("id").alias(n), F.col("record").alias(f"record_{n}"), F.col("words").alias(f"words_{n}"))
+    pairs = candidates.join(side("a"), "a").join(side("b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wa, wb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            wa, wb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             good = pa.array([multiset_similarity(p, q) >= threshold - 1e-12 for p, q in zip(wa, wb)], pa.bool_())
-            yield batch.select([0, 1]).filter(good)
+            yield batch.select([0, 1, 2, 3]).filter(good)
 
-    return pairs.select("a", "b", "wa", "wb").mapInArrow(check, "a BIGINT, b BIGINT")
+    return pairs.select("a", "b", "record_a", "record_b", "words_a", "words_b").mapInArrow(check, "a BIGINT, b BIGINT, record_a BIGINT, record_b BIGINT")
 
 
 def expand_copies(pairs: DataFrame, copies: DataFrame, most: int = 64) -> DataFrame:
-    """Pairs of records from pairs of representatives.
+    """Pairs ``a`` < ``b`` of records from pairs of classes; a record is no pair with itself.
+
+    The pairs of a class of up to ``most`` records and of two such classes are all given. A larger class,
+    of which all pairs would be too many to give, keeps the short form: its records are paired with its
+    first, which alone stands for them in pairs with other texts. ``links`` tells classes and links apart.
+    """
+    size = copies.groupBy("id").agg((F.count("*") + 1).alias("n"))
+    small = copies.join(size.filter(F.col("n") <= most), "id").select("id", "record")
+    within = small.alias("x").join(small.alias("y"), "id").filter("x.record < y.record").select(F.col("x.record").alias("a"), F.col("y.record").alias("b"))
+    side = lambda n: small.select(F.col("id").alias(n), F.col("record").alias(f"copy_{n}"))
+    a = pairs.join(side("a"), "a", "left").select("b", "record_b", F.explode(F.array_compact(F.array("record_a", "copy_a"))).alias("x")).distinct()
+    across = a.join(side("b"), "b", "left").select("x", F.explode(F.array_compact(F.array("record_b", "copy_b"))).alias("y"))
+    every = across.union(copies.select("first", "record")).union(within)
+    return every.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links(classes: DataFrame, copies: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``record``, ``class``, ``copies``, ``links``: for each record its class, named by its first record, and how many it is like.
 
-    The pairs of a class of up to ``most`` records and of two such classes are all given. A larger class
-    keeps the short form: its records are paired with its representative, which alone stands for them
-    in pairs with other texts. No link is lost either way.
+    ``copies`` counts the records of the class, ``links`` these but one and those of all similar classes. A
+    record delivered with two texts has a row for each.
     """
-    size = copies.groupBy("first").agg((F.count("*") + 1).alias("n"))
-    small = copies.join(size.filter(F.col("n") <= most), "first").select("first", "id")
-    within = small.alias("x").join(small.alias("y"), "first").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    a = pairs.join(small.withColumnsRenamed({"first": "a", "id": "ca"}), "a", "left").select("a", "b", F.array_compact(F.array("a", "ca")).alias("as"))
-    both = small.withColumnsRenamed({"first": "b", "id": "cb"})
-    across = a.select(F.explode("as").alias("a"), "b").distinct().join(both, "b", "left").select("a", F.explode(F.array_compact(F.array("b", "cb"))).alias("b")).distinct()
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return across.union(copies.select(F.col("first").alias("a"), F.col("id").alias("b"))).union(within).distinct()
+    size = copies.groupBy("id").agg((F.count("*") + 1).alias("copies"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    sizes = size.select(F.col("id").alias("b"), "copies")
+    far = both.join(sizes, "b", "left").groupBy(F.col("a").alias("id")).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("far"))
+    told = classes.select("id", F.col("record").alias("class")).join(size, "id", "left").join(far, "id", "left")
+    told = told.select("id", "class", F.coalesce("copies", F.lit(1)).alias("copies"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    members = classes.select("id", "record").union(copies.select("id", "record"))
+    return members.join(told, "id").select("record", "class", "copies", "links")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``id``, ``group`` of every node of the edges ``a``, ``b``: the least id it is linked with.
 
     Alternating large-star and small-star: the large star ties a node's greater neighbours to its
@@ -218,7 +371,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -229,6 +382,4 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
-    else:
-        raise RuntimeError(f"no end after {most_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("group")).union(now.select(F.col("v").alias("id"), F.col("v").alias("group"))).distinct()

@@ -64,16 +64,22 @@ P3_THRESHOLD = 0.7
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of findings whose title and impact have a word similarity of at least 0.7."""
-    records, copies = _impacts(spark, folder)
-    pairs = near.expand_copies(stored(near.similar_pairs(records, P3_THRESHOLD)), stored(copies))
+    classes, copies = _impacts(spark, folder)
+    pairs = near.expand_copies(stored(near.similar_pairs(classes, P3_THRESHOLD)), stored(copies))
     return pairs.select(F.col("a").alias("record_a"), F.col("b").alias("record_b"))
 
 
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each finding with a value in impact: its class of equal word sequences, and how many findings it is like."""
+    classes, copies = _impacts(spark, folder)
+    told = near.links(classes, stored(copies), stored(near.similar_pairs(classes, P3_THRESHOLD)))
+    return told.select(F.col("record").alias("record_id"), F.col("class").alias("class_id"), "copies", "links")
+
+
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each finding that has a near-duplicate: its group, named by the least record_id, and the group's size."""
-    records, copies = _impacts(spark, folder)
-    copies = stored(copies)
-    edges = near.similar_pairs(records, P3_THRESHOLD).union(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    classes, copies = _impacts(spark, folder)
+    edges = near.similar_pairs(classes, P3_THRESHOLD).select(F.col("record_a").alias("a"), F.col("record_b").alias("b")).union(copies.select(F.col("first").alias("a"), F.col("record").alias("b")))
     groups = stored(near.components(edges))
     return groups.join(groups.groupBy("group").agg(F.count("*").alias("records")), "group").select(F.col("id").alias("record_id"), F.col("group").alias("group_id"), "records")
 
@@ -158,6 +164,24 @@ z AS (SELECT record_id, sum(n) AS s FROM t GROUP BY ALL),
 c AS (SELECT a.record_id AS record_a, b.record_id AS record_b, sum(least(a.n, b.n)) AS m FROM t a JOIN t b ON a.w = b.w AND a.record_id < b.record_id GROUP BY ALL)
 SELECT record_a, record_b FROM c JOIN z x ON x.record_id = record_a JOIN z y ON y.record_id = record_b WHERE m >= 0.7 * (x.s + y.s - m)
 """
+_P3_PAIRS = P3_FOUND_SQL.replace("WITH f AS", "WITH RECURSIVE f AS", 1).replace("SELECT record_a, record_b FROM c", ", p AS (SELECT record_a, record_b FROM c", 1) + "),"
+P3_GROUPS_SQL = (
+    _P3_PAIRS
+    + """
+e AS (SELECT record_a AS a, record_b AS b FROM p UNION SELECT record_b, record_a FROM p),
+r AS (SELECT DISTINCT a AS start, a AS node FROM e UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.node),
+g AS (SELECT node AS record_id, min(start) AS group_id FROM r GROUP BY node)
+SELECT record_id, group_id, count(*) OVER (PARTITION BY group_id) AS records FROM g
+"""
+)
+P3_LINKS_SQL = (
+    _P3_PAIRS
+    + """
+k AS (SELECT record_id, array_to_string(ws, ' ') AS words FROM f WHERE len(ws) > 0),
+n AS (SELECT a.record_id, count(b.record_id) AS links FROM k a LEFT JOIN (SELECT record_a AS x, record_b AS record_id FROM p UNION SELECT record_b, record_a FROM p) b ON b.x = a.record_id GROUP BY 1)
+SELECT k.record_id, min(k.record_id) OVER (PARTITION BY words) AS class_id, count(*) OVER (PARTITION BY words) AS copies, links FROM k JOIN n USING (record_id)
+"""
+)
 _P4 = """
 WITH good AS (SELECT raw_id, CAST(payload AS JSON) AS j FROM raw_findings WHERE json_valid(payload)),
 one AS (SELECT raw_id, CASE WHEN json_type(j) = 'ARRAY' THEN j -> 0 WHEN json_type(j, '$.findings') = 'ARRAY' THEN j -> '$.findings' -> 0 ELSE j END AS j FROM good),
@@ -168,5 +192,5 @@ r AS (SELECT raw_id, coalesce(max(v) FILTER (k = 'title'), '') AS a, coalesce(ma
 P4_FOUND_SQL = _P4 + "SELECT min(raw_id) OVER (PARTITION BY a, b, d) AS first_raw_id, raw_id FROM r QUALIFY raw_id <> first_raw_id"
 P4_COUNTS_SQL = _P4 + "SELECT min(raw_id) AS raw_id, count(*) AS copies FROM r GROUP BY a, b, d"
 
-QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p7_containers": p7_containers, "p7_report": p7_report, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
-SQL = {"p1_found": P1_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_counts": P4_COUNTS_SQL}
+QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_links": p3_links, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p7_containers": p7_containers, "p7_report": p7_report, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+SQL = {"p1_found": P1_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_links": P3_LINKS_SQL, "p3_groups": P3_GROUPS_SQL, "p4_found": P4_FOUND_SQL, "p4_counts": P4_COUNTS_SQL}

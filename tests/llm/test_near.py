@@ -36,9 +36,9 @@ def brute(rows, threshold):
     return out
 
 
-def pairs(spark, rows, threshold=0.7, **more):
+def pairs(spark, rows, threshold=0.7, crowd=256, **more):
     records, copies = near.classes(spark.createDataFrame(rows, "rid BIGINT, t STRING"), "rid", near.words_of(F.col("t")))
-    return near.expand_copies(near.similar_pairs(records, threshold), copies, **more)
+    return near.expand_copies(near.similar_pairs(records, threshold, most=crowd), copies, **more)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -49,6 +49,53 @@ def test_pairs_against_brute_force(spark, seed):
     assert got <= want and len(want - got) <= 0.01 * len(want) + 1
 
 
+def test_crowded_buckets_lose_no_pair(spark):
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(6)]
+    # Unlike texts that share their most frequent words, so that they crowd some buckets; and likes among them.
+    rows = [(k, t + " " + " ".join(rng.sample(common, 3) * 2)) for k, t in texts(8, 220)]
+    # And a crowd of likes, which no key parts.
+    base = [f"b{k}" for k in range(60)]
+    rows += [(10_000 + k, " ".join([*base[:k], f"own{k}", *base[k + 1 :]])) for k in range(60)]
+    want, got = brute(rows, 0.7), {tuple(r) for r in pairs(spark, rows, crowd=5).collect()}
+    assert got <= want and len(want - got) <= 0.01 * len(want) + 1
+    assert {p for p in want if p[0] >= 10_000} <= got
+
+
+def test_keys_meet_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    keys = np.sort(np.concatenate([np.repeat(rng.integers(0, 10**9, 40), rng.integers(1, 9, 40)), np.repeat(7, 30)]))
+    ids, s = rng.permutation(len(keys)), np.zeros(len(keys), np.int64)
+    want_pairs, want_crowd = set(), set()
+    for key in set(keys.tolist()):
+        mine = sorted(ids[keys == key].tolist())
+        if len(mine) > 6:
+            want_crowd |= {(i, key) for i in mine}
+        else:
+            want_pairs |= {(a, b) for n, a in enumerate(mine) for b in mine[n + 1 :]}
+    for step in (1, 2, 5, 13, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + step]) for x in (keys, ids, s, s)], names=["band", "id", "s0", "s1"]) for k in range(0, len(keys), step)]
+        got = [r for b in near._meet(6, 0)(iter(batches)) for r in zip(*[c.to_pylist() for c in b.columns])]
+        assert {(a, b) for a, b, _ in got if b is not None} == want_pairs, step
+        assert {(a, key) for a, b, key in got if b is None} == want_crowd, step
+
+
+def test_a_record_delivered_with_two_texts(spark):
+    rows = [(1, "a b c d e f g h"), (1, "r s t u v w x y"), (2, "a b c d e f g i"), (3, "r s t u v w x z")]
+    for parts in (1, 4):
+        records, copies = near.classes(spark.createDataFrame(rows, "rid BIGINT, t STRING").repartition(parts), "rid", F.col("t"))
+        assert {tuple(r) for r in near.expand_copies(near.similar_pairs(records, 0.7), copies).collect()} == {(1, 2), (1, 3)}
+
+
+def test_links(spark):
+    rows = [(1, "a b c d e f g h"), (2, "A b c d e f g h!"), (3, "a b c d e f g i"), (4, "quite another text")]
+    records, copies = near.classes(spark.createDataFrame(rows, "rid BIGINT, t STRING"), "rid", near.words_of(F.col("t")))
+    got = {tuple(r) for r in near.links(records, copies, near.similar_pairs(records, 0.7)).collect()}
+    assert got == {(1, 1, 2, 2), (2, 1, 2, 2), (3, 3, 1, 2), (4, 4, 1, 0)}
+
+
 def test_repeated_words_count(spark):
     rows = [(1, "a a a a b c d"), (2, "a b c d"), (3, "a a a a b c d"), (4, "d c b a a a a")]
     got = {tuple(r) for r in pairs(spark, rows).collect()}
