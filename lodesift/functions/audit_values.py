@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,13 @@ def blank_to_null(c: Column) -> Column:
 def without_value(c: Column) -> Column:
     """True where ``c`` is null, blank, or a stand-in that tells nothing.
 
-    A text is folded (lower case, every run of other than letters and digits to one space) and
-    compared whole, so that a sentence which merely contains such a word has a value.
+    A text is compared whole, without case and with every run of other than letters and digits counting
+    as one space, so that a sentence which merely contains such a word has a value.
     """
-    folded = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    return c.isNull() | folded.isin("", *STAND_INS)
+    # One anchored pattern: on a text that has a value it fails at the first words.
+    between = r"[^\p{L}\p{N}]"
+    texts = "|".join(re.sub(r"[^a-z0-9]+", f"{between}++".replace("\\", r"\\"), t) for t in dict.fromkeys(STAND_INS))
+    return c.isNull() | c.rlike(rf"(?iu)\A{between}*+(?:(?:{texts}){between}*+)?\z")
 
 
 def choice(c: Column, allowed: list[str]) -> Column:
