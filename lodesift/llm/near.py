@@ -263,11 +263,26 @@ def classes(df: DataFrame, id_column: str, words: Column) -> tuple[DataFrame, Da
     return heads, copies
 
 
+@lru_cache(20_000)
+def _numbered(text: str) -> frozenset:
+    """The words of a text, repetitions numbered: as sets of these meet, so do the multisets."""
+    words = text.split()
+    once = frozenset(words)
+    if len(once) == len(words):
+        return once
+    seen: Counter = Counter()
+    out = []
+    for w in words:
+        out.append((w, seen[w]) if seen[w] else w)
+        seen[w] += 1
+    return frozenset(out)
+
+
 def multiset_similarity(a: str, b: str) -> float:
     """Words in common over words in either, each as often as it occurs, of texts of single blanks."""
-    x, y = Counter(a.split()), Counter(b.split())
-    common = sum((x & y).values())
-    return common / max(1, sum(x.values()) + sum(y.values()) - common)
+    x, y = _numbered(a), _numbered(b)
+    common = len(x & y)
+    return common / max(1, len(x) + len(y) - common)
 
 
 def _met(keyed: DataFrame, most: int | None, allowed: int) -> DataFrame:
