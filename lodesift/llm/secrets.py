@@ -1,11 +1,12 @@
-"""Credentials embedded in source code: found by context and unexplained text, masked in place.
+"""Credentials embedded in source code: literals that words leave unexplained, found near assignments, masked in place.
 
 A literal is a quoted text, the value of a configuration line, or a part of an address, a header or a
-command line. What stands before it gives its context: the name it is assigned to, or a form such as
-``IDENTIFIED BY``. Names and literals are segmented into dictionary words by Viterbi. A name whose head
-is a secret's word makes a strong context: there a literal counts unless its words or its form say that
-it only stands for a value. In any other assignment a literal counts if it is a long residual that no
-words explain, and neither its form nor its name is that of a hash, an id, a certificate or a nonce.
+command line. It is segmented into dictionary words by Viterbi, and scored by what that leaves to be
+explained: the nats of the characters no word covers and of the words themselves, less what words of
+stand-ins (``your``, ``here``) take off; words of its own name explain themselves. What stands before the
+literal sets how much is needed: little under the name of a secret, more among the arguments of a login
+or behind a scheme word, and in any other assignment a long residual that words don't explain. Literals
+of known other forms (look-ups, variables, hashes, ids, certificates) are out whatever their score.
 """
 
 from __future__ import annotations
@@ -31,8 +32,14 @@ QUALIFIERS = "default value val literal string str text plain prod production de
 # Heads that make a name something else than a secret.
 OTHER_HEADS = "id ids uid uuid guid file path dir name names url uri link endpoint header headers field fields ttl expiry expires length len min max count rate type kind hint rules rule ref label format alg algorithm regex pattern policy timeout hash hashes salt iv nonce prefix suffix index size user username host port scope scopes issuer audience provider method mode version rev revision commit sha sha1 sha256 sha512 md5 digest checksum etag integrity fingerprint thumbprint trace request build correlation span certificate cert crt public image seed signature sum crc page cursor color colour class css style placeholder title message".split()
 # Words of texts that stand for a value.
-STANDING = "your here insert replace change changeme paste example redacted hidden removed placeholder enter todo none null nil undefined dummy sample fake masked omitted secretvalue goes fixme tbd me must choose type provide confirm required invalid wrong missing forgot reset my the this please empty unset default true false yes no on off".split()
-GENERIC = "password passwd pwd pass passphrase secret token key api apikey credential credentials login user username auth access private name value field header session id hash rules string text admin app database db basic bearer client server account".split()
+STANDING = "your here insert replace change changeme paste example redacted hidden removed placeholder enter todo none null nil undefined dummy sample fake masked omitted secretvalue goes fixme tbd must choose provide confirm required invalid wrong missing forgot please empty unset default true false".split()
+
+# What a literal has to leave unexplained, in nats, by where it stands.
+NAMED, LOGIN, HEADER, NEUTRAL = 13.0, 20.0, 30.0, 45.0
+LETTER, DIGIT, MARK, JOIN = 3.6, 2.3, 2.5, 0.7  # nats of a character that no word covers; JOIN between words
+TAKEN_OFF = 7.0  # by a word of stand-ins
+KNOWN = 1.0  # nats of a word that a secret's name leads to expect
+RUNS = re.compile(r"(.)\1{3,}|[A-Za-z]+|\d+|.", re.S)
 
 
 @lru_cache(4)
@@ -51,7 +58,7 @@ def dictionary(path: str) -> dict[str, float]:
         for piece, rank in ranks.items():
             if piece.endswith("</w>") and len(piece) > 6 and piece[:-4].isalpha():
                 costs[piece[:-4]] = 4 + math.log(rank + 1)
-    for words, cost in ((GENERIC, 7.0), (STANDING, 7.0), (OTHER_HEADS, 8.0), (KEY_OF, 7.5), (NOUNS, 7.0), (["db", "smtp", "kv", "s3"], 9.0)):
+    for words, cost in ((STANDING, 7.0), (OTHER_HEADS, 8.0), (KEY_OF, 7.5), (NOUNS, 7.0), (["key", "app", "admin", "database", "db", "smtp", "kv", "s3", "basic", "login", "client", "server", "user"], 9.0)):
         for w in words:
             if len(w) > 1:
                 costs[w] = min(cost, costs.get(w, cost))
@@ -67,6 +74,7 @@ def words_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+STAND = frozenset(STANDING)
 UNKNOWN = 11.0  # cost of a character that no word covers
 LONGEST = 20
 
@@ -123,6 +131,27 @@ class Words:
             got = self.known[text] = words, left
         return got
 
+    def score(self, value: str, name: str) -> float:
+        """Nats that a value leaves unexplained under a name."""
+        expected = {*NOUNS, "key", "api", *(w for w in self.of(name)[0] if len(w) > 1), "".join(re.findall("[a-z]+", name.lower()))}
+        total = 0.0
+        for m in RUNS.finditer(value):
+            run = m[0]
+            if m[1]:
+                total += LETTER  # a character over and over
+            elif run.isdigit():
+                total += DIGIT * len(run)
+            elif not (run.isascii() and run.isalpha()):
+                total += JOIN if run in "-_. /:" else MARK
+            elif run.lower() in expected:
+                total += KNOWN
+            else:
+                words, left = self.of(run)
+                total += LETTER * left
+                for w in words:
+                    whole = len(w) > 3 or w == run.lower()
+                    total += KNOWN if w in expected and whole else -TAKEN_OFF if w in STAND and whole else min(self.costs[w], LETTER * len(w))
+        return total
 
     def unexplained(self, text: str) -> int:
         """Characters outside words of four letters or more that keep to the text's capitals."""
@@ -161,7 +190,7 @@ FILL = re.compile(r"""(?:fill|type|sendKeys|send_keys|fill_in|setValue)\s*\(?\s*
 # Values without quotes.
 LINE = re.compile(rf"""(?m)^[ \t]*(?:[#;*>]+[ \t]*|//[ \t]*|--[ \t]+|<!--[ \t]*|-[ \t]+|export[ \t]+|ENV[ \t]+|ARG[ \t]+|set[ \t]+|setx[ \t]+|declare[ \t]+-x[ \t]+)*(?P<n>[A-Za-z_$][\w$.\-]*)[ \t]*(?P<o>:=|=|:)[ \t]*(?P<v>[^\s"'`#,;{{][^\s]*)""")
 FLOW = re.compile(r"""[{,]\s*(?P<n>[A-Za-z_][\w\-.]*)\s*:\s*(?P<v>[^\s"'`,{}\[\]]+)\s*(?=[,}])""")
-FLAG = re.compile(r"""(?<![\w-])--?(?P<n>[A-Za-z][\w\-]{1,40})(?:[ \t]+|=)(?P<v>[^\s"'`\\-][^\s"'`\\]*)""")
+FLAG = re.compile(r"""(?<![\w-])--?(?P<n>[A-Za-z][\w\-]+)(?:[ \t]+|=)(?P<v>[^\s"'`\\-][^\s"'`\\]*)""")
 USER_FLAG = re.compile(r"""(?<![\w-])(?:-u|--user)[ \t=]+["']?[\w.\-]+:(?P<v>[^\s"'`]+)""")
 URL_USER = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@"'`<>]*:(?P<v>[^\s/"'`]+)@""")
 QUERY = re.compile(r"""[?&;](?:amp;)?(?P<n>[A-Za-z_][\w.\- ]*)=(?P<v>[^&;\s"'`]+)""")
@@ -171,12 +200,15 @@ PROSE = re.compile(r"""(?i)\b(?P<n>password|passphrase|passwd|pwd|pw|passcode|se
 GLUED_FLAG = re.compile(r"""\b(?:mysql|mysqldump|mysqladmin|mariadb|sshpass|redis-cli|7z|zip|unzip)\b[^\r\n|;]*?\s-[paP][ ]?(?P<q>["']?)(?P<v>[^\s"'`]{4,})(?P=q)""")
 DSN = re.compile(r"""["'`][\w.\-]+:(?P<v>[^\s"'`/]+)@(?:tcp|unix|udp)\(""")
 PIPED = re.compile(r"""\b(?:echo|printf)\s+(?:-n\s+)?["']?(?P<v>[^\s"'`|]+)["']?\s*\|[^\r\n]*--(?:password|token|pass|secret)-stdin""")
-SLASH_LOGIN = re.compile(r"""(?i)\blogin\b[^\r\n:]{0,30}:\s*[\w.\-]+\s*/\s*(?P<v>\S+)""")
+SLASH_LOGIN = re.compile(r"""(?i)\blogin\b[^\r\n:]*:\s*[\w.\-]+\s*/\s*(?P<v>\S+)""")
 NETRC = re.compile(r"""\blogin\s+\S+\s+password\s+(?P<v>\S+)""")
 AUTH_TOKEN = re.compile(r""":_(?:authToken|password|auth)=(?P<v>[^\s"'`]+)""")
 ELEMENT = re.compile(r"""<(?P<n>[A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>\s*(?:<!\[CDATA\[)?(?P<v>[^<>\r\n]+?)(?:\]\]>)?\s*</(?P=n)>""")
 FALLBACK = re.compile(r"""\$\{(?P<n>\w+):?-(?P<v>[^}\s"'`]+)\}""")
 
+MEMBER_NAME = re.compile(r"[ \t]*\]?[ \t]*(?::(?!=)|=>|[ \t]=[ \t])[ \t]*\S")
+AUTHORIZES = re.compile(r"(?i)auth|header|curl|bearer")
+MEASURE = re.compile(r"\d{1,5}|\d+(?:\.\d+)?(?:ms|s|m|h|d|k|kb|mb)|\d+\.\d+|[a-z]+(?:[._][a-z]+)*\.[a-z]+(?:[._][a-z]+)*")
 JWT = re.compile(r"eyJ[\w\-]{8,}\.[\w\-]{8,}\.[\w\-]*")
 HEX = re.compile(r"(?i)(?:0x)?[0-9a-f]+")
 UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
@@ -188,6 +220,13 @@ LOOKUP = re.compile(r"""(?x) (?:vault|ssm|op|arn|env|file|secretsmanager|secretm
 CONFIG = re.compile(r"(?:^|/)(?:\.?env(?:\.[\w.]+)?|[\w.\-]+\.env(?:\.\w+)?|Dockerfile[\w.\-]*|\.netrc|\.npmrc|\.pypirc|[\w.\-]*\.(?:ini|properties|ya?ml|sh|bash|zsh|conf|cfg|cnf|toml|tfvars|env|txt|bat|ps1))$", re.I)
 
 
+def _back(text: str, end: int) -> int:
+    """The end of what stands before ``end``, without line ends, blanks and line-joining slashes."""
+    while end and text[end - 1] in "\r\n \t\\":
+        end -= 1
+    return end
+
+
 class Finder:
     """Finds credentials in an excerpt of a file."""
 
@@ -213,32 +252,20 @@ class Finder:
             return 0
         return 1
 
-    def literal(self, value: str, name: str) -> bool:
-        """Whether a value under a secret's name is one, and doesn't only stand for it."""
+    def literal(self, value: str, name: str, least: float = NAMED) -> bool:
+        """Whether a value is of no other form and leaves at least so much unexplained."""
         v = value.strip()
-        if len(v) < 4 or STANDS.fullmatch(v) or self._lookup(v) or PUBLIC.match(v) or HASHED.fullmatch(v):
-            return False
-        if v.isdigit() and len(v) < 6 or re.fullmatch(r"\d+(?:\.\d+)?(?:ms|s|m|h|d|k|kb|mb)|\d+\.\d+", v):
-            return False
-        words, left = self.words.of(v)
-        letters = sum(c.isalpha() for c in v)
-        if " " in v and left < 0.5 * len(v):
+        if STANDS.fullmatch(v) or MEASURE.fullmatch(v) or PUBLIC.match(v) or HASHED.fullmatch(v) or self._lookup(v):
             return False
-        plain = {w for w in words if not w.isdigit()}
-        if left <= 0.2 * letters and plain & {*STANDING} - {"default", "the", "me", "my", "on", "off", "no", "this", "type", "default", "goes", "change", "reset"}:
-            return False
-        if left <= 0.2 * letters and plain & {"default", "change", "reset", "me"} and plain <= {*STANDING, *GENERIC}:
-            return False
-        named = set(self.words.of(name)[0])
-        if left == 0 and plain <= {*GENERIC} | named and not re.search(r"\d{2,}|[^\w\-. ]", v):
-            return False
-        return not (left == 0 and not re.search(r"\d|[^\w.]", v) and re.fullmatch(r"[a-z]+(?:[._][a-z]+)+", v))
+        if " " in v and self.words.of(v)[1] < 0.5 * len(v):
+            return False  # prose
+        return self.words.score(v, name) >= least
 
     def _lookup(self, v: str) -> bool:
         """Whether a value only says where to find one; base64 text may look like a path."""
         if not LOOKUP.fullmatch(v):
             return False
-        return not (v[0] == "/" and len(v) >= 16 and re.search(r"\d", v) and re.search("[A-Z]", v) and self.words.unexplained(v) >= 0.5 * len(v))
+        return not (v[:1] == "/" and len(v) >= 16 and re.search(r"\d", v) and re.search("[A-Z]", v) and self.words.unexplained(v) >= 0.5 * len(v))
 
     def residual(self, value: str) -> bool:
         """Whether a literal is a long text that words don't explain, of no known other form."""
@@ -251,7 +278,7 @@ class Finder:
         longest = max(re.findall(r"[A-Za-z0-9+/]+", value) or [""], key=len)
         if len(longest) < 12 or not all(re.search(k, longest) for k in ("[a-z]", "[A-Z]", r"\d")):
             return False
-        return self.words.unexplained(longest) >= max(8, 0.5 * len(longest))
+        return self.words.unexplained(longest) >= max(8, 0.5 * len(longest)) and self.words.score(value, "") >= NEUTRAL
 
     def _judge(self, name: str, value: str, query: bool = False) -> str | None:
         strength = self.strength(name, query)
@@ -294,10 +321,11 @@ class Finder:
             else:
                 taken.append(m.span("v"))
         for m in SCHEME.finditer(text):
-            if not re.search(r"(?i)authori[sz]ation|auth|header|curl|bearer", text[max(0, m.start() - 60) : m.start() + 7]) and m["s"].lower() != "bearer":
+            line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+            if m["s"].lower() != "bearer" and not AUTHORIZES.search(line):
                 continue
             v = m["v"].rstrip(".")
-            if free(*m.span("v")) and self.literal(v, "token") and (self.residual(v) or self._scheme_value(m["s"], v)):
+            if free(*m.span("v")) and self._behind_scheme(m["s"], v):
                 give(m.start("v"), m.start("v") + len(v), "header")
         for rx in (QUERY, PAIR_START):
             for m in rx.finditer(text):
@@ -337,13 +365,14 @@ class Finder:
                     give(m.start("v"), m.start("v") + len(v), "comment")
         return sorted(out)
 
-    def _scheme_value(self, scheme: str, v: str) -> bool:
+    def _behind_scheme(self, scheme: str, v: str) -> bool:
+        """Whether what stands behind a scheme word is a token, or, behind ``Basic``, an encoded login."""
         if scheme.lower() == "basic":
             try:
                 return b":" in base64.b64decode(v + "=" * (-len(v) % 4), validate=True)
             except (binascii.Error, ValueError):
                 return False
-        return len(v) >= 12 and bool(re.search(r"\d", v) or v.lower() != v)
+        return self.literal(v, "token", HEADER) and v.lower() != v.upper()
 
     def _bare(self, m: re.Match, give, text: str) -> None:  # noqa: ANN001
         v = re.split(r"(?=-->|\*/|</)", m["v"])[0]
@@ -368,14 +397,14 @@ class Finder:
                 k += 1
                 pieces.append(marks[k].span("v"))
             k += 1
-            if a == b or not free(a, b) or re.match(r"""[ \t]*\]?[ \t]*(?::(?!=)|=>|[ \t]=[ \t])[ \t]*\S""", text[marks[k - 1].end() : marks[k - 1].end() + 12]):
+            if a == b or not free(a, b) or MEMBER_NAME.match(text, marks[k - 1].end()):
                 continue  # nothing, known already, or a member's name
-            line_start = max(text.rfind("\n", 0, m.start()) + 1, m.start() - 300)
-            left = text[line_start : m.start()]
+            line_start = text.rfind("\n", 0, m.start()) + 1
+            left = text[max(line_start, *(text.rfind(c, line_start, m.start()) + 1 for c in ";{}")) : m.start()]  # of the statement
             value = "".join(text[x:y] for x, y in pieces)
             if not left.strip() and line_start:
-                above = text[max(0, line_start - 160) : line_start].rstrip("\r\n \t\\")
-                above = above[above.rfind("\n") + 1 :]
+                end = _back(text, line_start)
+                above = text[text.rfind("\n", 0, end) + 1 : end]
                 left = above if above.endswith(("=", "(", ":", "+", "||")) else ""
             self._one(left, value, pieces, give)
 
@@ -416,13 +445,8 @@ class Finder:
                 return
             if self.strength(name) == 0:
                 return
-        if not named or LOGIN_CALL.search(left):
-            if LOGIN_CALL.search(left) and self.literal(value, "password") and self._login_value(value):
-                give(a, b, "login", rest)
-
-    def _login_value(self, value: str) -> bool:
-        words, left = self.words.of(value)
-        return left >= 4 or len(value) >= 8 and bool(re.search(r"\d", value))
+        if LOGIN_CALL.search(left) and self.literal(value, "password", LOGIN):
+            give(a, b, "login", rest)
 
 
 def mask(text: str, found: list[Found], by: str = "REDACTED") -> str:
