@@ -15,11 +15,14 @@ import base64
 import binascii
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,24 +82,44 @@ UNKNOWN = 11.0  # cost of a character that no word covers
 LONGEST = 20
 
 
-def segment(text: str, costs: dict[str, float]) -> tuple[list[str], int]:
+@lru_cache(4)
+def automaton(path: str) -> ahocorasick.Automaton:
+    """Finds every dictionary word in a text."""
+    found = ahocorasick.Automaton()
+    for word, cost in dictionary(path).items():
+        if 1 < len(word) <= LONGEST:
+            found.add_word(word, (len(word), cost))
+    found.make_automaton()
+    return found
+
+
+def segment(text: str, found: ahocorasick.Automaton) -> tuple[list[str], int]:
     """The cheapest segmentation of a run of lower-case letters: its words, and the number of letters left over."""
-    best: list[tuple[float, int, bool]] = [(0.0, 0, True)]
-    for end in range(1, len(text) + 1):
-        found = (best[end - 1][0] + UNKNOWN, end - 1, False)
-        for start in range(max(0, end - LONGEST), end - 1):
-            cost = costs.get(text[start:end])
-            if cost is not None and best[start][0] + cost < found[0]:
-                found = (best[start][0] + cost, start, True)
-        best.append(found)
-    words, left, end = [], 0, len(text)
+    n = len(text)
+    best, back, done = [0.0] * (n + 1), [0] * (n + 1), 0
+
+    def upto(end: int) -> int:
+        for k in range(done + 1, end + 1):
+            if not back[k]:
+                best[k], back[k] = best[k - 1] + UNKNOWN, -1
+            elif best[k - 1] + UNKNOWN <= best[k]:
+                best[k], back[k] = best[k - 1] + UNKNOWN, -1
+        return end
+
+    for last, (size, cost) in found.iter(text):
+        done = upto(last)
+        at = last + 1
+        whole = best[at - size] + cost
+        if not back[at] or whole < best[at]:
+            best[at], back[at] = whole, size
+    upto(n)
+    words, left, end = [], 0, n
     while end:
-        _, start, known = best[end]
-        if known:
-            words.append(text[start:end])
+        if back[end] > 0:
+            words.append(text[end - back[end] : end])
+            end -= back[end]
         else:
-            left += 1
-        end = start
+            left, end = left + 1, end - 1
     return words[::-1], left
 
 
@@ -107,7 +130,7 @@ class Words:
     """Segments names and literals; keeps what it has segmented, up to a bound, then starts anew."""
 
     def __init__(self, path: str) -> None:
-        self.costs, self.known = dictionary(path), {}
+        self.costs, self.found, self.known = dictionary(path), automaton(path), {}
 
     def of(self, text: str) -> tuple[list[str], int]:
         """Words of a text, cut at capitals and by Viterbi, and the number of characters they don't explain."""
@@ -120,10 +143,10 @@ class Words:
                 if run.isdigit():
                     words, left = [*words, run], left + (len(run) if len(run) > 4 else 0)
                     continue
-                whole, over = segment(run.lower(), self.costs)
+                whole, over = segment(run.lower(), self.found)
                 cut, cut_over = [], 0
                 for part in PARTS.findall(run):
-                    w, o = segment(part.lower(), self.costs)
+                    w, o = segment(part.lower(), self.found)
                     cut, cut_over = cut + w, cut_over + o
                 if cut_over <= over:
                     whole, over = cut, cut_over
@@ -157,7 +180,7 @@ class Words:
         """Characters outside words of four letters or more that keep to the text's capitals."""
         left = 0
         for part in PARTS.findall(text):
-            left += len(part) if part.isdigit() else len(part) - sum(len(w) for w in segment(part.lower(), self.costs)[0] if len(w) > 3)
+            left += len(part) if part.isdigit() else len(part) - sum(len(w) for w in segment(part.lower(), self.found)[0] if len(w) > 3)
         return left
 
 
@@ -174,7 +197,8 @@ PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 QUOTED = re.compile(r"""(?P<q>"|'|`)(?P<v>(?:\\.|(?!(?P=q))[^\\\r\n])*)(?P=q)""")
 WRAP = r"""(?:(?:String::from|Some|str|bytes|SecretStr|Secret|new\s+\w+|to_string|Buffer\.from|quote|unhex|b64decode|base64\.b64decode|atob)\s*\(\s*|[brfuBRFU]{1,2}(?=$)|&|@(?=$)|\(\s*)*"""
 # What stands right before an opening quote, and gives the name of the literal.
-BEFORE = [
+OPTION = re.compile(r"""["'`]--?(?P<n>[\w\-]+)["'`]\s*,(?:[^"'`]*,)?\s*default\s*=\s*$""")
+_BEFORE = [
     re.compile(rf"""(?P<n>{NAME})["'`\]\)]*\s*(?:\?\s*)?(?::\s*[&\w<>\[\]'?.]+\s*)?(?:=>|:=|\?\?=|\|\|=|=|:)\s*{WRAP}$"""),
     re.compile(rf"""["'`](?P<n>{NAME})["'`]\s*,\s*{WRAP}$"""),
     re.compile(rf"""\b(?:with|set|put|add|use)_?(?P<n>\w+)\(\s*{WRAP}$"""),
@@ -183,7 +207,9 @@ BEFORE = [
     re.compile(r"""(?P<n>PASSWORD|IDENTIFIED\s+BY|SECRET|identified\s+by|password)\s+$"""),
     re.compile(rf"""--?(?P<n>[A-Za-z][\w\-]*)[ =]$"""),
 ]
-OPTION = re.compile(r"""["'`]--?(?P<n>[\w\-]+)["'`]\s*,(?:[^"'`]*,)?\s*default\s*=\s*$""")
+# Each with the characters that may be the last before the literal; those that WRAP ends with go with the first.
+ANY = "".join(map(chr, range(33, 127)))
+BEFORE = list(zip([OPTION, *_BEFORE], ["=", ANY.translate({ord(x): None for x in ",;)]}"}), ANY, "(", ANY, "=", ANY, "=" + ANY]))
 FROM_LITERAL = re.compile(r"""--from-literal[= ]["']?(?P<n>[\w.\-]+)=(?P<v>[^\s"'`]+)""")
 LOGIN_CALL = re.compile(r"""(?:getConnection|basic_auth|basicAuth|login|authenticate|connect|auth|credentials|Credentials|HTTPBasicAuth|setCredentials|createConnection|PDO|mysqli|mysqli_connect|mysql_connect|pg_connect)\s*[(= ]\(?\s*[^()]*,\s*$""")
 FILL = re.compile(r"""(?:fill|type|sendKeys|send_keys|fill_in|setValue)\s*\(?\s*["'](?P<n>[^"']*)["']\s*,\s*(?:with:\s*)?$""")
@@ -227,6 +253,39 @@ def _back(text: str, end: int) -> int:
     return end
 
 
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
+# What a text must have for a pattern to match in it, as a pattern of its own that a whole batch is tested by.
+SIGNS = {
+    PEM: "-----BEGIN ", BLOCK: "-----BEGIN ", URL_USER: "://[^\\s]*@", SCHEME: "(Bearer|Basic|Token|ApiKey|bearer|basic|token)[ \\t]", QUERY: "[?&;][^=]*=", PAIR_START: "=[^&;]*[;&]", AUTH_TOKEN: ":_", NETRC: "login\\s",
+    SLASH_LOGIN: "(?i)login[^\\r\\n]*/", USER_FLAG: "(-u|--user)[ \\t=]", GLUED_FLAG: "\\s-[paP]", DSN: "@(tcp|unix|udp)", PIPED: "-stdin", ELEMENT: "</", FALLBACK: "-[^}]*}", LINE: "(?m)^[ \\t]*([#;*>-]|//|<!--|export |ENV |ARG |set)", FROM_LITERAL: "--from-literal",
+    FLOW: "[{,][^,}]*:", FLAG: "-[A-Za-z]", PROSE: "(?i)(#|;|\\*|//|--|\"\"\").*(pass|pwd?|secret|token|api|credential)",
+}
+BIT = {rx: 1 << k for k, rx in enumerate(SIGNS)}
+QUOTES = 1 << len(SIGNS)
+TESTS = [(re.compile(sign), sign, BIT[rx]) for rx, sign in SIGNS.items()] + [(re.compile("[\"'`]"), "[\"'`]", QUOTES)]
+
+
+def signs_of(text: str) -> int:
+    """The signs in a text, as bits."""
+    return sum(bit for rx, _, bit in TESTS if rx.search(text))
+
+
+def signs_in(texts: pa.Array) -> np.ndarray:
+    """The signs in each text of a batch."""
+    out = np.zeros(len(texts), np.int64)
+    for _, sign, bit in TESTS:
+        out |= np.where(np.asarray(pc.fill_null(pc.match_substring_regex(texts, sign), False)), bit, 0)
+    return out
+
+
+COMMENT = re.compile(r"\s*(?:[#;*]|//|--\s|<!--)")
+REMARK = re.compile(r"\s*(?:[#;*]|//|--|<!--|/\*|\"\"\")")
+BEHIND_VALUE = re.compile(r"-->|\*/|</")
+LEADING_SCHEME = re.compile(r"(?:Bearer|Basic|Token|ApiKey|bearer|basic)\s+")
+SQL_VARIABLE = re.compile(r"(?i)(?:password|by)\s+:$")
+KEY_ATTRIBUTE = re.compile(r"""\b(?:key|name|id)=["']([^"']+)["']""")
+
+
 class Finder:
     """Finds credentials in an excerpt of a file."""
 
@@ -286,10 +345,18 @@ class Finder:
             return "named" if self.literal(value, name) else None
         return "residual" if strength == 1 and self.residual(value) else None
 
-    def find(self, text: str, path: str = "") -> list[Found]:
-        """Credentials of an excerpt by start, none inside another."""
+    def find(self, text: str, path: str = "", signs: int | None = None) -> list[Found]:
+        """Credentials of an excerpt by start, none inside another; ``signs`` are those of the text, if known."""
+        signs = signs_of(text) if signs is None else signs
         out: list[Found] = []
         taken: list[tuple[int, int]] = []
+        config = bool(CONFIG.search(path or ""))
+        if not signs and not config:
+            return out
+
+        def each(rx: re.Pattern) -> Iterable[re.Match]:
+            """Matches of a pattern, which isn't tried on a text without its sign."""
+            return rx.finditer(text) if signs & BIT[rx] else ()
 
         def free(a: int, b: int) -> bool:
             return not any(a < y and x < b for x, y in taken)
@@ -299,7 +366,7 @@ class Finder:
                 out.append(Found(a, b, kind, more))
                 taken.extend([(a, b), *more])
 
-        for m in PEM.finditer(text):
+        for m in each(PEM):
             end = PEM_END.search(text, m.end())
             stop = end.end() if end else len(text)
             body = text[m.end() : end.start() if end else len(text)]
@@ -308,19 +375,17 @@ class Finder:
                     give(m.start(), stop, "private key")
                 else:
                     taken.append((m.start(), stop))
-        for m in re.finditer(r"-----BEGIN [A-Z0-9 ]+-----", text):
+        for m in each(BLOCK):
             if free(m.start(), m.end()):
                 end = text.find("-----END", m.end())
                 stop = text.find("\n", end) if end >= 0 else -1
                 taken.append((m.start(), stop if stop > 0 else len(text)))
-        if len(text) < 6:
-            return out
-        for m in URL_USER.finditer(text):
+        for m in each(URL_USER):
             if self.literal(m["v"], "password"):
                 give(*m.span("v"), "address")
             else:
                 taken.append(m.span("v"))
-        for m in SCHEME.finditer(text):
+        for m in each(SCHEME):
             line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
             if m["s"].lower() != "bearer" and not AUTHORIZES.search(line):
                 continue
@@ -328,7 +393,7 @@ class Finder:
             if free(*m.span("v")) and self._behind_scheme(m["s"], v):
                 give(m.start("v"), m.start("v") + len(v), "header")
         for rx in (QUERY, PAIR_START):
-            for m in rx.finditer(text):
+            for m in each(rx):
                 if self.strength(m["n"].strip(), True) == 2 and free(*m.span("v")):
                     v = m["v"]
                     if self.literal(v, m["n"]):
@@ -336,31 +401,30 @@ class Finder:
                     else:
                         taken.append(m.span("v"))
         for rx in (AUTH_TOKEN, NETRC, SLASH_LOGIN, USER_FLAG, GLUED_FLAG, DSN, PIPED):
-            for m in rx.finditer(text):
+            for m in each(rx):
                 v = m["v"].rstrip("\"'`,;)")
                 if self.literal(v, "token"):
                     give(m.start("v"), m.start("v") + len(v), "login")
-        self._quoted(text, give, free, taken)
-        for m in ELEMENT.finditer(text):
+        if signs & QUOTES:
+            self._quoted(text, give, free, taken)
+        for m in each(ELEMENT):
             v = m["v"].strip()
             if v and self._judge(m["n"], v):
                 at = m.start("v") + m["v"].index(v)
                 give(at, at + len(v), "element")
-        for m in FALLBACK.finditer(text):
+        for m in each(FALLBACK):
             if self.strength(m["n"]) == 2 and self.literal(m["v"], m["n"]):
                 give(*m.span("v"), "fallback")
-        config = bool(CONFIG.search(path or ""))
-        for m in LINE.finditer(text):
-            comment = bool(re.match(r"\s*(?:[#;*]|//|--\s|<!--)", m[0]))
-            if config or comment:
+        for m in LINE.finditer(text) if config else each(LINE):
+            if config or COMMENT.match(m[0]):
                 self._bare(m, give, text)
         for rx in (FROM_LITERAL, FLOW, FLAG):
-            for m in rx.finditer(text):
+            for m in each(rx):
                 self._bare(m, give, text)
-        for m in PROSE.finditer(text):
+        for m in each(PROSE):
             line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
-            if re.match(r"\s*(?:[#;*]|//|--|<!--|/\*|\"\"\")", line) or (config and "#" in line):
-                v = re.sub(r"[.,;)]+$", "", m["v"])
+            if REMARK.match(line) or (config and "#" in line):
+                v = m["v"].rstrip(".,;)")
                 if self.literal(v, m["n"]) and len(v) >= 6:
                     give(m.start("v"), m.start("v") + len(v), "comment")
         return sorted(out)
@@ -375,12 +439,8 @@ class Finder:
         return self.literal(v, "token", HEADER) and v.lower() != v.upper()
 
     def _bare(self, m: re.Match, give, text: str) -> None:  # noqa: ANN001
-        v = re.split(r"(?=-->|\*/|</)", m["v"])[0]
-        v = re.sub(r"[,;]+$", "", v)
-        if not v or v[0] in "|>&*!":
-            return
-        scheme = re.fullmatch(r"Bearer|Basic|Token", v)
-        if scheme:
+        v = BEHIND_VALUE.split(m["v"])[0].rstrip(",;")
+        if not v or v[0] in "|>&*!" or v in ("Bearer", "Basic", "Token"):
             return
         if self._judge(m["n"], v):
             give(m.start("v"), m.start("v") + len(v), "value")
@@ -417,35 +477,34 @@ class Finder:
 
     def _one(self, left: str, value: str, pieces: list[tuple[int, int]], give) -> None:  # noqa: ANN001
         a, b = pieces[0]
-        head = re.match(r"(?:Bearer|Basic|Token|ApiKey|bearer|basic)\s+", value)
+        head = LEADING_SCHEME.match(value)
         if head and len(pieces) == 1:
             value, a = value[head.end() :], a + head.end()
         rest = tuple(pieces[1:])
-        fill = FILL.search(left)
+        last = left.rstrip()[-1:]
+        fill = last in ",:" and FILL.search(left)
         if fill:
             if self.strength(fill["n"]) == 2 and self.literal(value, fill["n"]):
                 give(a, b, "form", rest)
             return
-        named = False
-        if re.search(r"(?i)(?:password|by)\s+:$", left):  # a variable of an SQL shell
+        if last == ":" and SQL_VARIABLE.search(left):
             return
-        for rx in (OPTION, *BEFORE):
-            m = rx.search(left)
+        for rx, signs in BEFORE:
+            m = last in signs and rx.search(left)
             if not m:
                 continue
             name = m["n"]
-            if re.fullmatch(r"(?i)identified\s+by", name):
+            if name[-2:].lower() == "by" and name[:10].lower() == "identified":
                 name = "password"
-            if name.lower() in ("value", "default") and (key := re.search(r"""\b(?:key|name|id)=["']([^"']+)["']""", left)):
+            if name.lower() in ("value", "default") and (key := KEY_ATTRIBUTE.search(left)):
                 name = key[1]
-            named = True
             kind = self._judge(name, value)
             if kind:
                 give(a, b, kind, rest)
                 return
             if self.strength(name) == 0:
                 return
-        if LOGIN_CALL.search(left) and self.literal(value, "password", LOGIN):
+        if last == "," and LOGIN_CALL.search(left) and self.literal(value, "password", LOGIN):
             give(a, b, "login", rest)
 
 
@@ -481,8 +540,8 @@ def _run(found_only: bool, path: str | None):  # noqa: ANN202
         for batch in batches:
             ids, paths, texts = (c.to_pylist() for c in batch.columns)
             rows = []
-            for i, p, t in zip(ids, paths, texts):
-                found = finder.find(t, p or "") if t else []
+            for i, p, t, signs in zip(ids, paths, texts, signs_in(batch.column(2)).tolist()):
+                found = finder.find(t, p or "", signs) if t else []
                 if found_only:
                     rows += [(i, f.start + 1, f.kind) for f in found]
                 else:
