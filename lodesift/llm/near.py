@@ -36,9 +36,8 @@ MOST_BROADCAST = 200_000
 
 def words_of(*columns: Column) -> Column:
     """The words of the texts one after another, lower-cased, single blanks between: runs of ASCII letters and digits."""
-    # Only ASCII capitals are folded: lower() would make ASCII letters of a few others.
-    text = F.translate(F.concat_ws(" ", *columns), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+    # Lower-cased when only ASCII is left: lower() would make ASCII letters of a few others.
+    return F.trim(F.lower(F.regexp_replace(F.concat_ws(" ", *columns), "[^A-Za-z0-9]+", " ")))
 
 
 @lru_cache(4)
@@ -192,15 +191,21 @@ def _meet(most: int | None, allowed: int):  # noqa: ANN202
 
     def pairs(ids: np.ndarray, s: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
         found = [np.zeros((0, 2), np.int64)]
-        for m in np.unique(sizes[sizes > 1]):
+
+        def compare(x: np.ndarray, y: np.ndarray) -> None:
+            near = np.bitwise_count(s[x, 0] ^ s[y, 0]) + np.bitwise_count(s[x, 1] ^ s[y, 1]) <= allowed
+            a, b = ids[x[near]], ids[y[near]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+
+        for m in range(2, 9):  # all small runs of a size at once, larger ones one by one
             at = starts[sizes == m]
-            for i in range(int(m) - 1):  # each row with those behind it
-                x = np.repeat(at + i, m - 1 - i)
-                y = (at[:, None] + np.arange(i + 1, m)).ravel()
-                near = np.bitwise_count(s[x] ^ s[y]).sum(1) <= allowed
-                a, b = ids[x[near]], ids[y[near]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
-        pair = np.unique(np.concatenate(found), axis=0)
+            if len(at):
+                i, j = np.triu_indices(m, 1)
+                compare((at[:, None] + i).ravel(), (at[:, None] + j).ravel())
+        for at, m in zip(starts[sizes > 8], sizes[sizes > 8]):
+            i, j = np.triu_indices(m, 1)
+            compare(at + i, at + j)
+        pair = np.concatenate(found)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.nulls(len(pair), pa.int64())], names=["a", "b", "band"])
 
     def crowd(ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
@@ -263,26 +268,38 @@ def classes(df: DataFrame, id_column: str, words: Column) -> tuple[DataFrame, Da
     return heads, copies
 
 
-@lru_cache(20_000)
-def _numbered(text: str) -> frozenset:
-    """The words of a text, repetitions numbered: as sets of these meet, so do the multisets."""
-    words = text.split()
-    once = frozenset(words)
-    if len(once) == len(words):
-        return once
-    seen: Counter = Counter()
-    out = []
-    for w in words:
-        out.append((w, seen[w]) if seen[w] else w)
-        seen[w] += 1
-    return frozenset(out)
+class Bag:
+    """The words of a text of single blanks: the different ones, and those that occur more than once."""
+
+    __slots__ = ("n", "once", "again")
+
+    def __init__(self, text: str) -> None:
+        words = text.split()
+        self.n, self.once = len(words), frozenset(words)
+        self.again = {} if len(self.once) == self.n else {w: c for w, c in Counter(words).items() if c > 1}
+
+    def similarity(self, other: Bag) -> float:
+        """Words in common over words in either, each as often as it occurs."""
+        common = len(self.once & other.once) + sum(min(c, other.again[w]) - 1 for w, c in self.again.items() if w in other.again)
+        return common / max(1, self.n + other.n - common)
 
 
 def multiset_similarity(a: str, b: str) -> float:
-    """Words in common over words in either, each as often as it occurs, of texts of single blanks."""
-    x, y = _numbered(a), _numbered(b)
-    common = len(x & y)
-    return common / max(1, len(x) + len(y) - common)
+    return Bag(a).similarity(Bag(b))
+
+
+def _alike(a: list[str], b: list[str], threshold: float) -> list[bool]:
+    """Which pairs reach the threshold; those whose lengths forbid it aren't compared."""
+    bags: dict[str, Bag] = {}
+
+    def bag(text: str) -> Bag:
+        found = bags.get(text)
+        if found is None:
+            found = bags[text] = Bag(text)
+        return found
+
+    sizes = ((x.count(" ") + 1, y.count(" ") + 1) for x, y in zip(a, b))
+    return [min(n, m) >= threshold * max(n, m) - 1e-9 and bag(x).similarity(bag(y)) >= threshold - 1e-12 for x, y, (n, m) in zip(a, b, sizes)]
 
 
 def _met(keyed: DataFrame, most: int | None, allowed: int) -> DataFrame:
@@ -337,9 +354,8 @@ def similar_pairs(classes: DataFrame, threshold: float, bands: int = 40, rows: i
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wa, wb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            good = pa.array([multiset_similarity(p, q) >= threshold - 1e-12 for p, q in zip(wa, wb)], pa.bool_())
-            yield batch.select([0, 1, 2, 3]).filter(good)
+            good = _alike(batch.column(4).to_pylist(), batch.column(5).to_pylist(), threshold)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
 
     return pairs.select("a", "b", "record_a", "record_b", "words_a", "words_b").mapInArrow(check, "a BIGINT, b BIGINT, record_a BIGINT, record_b BIGINT")
 
