@@ -4,12 +4,13 @@ Running prose is taken out of a document line by line (no headings, code, tables
 into sentences, and sentences of other languages are left aside. A regularised multinomial model over
 words, character n-grams within words, and a sentence's length gives each sentence's level; it is fitted
 on sentences of rated documents, then on its own sharpened view of them, since a document of one level
-has sentences of others. A document's sentence distribution is calibrated, by a second such
-model, to the level and the years of school that reliable raters give; how reliable a rater is shows in
-how far their ratings are from what text and other raters say.
+has sentences of others. The distributions over levels of a document's sentences are averaged, by words and
+by sentences, and calibrated, by a second such model, to the level and the years of school that reliable
+raters give; how reliable a rater is shows in how far their ratings are from what text and other raters say.
 
 Fitting uses a bounded sample: at most ``most_docs`` rated documents, the first by hash of their id,
-and at most ``most_sentences`` sentences of each, by hash of the sentence. Everything is scored.
+and at most ``most_sentences`` sentences of each, by hash of the sentence, chosen where the texts lie.
+Everything is scored. Sentences of a batch are read, classified and averaged all at once.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ FENCE = re.compile(r"\s*(?:```|~~~)")
 # Lines that are no prose, wherever they stand.
 NO_PROSE = re.compile(r"""(?x) \s*(?: \#{1,6}\s | \|.* | .*\|.*\|.* | [-*+•–]\s+ | \(?\d{1,3}[.)]\s+ | >{1,}\s*\S* | at\s+[\w$.<>]+\(.*\) | Traceback\b.* | File\s".* | Caused\sby:.* | [{}\[\]();,]+\s*$ | ["'][\w\-. ]+["']\s*:.* | [\w.\-\[\]"]+\s*(?:=|:=|\+=|=>)\s*\S.* | <[/!?\w].*>\s*$ | [\w.\-]+:\s*$ | \w+://\S+\s*$ | [$>]\s+\S+ | [-=*_~]{3,}\s*$ | [\w.+\-]+@[\w\-]+\.\S+\s*$ | (?:import|from|def|class|return|const|let|var|public|private|function|if|for|while|SELECT|INSERT|UPDATE|DELETE|CREATE)\b.*[;{}()]\s*$ )""")
 UNDERLINE = re.compile(r"\s*(?:={3,}|-{3,})\s*$")
+BARE = re.compile(r"(?:^| )(?:[^\w ]|_)+(?= |$)")  # what stands between blanks without a letter or digit
+TOKENS = re.compile(WORD.pattern + r"|\n")
+MOST_TEXT = 4_000_000  # characters read at once, or one text
 SENTENCE_END = re.compile(r"(?<=[.!?])[\"'”’)]*\s+(?=[\"'“‘(]*[^\W_a-z])|(?<=[.!?])\s+(?=\d)")
 
 
@@ -98,41 +102,67 @@ def _length_class(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n, 1)) * 2, LENGTH_CLASSES - 1).astype(np.int64)
 
 
+class Read(NamedTuple):
+    """The sentences of several texts."""
+
+    sentences: list[str]
+    doc: np.ndarray  # the text of each
+    words: np.ndarray  # the words of all, by index
+    of: np.ndarray  # the sentence of each word
+    sizes: np.ndarray  # words of each sentence
+    counts: np.ndarray  # the same by blanks
+    english: np.ndarray
+
+
+class _Indexes(dict):
+    """A word's index, given when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self) - 1
+        return k
+
+
 class Reader:
     """Words, languages and features of sentences, kept by word up to a bound."""
 
     def __init__(self, model: Model | None = None) -> None:
         self.model = model
-        self.known: dict[str, int] = {}
-        self.tongue = np.zeros(1024, np.int8)
-        self.scores = np.zeros((1024, LEVELS))
-
-    def index(self, word: str) -> int:
-        k = self.known.get(word)
-        if k is None:
-            k = self.known[word] = len(self.known)
-            if k >= len(self.tongue):
-                self.tongue = np.concatenate([self.tongue, np.zeros_like(self.tongue)])
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.tongue[k] = 1 if word in ENGLISH else -1 if word in OTHER or not word.isascii() else 0
-            if self.model is not None:
-                f = word_features(word)
-                self.scores[k] = self.model.weights[f].sum(0) / len(f)
-        return k
-
-    def read(self, text: str) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-        """The words of each sentence, its words by blanks, and whether it is English."""
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = _Indexes({"\n": -1})
+        self.tongue, self.scores = np.zeros(0, np.int8), np.zeros((0, LEVELS))
+
+    def _learn(self) -> None:
+        """Features of the words that are new."""
+        new = list(self.known)[len(self.tongue) + 1 :]
+        self.tongue = np.append(self.tongue, np.array([1 if w in ENGLISH else -1 if w in OTHER or not w.isascii() else 0 for w in new], np.int8))
+        if self.model is not None and new:
+            features = [word_features(w) for w in new]
+            sizes = np.array([len(f) for f in features])
+            sums = np.add.reduceat(self.model.weights[np.concatenate([np.array(f) for f in features])], np.cumsum(sizes) - sizes, axis=0)
+            self.scores = np.concatenate([self.scores, sums / sizes[:, None]])
+
+    def read(self, texts: list[str | None]) -> Read:
+        """The sentences of texts, their words, and whether each is English."""
         if len(self.known) > 200_000:
-            self.known.clear()
-        found = sentences(text)
-        words = [[self.index(w) for w in WORD.findall(s.lower())] for s in found]
-        counts = np.array([sum(any(c.isalnum() for c in t) for t in s.split()) for s in found], np.int64)
-        tongue = np.array([self.tongue[w].sum() if w else 0 for w in words], np.int64)
+            self._clear()
+        found = [sentences(t) if t else [] for t in texts]
+        flat = [s for f in found for s in f]
+        doc = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        tokens = np.fromiter(map(self.known.__getitem__, TOKENS.findall("\n".join(flat).lower())), np.int64)
+        self._learn()
+        ends = tokens < 0
+        of, n = np.cumsum(ends)[~ends], len(flat)
+        words = tokens[~ends]
+        counts = np.fromiter((s.count(" ") + 1 - len(BARE.findall(s)) for s in flat), np.int64, n)
+        tongue = np.bincount(of, self.tongue[words], n)
         english = tongue > 0
-        if len(tongue):
-            # A sentence that doesn't tell goes with the rest of the document.
-            english |= (tongue == 0) & (counts[tongue > 0].sum() >= counts[tongue < 0].sum()) & (tongue[tongue != 0].size > 0)
-        return words, counts, english
+        # A sentence that doesn't tell goes with the rest of the document.
+        ours, theirs = (np.bincount(doc[side], counts[side], len(texts)) for side in (tongue > 0, tongue < 0))
+        tells = np.bincount(doc[tongue != 0], minlength=len(texts)) > 0
+        english |= (tongue == 0) & (tells & (ours >= theirs))[doc]
+        return Read(flat, doc, words, of, np.bincount(of, minlength=n), counts, english)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -168,10 +198,11 @@ def _fit_sentences(rows: list[list[int]], features: list[list[int]], lengths: np
     return W, L, b
 
 
-def _shares(best: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Shares of words, then of sentences, in sentences of each level, and 1."""
-    words, lines = np.bincount(best, counts, LEVELS), np.bincount(best, minlength=LEVELS)
-    return np.concatenate([words / max(1, counts.sum()), lines / max(1, len(best)), [1.0]])
+def _shares(p: np.ndarray, counts: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """For each document the mean distribution of its words' sentences, then of its sentences, and 1."""
+    each = lambda x: np.stack([np.bincount(doc, x[:, k], docs) for k in range(LEVELS)], 1)
+    words, lines = np.bincount(doc, counts, docs), np.bincount(doc, minlength=docs)
+    return np.concatenate([each(p * counts[:, None]) / np.maximum(1, words)[:, None], each(p) / np.maximum(1, lines)[:, None], np.ones((docs, 1))], 1)
 
 
 def _calibrated(x: np.ndarray, goal: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
@@ -217,24 +248,28 @@ def level_of(years: float) -> int:
     return 1 + sum(years >= end + 0.5 for end in LEVEL_ENDS)
 
 
-def fit(texts: dict[int, str], ratings: list[tuple[int, str, float]], rounds: int = 3, most_sentences: int = 60) -> Model | None:
-    """A model from rated documents; None if no rating has a document with English prose."""
-    reader = Reader()
-    rows, lengths, doc_of = [], [], []
-    for d in sorted(texts):
-        words, counts, english = reader.read(texts[d])
-        kept = [k for k in range(len(words)) if english[k] and words[k]]
-        if len(kept) > most_sentences:
-            kept = sorted(kept, key=lambda k: crc32(np.array(words[k]).tobytes()))[:most_sentences]
-        for k in kept:
-            rows.append(words[k])
-            lengths.append(counts[k])
-            doc_of.append(d)
+def chosen_sentences(texts: list[str | None], most: int) -> list[list[str]]:
+    """Of each text at most so many English sentences, the first by hash."""
+    read = Reader().read(texts)
+    out: list[list[str]] = [[] for _ in texts]
+    for k in np.flatnonzero(read.english & (read.sizes > 0)):
+        out[read.doc[k]].append(read.sentences[k])
+    return [f if len(f) <= most else sorted(f, key=lambda s: (crc32(s.encode("utf-8", "replace")), s))[:most] for f in out]
+
+
+def fit(sample: dict[int, list[str]], ratings: list[tuple[int, str, float]], rounds: int = 3) -> Model | None:
+    """A model from sentences of rated documents; None if no rating has a document with English prose."""
+    order = [d for d in sorted(sample) if sample[d]]
+    reader, flat = Reader(), [s for d in order for s in sample[d]]
+    lower = [WORD.findall(s.lower()) for s in flat]
+    rows = [[reader.known[w] for w in ws] for ws in lower]
+    lengths = [s.count(" ") + 1 - len(BARE.findall(s)) for s in flat]
+    doc_of = [d for d in order for _ in sample[d]]
     there = set(doc_of)
     ratings = [(d, r, y) for d, r, y in ratings if d in there]
     if not ratings:
         return None
-    names = [w for w, _ in sorted(reader.known.items(), key=lambda x: x[1])]
+    names = list(reader.known)[1:]
     features = [word_features(w) for w in names]
     lengths_, docs = np.array(lengths), np.array(doc_of)
     classes = _length_class(lengths_)
@@ -263,8 +298,7 @@ def fit(texts: dict[int, str], ratings: list[tuple[int, str, float]], rounds: in
         sharp = p**4
         goal = sharp / sharp.sum(1, keepdims=True)
         goal[~rated] = 1 / LEVELS
-        best = p.argmax(1)
-        x = np.array([_shares(best[at == k], lengths_[at == k]) for k in range(len(order))])
+        x = _shares(p, lengths_, at, len(order))
         known = np.array([d in years for d in order])
         y = np.array([years[d] for d in order[known]])
         of = np.array([level_of(v) - 1 for v in y])
@@ -276,40 +310,65 @@ def fit(texts: dict[int, str], ratings: list[tuple[int, str, float]], rounds: in
     return Model(W, L, b, calibration, centre)
 
 
+def _portions(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts of so many characters together, or single ones."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        n = len(t) if t else 0
+        if size and size + n > MOST_TEXT:
+            yield slice(start, k)
+            start, size = k, 0
+        size += n
+    yield slice(start, len(texts))
+
+
 def _scored(model: Model):  # noqa: ANN202
+    names = ["id", "words", "years", "level", "easy", "middle", "hard"]
+
+    def score(reader: Reader, texts: list[str | None]) -> list[pa.Array]:
+        read, n = reader.read(texts), len(texts)
+        at = np.flatnonzero(read.english & (read.sizes > 0))
+        counts, doc = read.counts[at], read.doc[at]
+        sums = np.stack([np.bincount(read.of, reader.scores[read.words, k], len(read.sizes)) for k in range(LEVELS)], 1)[at]
+        p = _softmax(sums / read.sizes[at][:, None] + model.lengths[_length_class(counts)] + model.bias)
+        share, words = _shares(p, counts, doc, n), np.bincount(doc, counts, n).astype(np.int64)
+        chance, none = _softmax(share @ model.calibration), words == 0
+        told = [pa.array(x, t, mask=none) for x, t in ((chance @ model.years, pa.float64()), (chance.argmax(1) + 1, pa.int32()), *((share[:, k], pa.float64()) for k in range(LEVELS)))]
+        return [pa.array(words), *told]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        kinds = (None, pa.int64(), pa.float64(), pa.int32(), *[pa.float64()] * LEVELS)
         for batch in batches:
-            out = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, counts, english = reader.read(text) if text else ([], np.zeros(0), np.zeros(0, bool))
-                kept = [k for k in range(len(words)) if english[k] and words[k]]
-                n = int(counts[kept].sum()) if kept else 0
-                if not n:
-                    out.append((i, 0, None, None, *[None] * LEVELS))
-                    continue
-                flat = np.fromiter((w for k in kept for w in words[k]), np.int64)
-                sizes = np.array([len(words[k]) for k in kept])
-                sums = np.add.reduceat(reader.scores[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-                best = (sums + model.lengths[_length_class(counts[kept])] + model.bias).argmax(1)
-                share = _shares(best, counts[kept])
-                chance = _softmax((share @ model.calibration)[None])[0]
-                out.append((i, n, float(chance @ model.years), int(chance.argmax()) + 1, *share[:LEVELS].tolist()))
-            columns = list(zip(*out)) or [[]] * (4 + LEVELS)
-            arrays = [pa.array(c, t or batch.schema.field(0).type) for c, t in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "words", "years", "level", "easy", "middle", "hard"])
+            texts = batch.column(1).to_pylist()
+            for part in _portions(texts):
+                if part.stop > part.start:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), *score(reader, texts[part])], names=names)
 
     return run
 
 
-def rated_sample(documents: DataFrame, labels: DataFrame, most_docs: int = 800) -> tuple[dict[int, str], list[tuple[int, str, float]]]:
-    """Texts and ratings of at most ``most_docs`` rated documents, the first by hash of their id."""
+def rated_sample(documents: DataFrame, labels: DataFrame, most_docs: int = 800, most_sentences: int = 60) -> tuple[dict[int, list[str]], list[tuple[int, str, float]]]:
+    """Sentences and ratings of at most ``most_docs`` rated documents, the first by hash of their id.
+
+    The sentences are chosen on the executors, at most ``most_sentences`` of a document.
+    """
     usable = labels.select("doc_id", "rater", F.col("years_of_school").cast("double").alias("years")).filter(F.col("doc_id").isNotNull() & F.col("rater").isNotNull() & F.col("years").isNotNull())
     chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    found = documents.join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text").collect()  # at most most_docs texts
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for part in _portions(texts):
+                if part.stop > part.start:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array(chosen_sentences(texts[part], most_sentences), pa.list_(pa.string()))], names=["doc_id", "sentences"])
+
+    rated = documents.join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text")
+    found = rated.mapInArrow(choose, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, sentences ARRAY<STRING>").collect()  # at most most_docs rows of most_sentences
     ratings = usable.join(F.broadcast(chosen), "doc_id").distinct().collect()
-    return {r[0]: r[1] for r in found}, sorted((r["doc_id"], r["rater"], r["years"]) for r in ratings)
+    sample: dict[int, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r[0], r[1])):
+        sample.setdefault(r[0], r[1])
+    return sample, sorted((r["doc_id"], r["rater"], r["years"]) for r in ratings)
 
 
 def reading_levels(spark: SparkSession, documents: DataFrame, labels: DataFrame, most_docs: int = 800) -> DataFrame:

@@ -84,10 +84,29 @@ Das ist die Prüfung der Ablage und nicht mehr.
 """
 
 
+def test_reading_in_parts_changes_nothing():
+    docs, _, _ = corpus(5, 12)
+    texts = [*docs.values(), "It is - as _ said – 3 & 4.", "x", None, ""]
+    whole = reading.Reader().read(texts)
+    for k, t in enumerate(texts):
+        one = reading.Reader().read([t])
+        mine = whole.doc == k
+        assert one.sentences == [s for s, m in zip(whole.sentences, mine) if m] and one.counts.tolist() == whole.counts[mine].tolist() and one.english.tolist() == whole.english[mine].tolist() and one.sizes.tolist() == whole.sizes[mine].tolist()
+        assert one.counts.tolist() == [sum(any(c.isalnum() for c in w) for w in s.split()) for s in one.sentences]
+    sizes = [p.stop - p.start for p in reading._portions(["a" * 3_000_000, "b" * 2_000_000, None, "c" * 9_000_000, ""])]
+    assert sum(sizes) == 5 and len(sizes) == 4
+
+
+def test_a_bounded_choice_of_sentences():
+    docs, _, _ = corpus(6, 3)
+    few = reading.chosen_sentences([*docs.values(), None], 7)
+    assert [len(f) for f in few] == [7, 7, 7, 0] and few[:3] == reading.chosen_sentences(list(docs.values()), 7)
+
+
 def test_prose_only():
     for t in (DOCUMENT, DOCUMENT.replace("\n", "\r\n")):
-        words, counts, english = reading.Reader().read(t)
-        assert counts[english].sum() == 9 and len(counts) == 3
+        read = reading.Reader().read([t, None, "", t])
+        assert read.counts[read.english].sum() == 18 and len(read.counts) == 6 and set(read.doc.tolist()) == {0, 3}
     assert reading.sentences("A wrapped sentence\ngoes on here. And 3 more.\nThe end?") == ["A wrapped sentence goes on here.", "And 3 more.", "The end?"]
 
 
