@@ -20,8 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.sources.tables import stored
+from lodesift.sources.tables import join_small, stored
 
+MOST_BROADCAST = 100_000
 PIECES = 64  # items below a 64th of the capacity are bundled before they are packed
 
 
@@ -62,14 +63,13 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """Windows that any packing needs: by the sum, and by items too large to share (Martello and Toth)."""
     s = np.sort(sizes)
     total = np.concatenate([[0], np.cumsum(s)])
-    best = -(-int(total[-1]) // capacity)
-    for t in np.unique(s[s <= capacity // 2])[:200]:
-        high, mid = np.searchsorted(s, capacity - t, "right"), np.searchsorted(s, capacity // 2, "right")
-        low = np.searchsorted(s, t, "left")
-        large, half = len(s) - high, high - mid
-        room = half * capacity - int(total[high] - total[mid])
-        best = max(best, large + half + max(0, -(-(int(total[mid] - total[low]) - room) // capacity)))
-    return max(best, int((s > capacity // 2).sum()), 1 if len(s) else 0)
+    mid, best = int(np.searchsorted(s, capacity // 2, "right")), -(-int(total[-1]) // capacity)
+    at_least = np.unique(s[:mid])  # every size up to half a window, as the least item that counts
+    if len(at_least):
+        high, low = np.searchsorted(s, capacity - at_least, "right"), np.searchsorted(s, at_least, "left")
+        room = (high - mid) * capacity - (total[high] - total[mid])
+        best = max(best, int((len(s) - mid + np.maximum(0, -(-(total[mid] - total[low] - room) // capacity))).max()))
+    return max(best, len(s) - mid, 1 if len(s) else 0)
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -190,19 +190,25 @@ def fill_containers(items: DataFrame, targets: DataFrame, windows: int = 96) ->
     ``items`` has ``id`` and ``tokens``; ``targets`` has ``container_kind`` and ``capacity_tokens``, a
     table of a few rows. A text longer than a capacity is cut into full containers of that kind and a
     last part, which is packed like any text; all others stay whole. Texts without tokens, null sizes
-    and kinds without a positive capacity give no row. Repeated ids are separate items.
+    and kinds without a positive capacity give no row. Repeated ids are separate items; the names of
+    containers that one part fills tell them apart by a number.
     """
     sizes = items.filter(F.col("tokens") > 0).select("id", "tokens")
     kinds = targets.filter(F.col("capacity_tokens") > 0).select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct().collect()  # a row for each kind
     each = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in sorted(kinds)]) if kinds else F.expr("CAST(array() AS ARRAY<STRUCT<container_kind: STRING, capacity: BIGINT>>)")
-    wanted = sizes.select("id", "tokens", F.explode(each).alias("_k")).select("id", "tokens", "_k.*")
+    least = min((c for _, c in kinds), default=0)
+    long = sizes.filter(F.col("tokens") >= least)  # only these fill containers of their own
+    again = stored(long.groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_name")).agg(F.count("*").alias("_n")).filter("_n > 1"))
+    named = join_small(sizes.withColumn("_name", F.coalesce(F.col("id").cast("string"), F.lit(""))), again, ["_name"], "left", again.count(), MOST_BROADCAST)
+    item = F.when(F.col("_n").isNull(), F.col("_name")).otherwise(F.concat_ws("-", F.col("_name"), F.monotonically_increasing_id().cast("string")))
+    wanted = named.select("id", item.alias("_item"), "tokens", F.explode(each).alias("_k")).select("id", "_item", "tokens", "_k.*")
     n = F.floor((F.col("tokens") - 1) / F.col("capacity"))  # full parts in front of the last
-    parts = wanted.select("container_kind", "capacity", "id", "tokens", F.explode(F.sequence(F.lit(0), n)).alias("part"))
-    parts = parts.select("container_kind", "capacity", "id", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("capacity")).alias("token_from"), F.least("capacity", F.col("tokens") - F.col("part") * F.col("capacity")).alias("tokens"))
+    parts = wanted.select("container_kind", "capacity", "id", "_item", "tokens", F.explode(F.sequence(F.lit(0), n)).alias("part"))
+    parts = parts.select("container_kind", "capacity", "id", "_item", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("capacity")).alias("token_from"), F.least("capacity", F.col("tokens") - F.col("part") * F.col("capacity")).alias("tokens"))
     groups = wanted.groupBy("container_kind").agg(F.ceil(F.sum(F.col("tokens") % F.col("capacity")) / (F.max("capacity") * windows)).alias("groups"))
     dealt = parts.join(F.broadcast(groups), "container_kind")  # a row for each kind
     full = F.col("tokens") == F.col("capacity")
-    alone = dealt.filter(full).select("container_kind", F.concat_ws("-", F.lit("full"), "id", "part").alias("container_id"), "id", "part", "token_from", "tokens")
+    alone = dealt.filter(full).select("container_kind", F.concat_ws("-", F.lit("full"), "_item", "part").alias("container_id"), "id", "part", "token_from", "tokens")
     rest = dealt.filter(~full).withColumn("deal", F.pmod(F.xxhash64("id", "part"), F.greatest("groups", F.lit(1))))
     packed = rest.select("container_kind", "capacity", "deal", "id", "part", "token_from", "tokens").groupBy("container_kind", "deal").applyInPandas(
         _pack_group, f"container_kind STRING, container_id STRING, id {items.schema['id'].dataType.simpleString()}, part INT, token_from BIGINT, tokens BIGINT"

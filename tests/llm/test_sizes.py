@@ -75,6 +75,28 @@ def test_containers(spark):
     assert packing.fill_containers(spark.createDataFrame(rows, ITEMS), spark.createDataFrame([], KINDS)).count() == 0
 
 
+def test_repeated_ids_are_separate_items(spark):
+    """Two texts of one id, each longer than a container, and two of none."""
+    rows = [(1, 25), (1, 25), (None, 30), (None, 30), (2, 25)]
+    got = packing.fill_containers(spark.createDataFrame(rows, ITEMS), spark.createDataFrame([("k", 10)], KINDS)).collect()
+    filled = {}
+    for r in got:
+        filled[r["container_id"]] = filled.get(r["container_id"], 0) + r["tokens"]
+    assert max(filled.values()) == 10 and sum(filled.values()) == 135 and "full-2-0" in filled
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_lower_bound_counts_every_size(seed):
+    rng = np.random.default_rng(seed)
+    sizes, capacity = rng.integers(1, 2000, 700), 2000
+    want = -(-int(sizes.sum()) // capacity)
+    for t in range(1, capacity // 2 + 1):
+        large, half = sizes[sizes > capacity - t], sizes[(sizes > capacity // 2) & (sizes <= capacity - t)]
+        small = sizes[(sizes >= t) & (sizes <= capacity // 2)].sum()
+        want = max(want, len(large) + len(half) + max(0, -(-int(small - (len(half) * capacity - half.sum())) // capacity)))
+    assert packing.lower_bound(sizes, capacity) == want
+
+
 def test_many_tiny_items_and_a_huge_one():
     sizes = np.array([1] * 5000 + [1000])
     windows = packing.pack(sizes, 1000)
