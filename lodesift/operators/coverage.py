@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodesift.functions import dims
 from lodesift.sources.tables import scratch, stored
 
 
@@ -135,3 +136,19 @@ def invalid(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """How many rows fail each check (required, enumeration, form, least items), one row for each; null fails."""
     wide = rows.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("failures")) for n in checks])).alias("_x")).select("_x.*")
+
+
+def finding_checks(id_column: str = "id") -> dict[str, Column]:
+    """What a finding's schema asks for: required members, least lengths, the id's form, choices, members of evidence."""
+    there = lambda n: F.col(n).isNotNull()
+    checks = {"id": F.col(id_column).rlike("^[A-Z0-9-]+-[0-9]{3,}$"), "title": F.length("title") > 0, "severity": F.col("severity").isin(dims.SEVERITIES), "confidence": F.col("confidence").isin(dims.CONFIDENCES)}
+    checks |= {n: F.length(n) > 0 for n in ("audit_skill", "surface")} | {n: there(n) for n in ("affected_claims", "evidence")}
+    checks["evidence_items"] = F.forall("evidence", lambda e: e["type"].isNotNull() & e["description"].isNotNull())
+    checks |= {n: there(n) for n in ("impact", "recommended_fix", "retest_steps", "limitations")}
+    return checks | {"some_evidence": F.size("evidence") >= 1}
+
+
+def unknown_members(rows: DataFrame, document: str, known: list[str]) -> DataFrame:
+    """Members of JSON objects that a closed schema doesn't allow: ``member`` and the number of documents with it."""
+    names = rows.filter(F.col(document).startswith("{")).select(F.explode(F.array_distinct(F.json_object_keys(document))).alias("member"))
+    return names.filter(~F.col("member").isin(known)).groupBy("member").agg(F.count("*").alias("rows"))

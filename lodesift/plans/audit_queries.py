@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lodesift.functions import dims
 from lodesift.functions.audit_values import unix_time
 from lodesift.operators import coverage, decode, leakscan, patternscan, register
+from lodesift.operators.nested import complete_json
+from lodesift.plans import core_queries
 from lodesift.sources.har import har_lists, har_table, parse_har
 from lodesift.sources.tables import table
 
@@ -331,16 +333,14 @@ def reachability(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def schema_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings that fail the declared checks of a finding."""
-    rows = table(spark, folder, "findings")
-    checks = {
-        "id": F.col("finding_id").rlike("^[A-Z0-9-]+-[0-9]{3,}$"),
-        "severity": F.col("severity").isin(dims.SEVERITIES),
-        "confidence": F.col("confidence").isin(dims.CONFIDENCES),
-        "title": F.length("title") > 0,
-        "evidence": F.size("evidence") > 0,
-    }
-    return coverage.invalid(rows, checks)
+    """Findings that fail the checks a finding's schema makes: required members, least lengths, forms, choices, items."""
+    return coverage.invalid(table(spark, folder, "findings"), coverage.finding_checks("finding_id"))
+
+
+def schema_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings as received with members that a closed schema doesn't know, and how often each such member occurs."""
+    rows = table(spark, folder, "raw_findings").select("raw_id", complete_json(F.col("payload")).alias("document"))
+    return coverage.unknown_members(rows, "document", dims.FINDING_MEMBERS)
 
 
 def time_spellings(spark: SparkSession, folder: str) -> DataFrame:
@@ -500,6 +500,12 @@ _PLANTED = {
     "run": "raw -> token-base64", "hex run": "raw -> token-hex", "gzip": "raw -> base64", "zlib": "raw -> base64", "base64 of member": "raw -> base64 -> json:$/a~1b[1]/c~0d", "form of member": "raw -> form-url-encoded -> json:$/a~1b[1]/c~0d",
 }
 
+_CHECKS = {
+    "id": "regexp_matches(finding_id, '^[A-Z0-9-]+-[0-9]{3,}$')", "title": "length(title) > 0", "severity": f"severity IN {_in(dims.SEVERITIES)}", "confidence": f"confidence IN {_in(dims.CONFIDENCES)}", "audit_skill": "length(audit_skill) > 0", "surface": "length(surface) > 0",
+    "affected_claims": "affected_claims IS NOT NULL", "evidence": "evidence IS NOT NULL", "evidence_items": "len(list_filter(evidence, lambda x: x.type IS NULL OR x.description IS NULL)) = 0", "impact": "impact IS NOT NULL", "recommended_fix": "recommended_fix IS NOT NULL",
+    "retest_steps": "retest_steps IS NOT NULL", "limitations": "limitations IS NOT NULL", "some_evidence": "len(evidence) >= 1",
+}
+
 SQL = {
     "leak_scan_raw": "WITH p AS (SELECT register_id, lower(translate(product, '- ', '  ')) AS p FROM registers WHERE length(product) >= 16) SELECT doc_id, register_id, strpos(text, p) - 1 AS pos FROM documents JOIN p ON contains(text, p)",
     "har_pairs": _HAR
@@ -560,16 +566,16 @@ CAST(json_array(json_object('type', 'har-match', 'file', artifact, 'location', l
     "differential_fields": "WITH a AS (SELECT severity, surface FROM findings WHERE audit_skill = 'crypto-architecture-review'), b AS (SELECT severity, surface FROM findings WHERE audit_skill = 'metadata-leakage-inventory') SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
     "boundary_flows": "SELECT a.n_regionkey AS source_zone, b.n_regionkey AS destination_zone, count(*) AS flows FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey WHERE l_returnflag = 'R' AND a.n_regionkey <> b.n_regionkey GROUP BY ALL",
     "reachability": "WITH RECURSIVE r AS (SELECT * FROM findings WHERE severity IS NOT NULL AND status IS NOT NULL), e AS (SELECT severity AS source, status AS destination FROM r UNION SELECT status, confidence FROM r WHERE confidence IS NOT NULL), w AS (SELECT DISTINCT severity AS start, severity AS node FROM findings WHERE severity IS NOT NULL UNION SELECT w.start, e.destination FROM w JOIN e ON e.source = w.node) SELECT start, node FROM w",
-    "schema_checks": "WITH c AS (SELECT count(*) FILTER (NOT coalesce(regexp_matches(finding_id, '^[A-Z0-9-]+-[0-9]{3,}$'), false)) AS a, count(*) FILTER (NOT coalesce(severity IN "
-    + _in(dims.SEVERITIES)
-    + ", false)) AS b, count(*) FILTER (NOT coalesce(confidence IN "
-    + _in(dims.CONFIDENCES)
-    + ", false)) AS c, count(*) FILTER (NOT coalesce(length(title) > 0, false)) AS d, count(*) FILTER (NOT coalesce(len(evidence) > 0, false)) AS e FROM findings) SELECT unnest(['id', 'severity', 'confidence', 'title', 'evidence']) AS \"check\", unnest([a, b, c, d, e]) AS failures FROM c",
+    "schema_checks": "WITH c AS (SELECT "
+    + ", ".join(f"count(*) FILTER (NOT coalesce({c}, false)) AS {n}" for n, c in _CHECKS.items())
+    + f" FROM findings) SELECT unnest([{', '.join(map(_q, _CHECKS))}]) AS \"check\", unnest([{', '.join(_CHECKS)}]) AS failures FROM c",
+    "schema_members": f"WITH d AS (SELECT CAST(payload AS JSON) AS j FROM raw_findings WHERE json_valid(payload)), m AS (SELECT unnest(json_keys(j)) AS member FROM d WHERE json_type(j) = 'OBJECT') SELECT member, count(*) AS rows FROM m WHERE member NOT IN {_in(dims.FINDING_MEMBERS)} GROUP BY 1",
+    "time_spellings": core_queries.TIMES_SQL + "SELECT count(*) FILTER (ts IS NULL) AS unreadable, count(*) AS rows FROM u",
     "unmapped_units": "SELECT r.repository, register_id, coalesce(first_doc, 'none found') AS first_doc FROM registers r LEFT JOIN (SELECT repository, CAST(min(doc_id) AS VARCHAR) AS first_doc FROM documents GROUP BY 1) d ON d.repository = r.repository",
 }
 
 QUERIES = {f.__name__: f for f in (
     leak_scan_raw, leak_scan_har, leak_findings, scan_summary, har_pairs, classify_ladder, sentinel_variants, sentinel_variants_all, leak_scan_decoded, leak_scan_encoded, pattern_scan, search_packs, static_scan, static_scan_capped, pattern_counts, rust_section_counts, source_paths,
     byte_limit_filter, dedupe_keys, register_merge, register_ids, register_notes, register_places, rerun_inference, status_severity_pivot, residual_risk, current_status, choice_normalize, reference_lookup, field_class_counts, claim_counts,
-    multi_surface_fields, high_cardinality_fields, high_cardinality_approx, small_anonymity_sets, fan_in_out, reviewer_merge, claim_coverage, orphan_refs, differential_fields, boundary_flows, reachability, schema_checks, time_spellings, unmapped_units,
+    multi_surface_fields, high_cardinality_fields, high_cardinality_approx, small_anonymity_sets, fan_in_out, reviewer_merge, claim_coverage, orphan_refs, differential_fields, boundary_flows, reachability, schema_checks, schema_members, time_spellings, unmapped_units,
 )}

@@ -59,12 +59,14 @@ P5_ENTRIES_SQL = _HAR + """
 SELECT capture_id, CAST(entry_index AS INTEGER) AS entry_index, e ->> '$.pageref' AS pageref, e ->> '$.request.method' AS method, e ->> '$.request.url' AS url, e ->> '$.response.status' AS status
 FROM entries WHERE json_type(e) = 'OBJECT'
 """
-P6_FOUND_SQL = r"""
+TIMES_SQL = r"""
 WITH t AS (SELECT update_id, upper(trim(finding_id, ' ' || chr(9) || chr(10) || chr(13))) AS finding_id, regexp_replace(lower(trim(status, ' ' || chr(9) || chr(10) || chr(13))), '[\s_-]+', '_', 'g') AS status, nullif(trim(note, ' ' || chr(9) || chr(10) || chr(13)), '') AS note, trim(history_timestamp) AS h FROM status_history),
 n AS (SELECT *, CASE WHEN regexp_matches(h, '^\d{8}T\d{6}Z$') THEN strptime(h, '%Y%m%dT%H%M%SZ') END AS compact,
 regexp_extract(h, '^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d:\d\d)', ['d', 'c']) AS p, regexp_extract(h, '([+-])(\d\d):?(\d\d)$', ['s', 'h', 'm']) AS o FROM t),
 u AS (SELECT finding_id, status, note, update_id, CASE WHEN regexp_matches(h, '^\d+$') THEN CAST(h AS BIGINT) WHEN compact IS NOT NULL THEN CAST(epoch(compact) AS BIGINT)
-ELSE CAST(epoch(try_cast(p.d || ' ' || p.c AS TIMESTAMP)) AS BIGINT) - CASE WHEN length(h) > 19 AND o.s <> '' THEN (CASE o.s WHEN '-' THEN -1 ELSE 1 END) * (CAST(o.h AS BIGINT) * 3600 + CAST(o.m AS BIGINT) * 60) ELSE 0 END END AS ts FROM n),
+ELSE CAST(epoch(try_cast(p.d || ' ' || p.c AS TIMESTAMP)) AS BIGINT) - CASE WHEN length(h) > 19 AND o.s <> '' THEN (CASE o.s WHEN '-' THEN -1 ELSE 1 END) * (try_cast(o.h AS BIGINT) * 3600 + try_cast(o.m AS BIGINT) * 60) ELSE 0 END END AS ts FROM n)
+"""
+P6_FOUND_SQL = TIMES_SQL + r""",
 k AS (SELECT * FROM u WHERE ts IS NOT NULL AND finding_id <> '' AND status IN ('open', 'fixed', 'partially_fixed', 'accepted_risk', 'not_reproducible')
 QUALIFY row_number() OVER (PARTITION BY finding_id, ts ORDER BY update_id DESC, status DESC, note DESC NULLS LAST) = 1),
 c AS (SELECT *, lag(status) OVER w AS ps, lag(note) OVER w AS pn, row_number() OVER w AS i FROM k WINDOW w AS (PARTITION BY finding_id ORDER BY ts)),
