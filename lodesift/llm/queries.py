@@ -42,6 +42,15 @@ def p1_consensus(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.best_values(_candidates(spark, folder), FIELDS).select(F.col("key").alias("dedupe_key"), "field_name", F.col("id").alias("record_id"), "value")
 
 
+def p1_majority(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of p1_consensus for fields in which one value has over half of the weight: there the vote is known without aligning."""
+    rows = stored(_candidates(spark, folder))
+    long = rows.select("key", "id", "weight", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS])).alias("_f")).select("key", "weight", "_f.*").filter(F.col("value").isNotNull())
+    each = long.groupBy("key", "field_name", "value").agg(F.sum("weight").alias("w")).groupBy("key", "field_name").agg(F.max("w").alias("most"), F.sum("w").alias("all"))
+    known = each.filter(2 * F.col("most") > F.col("all")).select("key", "field_name")
+    return consensus.best_values(rows, FIELDS).join(known, ["key", "field_name"]).select(F.col("key").alias("dedupe_key"), "field_name", F.col("id").alias("record_id"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Where each literal credential of the scan's excerpts starts."""
     found = secrets.find_credentials(table(spark, folder, "scan_hits"), "hit_id", "path", "excerpt")
@@ -166,6 +175,7 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
 _STAND_INS = ", ".join(f"'{x}'" for x in STAND_INS)
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
 _NO_VALUE = "({0} IS NULL OR trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) IN ('', " + _STAND_INS + "))"
+_STATUS = f"regexp_replace(lower(trim(status, {_BLANKS})), '[\\s_-]+', '_', 'g')"
 _HAS = {f: f"NOT {_NO_VALUE.format(f)}" for f in FIELDS[:3]} | {"status": f"regexp_replace(lower(trim(status, {_BLANKS})), '[\\s_-]+', '_', 'g') IN ('open', 'fixed', 'partially_fixed', 'accepted_risk', 'not_reproducible')"}
 P1_FOUND_SQL = f"""
 WITH f AS (SELECT *, lower(trim(dedupe_key, {_BLANKS})) AS k FROM findings QUALIFY loaded_at = max(loaded_at) OVER (PARTITION BY record_id)),
@@ -174,6 +184,14 @@ r AS (SELECT f.*, coalesce(s.trust_rank, 1000) AS t FROM f JOIN g USING (k) LEFT
 v AS ({" UNION ALL ".join(f"SELECT k, '{f}' AS field_name, t, reported_at, record_id FROM r WHERE {c}" for f, c in _HAS.items())})
 SELECT k AS dedupe_key, field_name, record_id FROM v QUALIFY row_number() OVER (PARTITION BY k, field_name ORDER BY t, reported_at DESC NULLS LAST, record_id DESC) = 1
 """
+P1_MAJORITY_SQL = P1_FOUND_SQL[: P1_FOUND_SQL.rindex("SELECT k AS")].rstrip().replace("t, reported_at, record_id FROM r", "{} AS value, t, reported_at, record_id FROM r")
+for _f in FIELDS:
+    P1_MAJORITY_SQL = P1_MAJORITY_SQL.replace(f"'{_f}' AS field_name, {{}} AS value", f"'{_f}' AS field_name, {_f if _f != 'status' else _STATUS} AS value")
+P1_MAJORITY_SQL += """,
+w AS (SELECT k, field_name, value, sum(floor(1000000 / (1 + CASE WHEN t = 1000 THEN 20 ELSE t END))) AS w FROM v GROUP BY ALL),
+m AS (SELECT k, field_name, value FROM w QUALIFY 2 * w > sum(w) OVER (PARTITION BY k, field_name))
+SELECT k AS dedupe_key, field_name, record_id FROM v JOIN m USING (k, field_name, value) QUALIFY row_number() OVER (PARTITION BY k, field_name ORDER BY t, reported_at DESC NULLS LAST, record_id DESC) = 1
+"""
 P3_FOUND_SQL = f"""
 WITH f AS (SELECT DISTINCT record_id, regexp_extract_all(translate(concat_ws(' ', title, impact), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws FROM findings WHERE NOT {_NO_VALUE.format("impact")}),
 w AS (SELECT record_id, unnest(ws) AS w FROM f),
@@ -210,9 +228,9 @@ r AS (SELECT raw_id, coalesce(max(v) FILTER (k = 'title'), '') AS a, coalesce(ma
 P4_FOUND_SQL = _P4 + "SELECT min(raw_id) OVER (PARTITION BY a, b, d) AS first_raw_id, raw_id FROM r QUALIFY raw_id <> first_raw_id"
 P4_COUNTS_SQL = _P4 + "SELECT min(raw_id) AS raw_id, count(*) AS copies FROM r GROUP BY a, b, d"
 
-QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_links": p3_links, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p7_containers": p7_containers, "p7_report": p7_report, "p7_check": p7_check, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_check": p8_check, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_majority": p1_majority, "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_links": p3_links, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p7_containers": p7_containers, "p7_report": p7_report, "p7_check": p7_check, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_check": p8_check, "p9_found": p9_found, "p9_levels": p9_levels}
 P7_CHECK_SQL = "SELECT container_kind, count(*) AS texts, 0::BIGINT AS divided, 0::BIGINT AS over_capacity FROM pack_targets CROSS JOIN documents WHERE text <> '' GROUP BY 1"
 P8_CHECK_SQL = r"""
 SELECT regexp_replace(lower(trim(source)), '[\s_\-]+', '_', 'g') AS source, sum(target_share) AS target_share, max(max_repeats) AS max_repeats, true AS met, false AS too_often FROM mix_targets WHERE source IS NOT NULL GROUP BY 1
 """
-SQL = {"p7_check": P7_CHECK_SQL, "p8_check": P8_CHECK_SQL, "p1_found": P1_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_links": P3_LINKS_SQL, "p3_groups": P3_GROUPS_SQL, "p4_found": P4_FOUND_SQL, "p4_counts": P4_COUNTS_SQL}
+SQL = {"p7_check": P7_CHECK_SQL, "p8_check": P8_CHECK_SQL, "p1_found": P1_FOUND_SQL, "p1_majority": P1_MAJORITY_SQL, "p3_found": P3_FOUND_SQL, "p3_links": P3_LINKS_SQL, "p3_groups": P3_GROUPS_SQL, "p4_found": P4_FOUND_SQL, "p4_counts": P4_COUNTS_SQL}
