@@ -23,6 +23,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,22 +198,30 @@ PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 QUOTED = re.compile(r"""(?P<q>"|'|`)(?P<v>(?:\\.|(?!(?P=q))[^\\\r\n])*)(?P=q)""")
 WRAP = r"""(?:(?:String::from|Some|str|bytes|SecretStr|Secret|new\s+\w+|to_string|Buffer\.from|quote|unhex|b64decode|base64\.b64decode|atob)\s*\(\s*|[brfuBRFU]{1,2}(?=$)|&|@(?=$)|\(\s*)*"""
 # What stands right before an opening quote, and gives the name of the literal.
-OPTION = re.compile(r"""["'`]--?(?P<n>[\w\-]+)["'`]\s*,(?:[^"'`]*,)?\s*default\s*=\s*$""")
+
+
+def behind(pattern: str) -> regex.Pattern:
+    """A pattern that ends at the literal, matched backwards from there."""
+    return regex.compile(pattern, regex.REVERSE)
+
+
+# What stands right before an opening quote, and gives the name of the literal.
+OPTION = behind(r"""["'`]--?(?P<n>[\w\-]+)["'`]\s*,(?:[^"'`]*,)?\s*default\s*=\s*$""")
 _BEFORE = [
-    re.compile(rf"""(?P<n>{NAME})["'`\]\)]*\s*(?:\?\s*)?(?::\s*[&\w<>\[\]'?.]+\s*)?(?:=>|:=|\?\?=|\|\|=|=|:)\s*{WRAP}$"""),
-    re.compile(rf"""["'`](?P<n>{NAME})["'`]\s*,\s*{WRAP}$"""),
-    re.compile(rf"""\b(?:with|set|put|add|use)_?(?P<n>\w+)\(\s*{WRAP}$"""),
-    re.compile(rf"""(?P<n>{NAME})["'`\]\)]*\s*(?:\|\||\?\?|\bor\b|\?:|:-)\s*{WRAP}$"""),
-    re.compile(r"""\b(?:key|name|id)=["'](?P<n>[^"']+)["']\s+(?:\w+=["'][^"']*["']\s+)*value=$"""),
-    re.compile(r"""(?P<n>PASSWORD|IDENTIFIED\s+BY|SECRET|identified\s+by|password)\s+$"""),
-    re.compile(rf"""--?(?P<n>[A-Za-z][\w\-]*)[ =]$"""),
+    behind(rf"""(?P<n>{NAME})["'`\]\)]*\s*(?:\?\s*)?(?::\s*[&\w<>\[\]'?.]+\s*)?(?:=>|:=|\?\?=|\|\|=|=|:)\s*{WRAP}$"""),
+    behind(rf"""["'`](?P<n>{NAME})["'`]\s*,\s*{WRAP}$"""),
+    behind(rf"""\b(?:with|set|put|add|use)_?(?P<n>\w+)\(\s*{WRAP}$"""),
+    behind(rf"""(?P<n>{NAME})["'`\]\)]*\s*(?:\|\||\?\?|\bor\b|\?:|:-)\s*{WRAP}$"""),
+    behind(r"""\b(?:key|name|id)=["'](?P<n>[^"']+)["']\s+(?:\w+=["'][^"']*["']\s+)*value=$"""),
+    behind(r"""(?P<n>PASSWORD|IDENTIFIED\s+BY|SECRET|identified\s+by|password)\s+$"""),
+    behind(rf"""--?(?P<n>[A-Za-z][\w\-]*)[ =]$"""),
 ]
 # Each with the characters that may be the last before the literal; those that WRAP ends with go with the first.
 ANY = "".join(map(chr, range(33, 127)))
 BEFORE = list(zip([OPTION, *_BEFORE], ["=", ANY.translate({ord(x): None for x in ",;)]}"}), ANY, "(", ANY, "=", ANY, "=" + ANY]))
 FROM_LITERAL = re.compile(r"""--from-literal[= ]["']?(?P<n>[\w.\-]+)=(?P<v>[^\s"'`]+)""")
-LOGIN_CALL = re.compile(r"""(?:getConnection|basic_auth|basicAuth|login|authenticate|connect|auth|credentials|Credentials|HTTPBasicAuth|setCredentials|createConnection|PDO|mysqli|mysqli_connect|mysql_connect|pg_connect)\s*[(= ]\(?\s*[^()]*,\s*$""")
-FILL = re.compile(r"""(?:fill|type|sendKeys|send_keys|fill_in|setValue)\s*\(?\s*["'](?P<n>[^"']*)["']\s*,\s*(?:with:\s*)?$""")
+LOGIN_CALL = behind(r"""(?:getConnection|basic_auth|basicAuth|login|authenticate|connect|auth|credentials|Credentials|HTTPBasicAuth|setCredentials|createConnection|PDO|mysqli|mysqli_connect|mysql_connect|pg_connect)\s*[(= ]\(?\s*[^();{}\r\n]*,\s*$""")
+FILL = behind(r"""(?:fill|type|sendKeys|send_keys|fill_in|setValue)\s*\(?\s*["'](?P<n>[^"']*)["']\s*,\s*(?:with:\s*)?$""")
 # Values without quotes.
 LINE = re.compile(rf"""(?m)^[ \t]*(?:[#;*>]+[ \t]*|//[ \t]*|--[ \t]+|<!--[ \t]*|-[ \t]+|export[ \t]+|ENV[ \t]+|ARG[ \t]+|set[ \t]+|setx[ \t]+|declare[ \t]+-x[ \t]+)*(?P<n>[A-Za-z_$][\w$.\-]*)[ \t]*(?P<o>:=|=|:)[ \t]*(?P<v>[^\s"'`#,;{{][^\s]*)""")
 FLOW = re.compile(r"""[{,]\s*(?P<n>[A-Za-z_][\w\-.]*)\s*:\s*(?P<v>[^\s"'`,{}\[\]]+)\s*(?=[,}])""")
@@ -232,6 +241,8 @@ AUTH_TOKEN = re.compile(r""":_(?:authToken|password|auth)=(?P<v>[^\s"'`]+)""")
 ELEMENT = re.compile(r"""<(?P<n>[A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>\s*(?:<!\[CDATA\[)?(?P<v>[^<>\r\n]+?)(?:\]\]>)?\s*</(?P=n)>""")
 FALLBACK = re.compile(r"""\$\{(?P<n>\w+):?-(?P<v>[^}\s"'`]+)\}""")
 
+JOINED = re.compile(r"\s*(?:\+|\.\.?|&|<>|\\)\s*\\?\s*")
+NEXT_LINE, ALONE = re.compile(r"[ \t]*\r?\n[ \t]+"), re.compile(r"[ \t]*[;)]*[ \t]*(?:\r?\n|\Z)|[ \t]*\+")
 MEMBER_NAME = re.compile(r"[ \t]*\]?[ \t]*(?::(?!=)|=>|[ \t]=[ \t])[ \t]*\S")
 AUTHORIZES = re.compile(r"(?i)auth|header|curl|bearer")
 MEASURE = re.compile(r"\d{1,5}|\d+(?:\.\d+)?(?:ms|s|m|h|d|k|kb|mb)|\d+\.\d+|[a-z]+(?:[._][a-z]+)*\.[a-z]+(?:[._][a-z]+)*")
@@ -246,9 +257,9 @@ LOOKUP = re.compile(r"""(?x) (?:vault|ssm|op|arn|env|file|secretsmanager|secretm
 CONFIG = re.compile(r"(?:^|/)(?:\.?env(?:\.[\w.]+)?|[\w.\-]+\.env(?:\.\w+)?|Dockerfile[\w.\-]*|\.netrc|\.npmrc|\.pypirc|[\w.\-]*\.(?:ini|properties|ya?ml|sh|bash|zsh|conf|cfg|cnf|toml|tfvars|env|txt|bat|ps1))$", re.I)
 
 
-def _back(text: str, end: int) -> int:
-    """The end of what stands before ``end``, without line ends, blanks and line-joining slashes."""
-    while end and text[end - 1] in "\r\n \t\\":
+def _back(text: str, end: int, blanks: str = "\r\n \t\\") -> int:
+    """The end of what stands before ``end``, without blanks; line ends and line-joining slashes count too."""
+    while end and text[end - 1] in blanks:
         end -= 1
     return end
 
@@ -262,18 +273,12 @@ SIGNS = {
 }
 BIT = {rx: 1 << k for k, rx in enumerate(SIGNS)}
 QUOTES = 1 << len(SIGNS)
-TESTS = [(re.compile(sign), sign, BIT[rx]) for rx, sign in SIGNS.items()] + [(re.compile("[\"'`]"), "[\"'`]", QUOTES)]
-
-
-def signs_of(text: str) -> int:
-    """The signs in a text, as bits."""
-    return sum(bit for rx, _, bit in TESTS if rx.search(text))
 
 
 def signs_in(texts: pa.Array) -> np.ndarray:
-    """The signs in each text of a batch."""
+    """The signs in each text of a batch, as bits; in time linear in the texts."""
     out = np.zeros(len(texts), np.int64)
-    for _, sign, bit in TESTS:
+    for sign, bit in [*((sign, BIT[rx]) for rx, sign in SIGNS.items()), ("[\"'`]", QUOTES)]:
         out |= np.where(np.asarray(pc.fill_null(pc.match_substring_regex(texts, sign), False)), bit, 0)
     return out
 
@@ -282,8 +287,8 @@ COMMENT = re.compile(r"\s*(?:[#;*]|//|--\s|<!--)")
 REMARK = re.compile(r"\s*(?:[#;*]|//|--|<!--|/\*|\"\"\")")
 BEHIND_VALUE = re.compile(r"-->|\*/|</")
 LEADING_SCHEME = re.compile(r"(?:Bearer|Basic|Token|ApiKey|bearer|basic)\s+")
-SQL_VARIABLE = re.compile(r"(?i)(?:password|by)\s+:$")
-KEY_ATTRIBUTE = re.compile(r"""\b(?:key|name|id)=["']([^"']+)["']""")
+SQL_VARIABLE = behind(r"(?i)(?:password|by)\s+:$")
+KEY_ATTRIBUTE = behind(r"""\b(?:key|name|id)=["']([^"']+)["'][^;{}\r\n]*$""")
 
 
 class Finder:
@@ -347,9 +352,9 @@ class Finder:
 
     def find(self, text: str, path: str = "", signs: int | None = None) -> list[Found]:
         """Credentials of an excerpt by start, none inside another; ``signs`` are those of the text, if known."""
-        signs = signs_of(text) if signs is None else signs
+        signs = int(signs_in(pa.array([text]))[0]) if signs is None else signs
         out: list[Found] = []
-        taken: list[tuple[int, int]] = []
+        taken = bytearray(len(text))  # 1 where something is known
         config = bool(CONFIG.search(path or ""))
         if not signs and not config:
             return out
@@ -359,12 +364,16 @@ class Finder:
             return rx.finditer(text) if signs & BIT[rx] else ()
 
         def free(a: int, b: int) -> bool:
-            return not any(a < y and x < b for x, y in taken)
+            return taken.find(1, a, b) < 0
+
+        def take(a: int, b: int) -> None:
+            taken[a:b] = b"\1" * (b - a)
 
         def give(a: int, b: int, kind: str, more: tuple = ()) -> None:
             if a < b and free(a, b):
                 out.append(Found(a, b, kind, more))
-                taken.extend([(a, b), *more])
+                for x, y in ((a, b), *more):
+                    take(x, y)
 
         for m in each(PEM):
             end = PEM_END.search(text, m.end())
@@ -374,17 +383,17 @@ class Finder:
                 if re.search(r"[A-Za-z0-9+/=]{16}", body):
                     give(m.start(), stop, "private key")
                 else:
-                    taken.append((m.start(), stop))
+                    take(m.start(), stop)
         for m in each(BLOCK):
             if free(m.start(), m.end()):
                 end = text.find("-----END", m.end())
                 stop = text.find("\n", end) if end >= 0 else -1
-                taken.append((m.start(), stop if stop > 0 else len(text)))
+                take(m.start(), stop if stop > 0 else len(text))
         for m in each(URL_USER):
             if self.literal(m["v"], "password"):
                 give(*m.span("v"), "address")
             else:
-                taken.append(m.span("v"))
+                take(*m.span("v"))
         for m in each(SCHEME):
             line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
             if m["s"].lower() != "bearer" and not AUTHORIZES.search(line):
@@ -399,14 +408,14 @@ class Finder:
                     if self.literal(v, m["n"]):
                         give(*m.span("v"), "address")
                     else:
-                        taken.append(m.span("v"))
+                        take(*m.span("v"))
         for rx in (AUTH_TOKEN, NETRC, SLASH_LOGIN, USER_FLAG, GLUED_FLAG, DSN, PIPED):
             for m in each(rx):
                 v = m["v"].rstrip("\"'`,;)")
                 if self.literal(v, "token"):
                     give(m.start("v"), m.start("v") + len(v), "login")
         if signs & QUOTES:
-            self._quoted(text, give, free, taken)
+            self._quoted(text, give, free)
         for m in each(ELEMENT):
             v = m["v"].strip()
             if v and self._judge(m["n"], v):
@@ -445,7 +454,7 @@ class Finder:
         if self._judge(m["n"], v):
             give(m.start("v"), m.start("v") + len(v), "value")
 
-    def _quoted(self, text: str, give, free, taken: list[tuple[int, int]]) -> None:  # noqa: ANN001
+    def _quoted(self, text: str, give, free) -> None:  # noqa: ANN001
         marks = list(QUOTED.finditer(text))
         k = 0
         while k < len(marks):
@@ -459,44 +468,44 @@ class Finder:
             k += 1
             if a == b or not free(a, b) or MEMBER_NAME.match(text, marks[k - 1].end()):
                 continue  # nothing, known already, or a member's name
-            line_start = text.rfind("\n", 0, m.start()) + 1
-            left = text[max(line_start, *(text.rfind(c, line_start, m.start()) + 1 for c in ";{}")) : m.start()]  # of the statement
-            value = "".join(text[x:y] for x, y in pieces)
-            if not left.strip() and line_start:
-                end = _back(text, line_start)
-                above = text[text.rfind("\n", 0, end) + 1 : end]
-                left = above if above.endswith(("=", "(", ":", "+", "||")) else ""
-            self._one(left, value, pieces, give)
+            # The literal's context ends with its line, or goes on above if only blanks stand before it.
+            value, end = "".join(text[x:y] for x, y in pieces), m.start()
+            last = _back(text, end, " \t")
+            if not last or text[last - 1] in "\r\n":
+                end = _back(text, last)
+                if not text[max(0, end - 2) : end].endswith(("=", "(", ":", "+", "||")):
+                    continue
+            self._one(text, text.rfind("\n", 0, end) + 1, end, value, pieces, give)
 
     def _joined(self, text: str, end: int, following: re.Match) -> bool:
         """Whether a quoted text goes on with the next: by an operator, or alone on the next line."""
         between = text[end : following.start()]
-        if re.fullmatch(r"\s*(?:\+|\.\.?|&|<>|\\)\s*\\?\s*", between):
+        if JOINED.fullmatch(between):
             return True
-        return bool(re.fullmatch(r"[ \t]*\r?\n[ \t]+", between) and re.match(r"[ \t]*[;)]*[ \t]*(?:\r?\n|$)|[ \t]*\+", text[following.end() :]))
+        return bool(NEXT_LINE.fullmatch(between) and ALONE.match(text, following.end()))
 
-    def _one(self, left: str, value: str, pieces: list[tuple[int, int]], give) -> None:  # noqa: ANN001
+    def _one(self, text: str, start: int, end: int, value: str, pieces: list[tuple[int, int]], give) -> None:  # noqa: ANN001
         a, b = pieces[0]
         head = LEADING_SCHEME.match(value)
         if head and len(pieces) == 1:
             value, a = value[head.end() :], a + head.end()
         rest = tuple(pieces[1:])
-        last = left.rstrip()[-1:]
-        fill = last in ",:" and FILL.search(left)
+        last = text[(at := _back(text, end, " \t")) - 1 : at]
+        fill = last in ",:" and FILL.match(text, start, end)
         if fill:
             if self.strength(fill["n"]) == 2 and self.literal(value, fill["n"]):
                 give(a, b, "form", rest)
             return
-        if last == ":" and SQL_VARIABLE.search(left):
+        if last == ":" and SQL_VARIABLE.match(text, start, end):
             return
         for rx, signs in BEFORE:
-            m = last in signs and rx.search(left)
+            m = last in signs and rx.match(text, start, end)
             if not m:
                 continue
             name = m["n"]
             if name[-2:].lower() == "by" and name[:10].lower() == "identified":
                 name = "password"
-            if name.lower() in ("value", "default") and (key := KEY_ATTRIBUTE.search(left)):
+            if name.lower() in ("value", "default") and (key := KEY_ATTRIBUTE.match(text, start, end)):
                 name = key[1]
             kind = self._judge(name, value)
             if kind:
@@ -504,7 +513,7 @@ class Finder:
                 return
             if self.strength(name) == 0:
                 return
-        if last == "," and LOGIN_CALL.search(left) and self.literal(value, "password", LOGIN):
+        if last == "," and LOGIN_CALL.match(text, start, end) and self.literal(value, "password", LOGIN):
             give(a, b, "login", rest)
 
 

@@ -68,6 +68,20 @@ def test_masked_code_has_the_same_marks(finder):
         assert finder.find(masked, path) == [] or "REDACTED" not in masked
 
 
+@pytest.mark.parametrize("unit", ['a="some text here",', '"x" ', "http://u:p@h/?a=b&c=d ", "--abc def ", "var abc = foo(bar) + ", "login: ", "{a: b, ", "# password ", "mysql -u root "])
+def test_one_long_line_takes_no_long_time(finder, unit):
+    import time
+
+    start, text = time.time(), unit * (150_000 // len(unit)) + "\npassword = 'Oriole-keeper8729'"
+    found = [text[f.start : f.end] for f in finder.find(text, "a.yml")]
+    assert "Oriole-keeper8729" in found and time.time() - start < 20
+
+
+def test_a_name_far_to_the_left_of_its_value(finder):
+    text = "password" + " " * 500 + "= '" + "Oriole-keeper8729" + "'"
+    assert [f.start for f in finder.find(text, "a.py")] == [text.index("Oriole")]
+
+
 def test_without_a_vocabulary():
     assert Finder("").find("password = 'Oriole-keeper8729'", "a.py")[0].start == 12
 
