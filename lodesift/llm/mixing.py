@@ -21,8 +21,8 @@ def source_form(c: Column) -> Column:
 def _budgets(sizes: DataFrame, targets: DataFrame, total: int | None) -> DataFrame:
     """For each source with a target: what it has and what it takes; a row for each target."""
     wanted = targets.groupBy(source_form(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).filter(F.col("source").isNotNull())
-    there = sizes.groupBy("source").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"))
-    rows = wanted.join(there, "source", "left").fillna(0, ["texts", "tokens"])
+    there = sizes.groupBy("source").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"))
+    rows = wanted.join(there, "source", "left").fillna(0, ["texts", "tokens", "longest"])
     whole = F.sum("tokens").over(Window.partitionBy(F.lit(1))) if total is None else F.lit(total)
     rows = rows.withColumn("budget", F.floor(F.coalesce("target_share", F.lit(0.0)) * whole))
     repeats = F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))

@@ -135,9 +135,9 @@ def p7_check(spark: SparkSession, folder: str) -> DataFrame:
 def p8_check(spark: SparkSession, folder: str) -> DataFrame:
     """Of each source with a target: whether it has its share but for one text, or all it may give, and whether any text is repeated too often."""
     mixed, budgets = _mixed(spark, folder)
-    told = mixing.shares(mixed, budgets).join(mixed.groupBy("source").agg(F.max("tokens").alias("longest")), "source", "left")
+    told = mixing.shares(mixed, budgets).join(budgets.select("source", "longest"), "source")
     may = F.least("budget", F.col("tokens") * F.col("max_repeats"))
-    return told.select("source", "target_share", "max_repeats", (F.abs(F.col("tokens_used") - may) <= F.coalesce("longest", F.lit(0))).alias("met"), (F.col("most_copies") > F.col("max_repeats")).alias("too_often"))
+    return told.select("source", "target_share", "max_repeats", (F.abs(F.col("tokens_used") - may) <= F.col("longest")).alias("met"), (F.col("most_copies") > F.col("max_repeats")).alias("too_often"))
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
