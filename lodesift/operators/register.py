@@ -13,7 +13,7 @@ from lodesift.functions import dims
 from lodesift.functions.audit_values import utc_text
 from lodesift.functions.dims import by_rank, normalized_choice, ranked
 from lodesift.operators.order import with_place, with_running_sum
-from lodesift.sources.tables import stored
+from lodesift.sources.tables import join_small, stored
 
 TEXTS = ["recommended_fix", "impact", "severity_rationale"]
 # Other names under which a finding may carry a member.
@@ -129,20 +129,34 @@ def normalized(df: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumn("rerun", F.when(F.size("rerun") > 0, F.col("rerun")).otherwise(called_for))
 
 
-def with_ids(rows: DataFrame, prefix: str = "FINDING") -> DataFrame:
-    """Normalized findings with ``seq``, ``id`` and whole ``source_ids``.
+def sequence(rows: DataFrame) -> DataFrame:
+    """``ord``, ``source_id``, ``seq`` of normalized findings: 1 and the number of dedupe keys seen before, in the order of delivery.
 
-    ``seq`` is 1 and the number of dedupe keys seen before, in the order of delivery: a duplicate doesn't
-    advance it. A finding without id becomes ``UNASSIGNED`` with that number, one whose id has another
-    form than the register's gets ``prefix`` and the number, and keeps its own among the source ids.
+    A duplicate doesn't advance it. Only keys, places and ids are shuffled.
     """
-    first = stored(rows.groupBy("dedupe_key").agg(F.min("ord").alias("_first")))
-    marked = rows.join(first, "dedupe_key").withColumn("_new", (F.col("ord") == F.col("_first")).cast("bigint"))
-    numbered = with_running_sum(marked, ["ord"], F.col("_new"), "seq").withColumn("seq", F.col("seq") + 1 - F.col("_new"))
-    unassigned = F.format_string("UNASSIGNED-%03d", "seq")
-    source = F.when(F.col("source_id") != "", F.col("source_id")).otherwise(unassigned)
-    named = numbered.withColumn("id", accepted_id(source, F.col("seq"), prefix))
-    return named.withColumn("source_ids", F.when((F.size("source_ids") == 0) & (F.col("source_id") == ""), F.array(unassigned)).otherwise(F.col("source_ids"))).drop("_first", "_new")
+    narrow = rows.select("dedupe_key", "ord", "source_id")
+    first = stored(narrow.groupBy("dedupe_key").agg(F.min("ord").alias("_first")))
+    marked = narrow.join(first, "dedupe_key").select("ord", "source_id", (F.col("ord") == F.col("_first")).cast("bigint").alias("_new"))
+    return with_running_sum(marked, ["ord"], F.col("_new"), "seq").select("ord", "source_id", (F.col("seq") + 1 - F.col("_new")).alias("seq"))
+
+
+def unassigned(seq: Column) -> Column:
+    """The id of a finding that came without one."""
+    return F.format_string("UNASSIGNED-%03d", seq)
+
+
+def with_ids(rows: DataFrame, prefix: str = "FINDING", most_broadcast: int = 200_000) -> DataFrame:
+    """Normalized findings with ``id`` and whole ``source_ids``.
+
+    A finding without id becomes ``UNASSIGNED`` with its number in the ``sequence``, one whose id has another
+    form than the register's gets ``prefix`` and the number, and keeps its own among the source ids. Only
+    those numbers are joined to the findings, broadcast up to a counted bound.
+    """
+    small = stored(sequence(rows).filter(~F.col("source_id").rlike(ID_FORM + "$")).select("ord", "seq"))
+    numbered = join_small(rows, small, ["ord"], "left", small.count(), most_broadcast)
+    missing = F.col("source_id") == ""
+    named = numbered.withColumn("id", accepted_id(F.when(missing, unassigned(F.col("seq"))).otherwise(F.col("source_id")), F.col("seq"), prefix))
+    return named.withColumn("source_ids", F.when((F.size("source_ids") == 0) & missing, F.array(unassigned(F.col("seq")))).otherwise(F.col("source_ids"))).drop("seq")
 
 
 def accepted_id(source: Column, seq: Column, prefix: str = "FINDING") -> Column:

@@ -197,7 +197,9 @@ def register_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 def register_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Each finding's id in the register and the number it would fall back to."""
-    return _register(spark, folder).select("ord.record_id", F.unix_micros("ord.loaded_at").alias("loaded_us"), "source_id", "seq", "id")
+    rows = register.normalized(table(spark, folder, "findings"), ["loaded_at", "record_id"])
+    named = F.when(F.col("source_id") == "", register.unassigned(F.col("seq"))).otherwise(F.col("source_id"))
+    return register.sequence(rows).select("ord.record_id", F.unix_micros("ord.loaded_at").alias("loaded_us"), "source_id", "seq", register.accepted_id(named, F.col("seq")).alias("id"))
 
 
 def register_notes(spark: SparkSession, folder: str) -> DataFrame:

@@ -128,9 +128,11 @@ def test_rerun_and_key(spark):
 
 def test_sequence_ids_references(spark):
     rows = register.normalized(findings(spark, {"dedupe_key": "a", "finding_id": "X-100"}, {"dedupe_key": "a"}, {"dedupe_key": "b", "finding_id": "bad id"}), ["record_id"])
-    seq = register.with_ids(rows, "REG").orderBy("ord").collect()
     # The duplicate and the next new key fall back to the same number: only new keys advance it.
-    assert [(r["seq"], r["id"], r["source_ids"]) for r in seq] == [(1, "X-100", ["X-100"]), (2, "UNASSIGNED-002", ["UNASSIGNED-002"]), (2, "REG-002", ["bad id"])]
+    assert [r["seq"] for r in register.sequence(rows).orderBy("ord").collect()] == [1, 2, 2]
+    for most in (0, 100):
+        named = register.with_ids(rows, "REG", most_broadcast=most).orderBy("ord").collect()
+        assert [(r["id"], r["source_ids"]) for r in named] == [("X-100", ["X-100"]), ("UNASSIGNED-002", ["UNASSIGNED-002"]), ("REG-002", ["bad id"])]
     assert register.with_ids(rows.limit(0)).count() == 0
     refs = spark.createDataFrame([("X-100",), ("none",)], "reference STRING")
     assert {r["reference"]: r["matches"] for r in register.referenced(register.merged(rows), refs).collect()} == {"X-100": 1, "none": 0}
