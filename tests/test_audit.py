@@ -7,8 +7,8 @@ from lodesift.functions import dims
 from lodesift.operators import coverage, leakscan, patternscan, register
 from lodesift.sources.har import parse_har
 
-LEAK = "ZKNET::run-1::PLAINTEXT::Abcdef123456"
-CONTROL = "ZKNET::run-1::CONTROL::Abcdef123456"
+LEAK = "CANARY::run-1::PLAINTEXT::Abcdef123456"
+CONTROL = "CANARY::run-1::CONTROL::Abcdef123456"
 
 
 def capture(spark, url="http://third.test/api", **request):
